@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from textlake.llm.minhash import op10_minhash_near_dedup
+from textlake.llm.quality import OP4_SQL, op4_quality_divergence
 
 QUERIES = {
+    "op4_quality_divergence": op4_quality_divergence,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_divergence": OP4_SQL}
