@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from textlake.llm.mixing import op1_mix_sources
+from textlake.llm.packing import op3_best_fit_packing
 from textlake.llm.minhash import op10_minhash_near_dedup
 from textlake.llm.quality import OP4_SQL, op4_quality_divergence
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_divergence": op4_quality_divergence,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
