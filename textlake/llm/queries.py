@@ -7,8 +7,10 @@ from textlake.llm.packing import op3_best_fit_packing
 from textlake.llm.minhash import op10_minhash_near_dedup
 from textlake.llm.quality import OP4_SQL, op4_quality_divergence
 from textlake.llm.substring import op7_substring_dedup
+from textlake.llm.tokens import op5_token_files
 
 QUERIES = {
+    "op5_token_files": op5_token_files,
     "op7_substring_dedup": op7_substring_dedup,
     "op1_mix_sources": op1_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
