@@ -8,8 +8,10 @@ from textlake.llm.minhash import op10_minhash_near_dedup
 from textlake.llm.quality import OP4_SQL, op4_quality_divergence
 from textlake.llm.substring import op7_substring_dedup
 from textlake.llm.tokens import op5_token_files
+from textlake.llm.warc import OP9_SQL, op9_warc_archives
 
 QUERIES = {
+    "op9_warc_archives": op9_warc_archives,
     "op5_token_files": op5_token_files,
     "op7_substring_dedup": op7_substring_dedup,
     "op1_mix_sources": op1_mix_sources,
@@ -18,4 +20,7 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op4_quality_divergence": OP4_SQL}
+ORACLES: dict[str, str] = {
+    "op4_quality_divergence": OP4_SQL,
+    "op9_warc_archives": OP9_SQL,
+}
