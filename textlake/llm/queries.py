@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textlake.llm.langid import op2_language_bitmask
 from textlake.llm.mixing import op1_mix_sources
 from textlake.llm.packing import op3_best_fit_packing
 from textlake.llm.minhash import op10_minhash_near_dedup
@@ -9,9 +10,12 @@ from textlake.llm.pivots import OP8_SQL, op8_pivot_permutation
 from textlake.llm.quality import OP4_SQL, op4_quality_divergence
 from textlake.llm.substring import op7_substring_dedup
 from textlake.llm.tokens import op5_token_files
+from textlake.llm.toxicity import op6_toxicity_cnn
 from textlake.llm.warc import OP9_SQL, op9_warc_archives
 
 QUERIES = {
+    "op2_language_bitmask": op2_language_bitmask,
+    "op6_toxicity_cnn": op6_toxicity_cnn,
     "op8_pivot_permutation": op8_pivot_permutation,
     "op9_warc_archives": op9_warc_archives,
     "op5_token_files": op5_token_files,
