@@ -130,7 +130,8 @@ NO_ORDER = 1_000_000_000
 
 def order_number(name) -> Column:
     number = F.regexp_extract(col(name), ORDER_PATTERN, 1)
-    return F.when(number == "", F.lit(NO_ORDER).cast("long")).otherwise(number.try_cast("long"))
+    bare = F.btrim(F.regexp_replace(col(name), ORDER_PATTERN, "")) == ""
+    return F.when((number == "") | bare, F.lit(NO_ORDER).cast("long")).otherwise(number.try_cast("long"))
 
 
 def order_display(name) -> Column:

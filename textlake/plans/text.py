@@ -108,7 +108,7 @@ ORDER_RE = "'^\\s*(\\d+)\\s*[-_.\\s]\\s*'"
 
 
 @query("order_prefix", f"""WITH {NAMES}, p AS (SELECT *, regexp_extract(name, {ORDER_RE}, 1) AS d, trim(regexp_replace(name, {ORDER_RE}, '')) AS r FROM names)
-SELECT doc_id, CASE WHEN d = '' THEN {T.NO_ORDER} ELSE TRY_CAST(d AS BIGINT) END AS order_number, CASE WHEN r = '' THEN trim(name) ELSE r END AS display FROM p""")
+SELECT doc_id, CASE WHEN d = '' OR r = '' THEN {T.NO_ORDER} ELSE TRY_CAST(d AS BIGINT) END AS order_number, CASE WHEN r = '' THEN trim(name) ELSE r END AS display FROM p""")
 def order_prefix(spark, sf):
     i, s = F.col("doc_id").cast("string"), F.col("source")
     name = F.when(F.col("doc_id") % 5 == 0, F.concat(i, F.lit("_ "), "lang")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit(" "), (F.col("doc_id") % 7).cast("string"), F.lit(" - "), s)).when(F.col("doc_id") % 5 == 2, F.concat("lang", F.lit("_"), i)).when(F.col("doc_id") % 5 == 3, F.concat(i, F.lit("."))).otherwise(F.concat(F.lit("00"), i, F.lit(". "), s, F.lit(" ")))
