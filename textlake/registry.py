@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from textlake.plans import books, catalog, search, text  # noqa: F401
+    from textlake.plans import books, catalog, layout, library, search, text  # noqa: F401
 
 
 load()
