@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,43 +44,77 @@ def _confirm(percent: int):
     return run
 
 
-def _blocks(percent: int, bands_of: Callable[[np.ndarray], np.ndarray]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket, first, second = rows["bucket"].iat[0], rows["i"].iat[0], rows["j"].iat[0]
-        sets = [shingle_set(x) for x in rows["body"]]
-        size = np.array([len(x) for x in sets], np.int64)
-        bands = np.stack([bands_of(x) for x in sets])
-        here = bands == bucket
-        k = int(here.any(axis=0).argmax())
-        group = list(range(len(rows)))
-        by_class: dict[int, int] = {}
-        block, node = rows["block"].to_numpy(), rows["fp"].to_numpy()
-
-        def root(x: int) -> int:
-            while group[x] != x:
-                group[x] = x = group[group[x]]
-            return x
-
-        for x, c in enumerate(rows["c"]):
-            group[x] = by_class.setdefault(c, x)
-        out = []
-        for x in range(len(rows)):
-            if first != second and block[x] != first:
-                continue
-            ok = (block == second) if first != second else np.arange(len(rows)) > x
-            ok &= 100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])
-            for m in range(k):
-                ok &= bands[:, m] != bands[x, m]
-            for y in np.flatnonzero(ok):
-                p, q = root(x), root(int(y))
-                if p != q and similar(sets[x], sets[y], percent):
-                    group[q] = p
-                    out.append((node[x], node[y]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _with_bands(bands_of: Callable[[np.ndarray], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = [bands_of(shingle_set(x.as_py())) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bands, pa.list_(pa.int64()))], names=["fp", "body", "bands"])
 
     return run
 
 
+def _forest(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between classes in one pair of blocks: rows of (bucket, i, j, fp,
+    c, n, block, bands, body).  A text's set is built only when it meets a candidate."""
+    if len({r[4] for r in rows}) < 2:
+        return []
+    bucket, first, second = rows[0][:3]
+    node, size, block = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6))
+    classes = np.unique(np.array([r[4] for r in rows], np.int64), return_inverse=True)[1]
+    bands = np.array([r[7] for r in rows], np.int64)
+    k = int((bands == bucket).any(axis=0).argmax())
+    sets: dict[int, np.ndarray] = {}
+    group = list(range(int(classes.max()) + 1))
+
+    def members(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = shingle_set(rows[x][8])
+        return sets[x]
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    out = []
+    places = np.arange(len(rows))
+    for x in places:
+        if first != second and block[x] != first:
+            continue
+        ok = (block == second) if first != second else places > x
+        ok &= (classes != classes[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x]))
+        if k and ok.any():  # pairs that share an earlier band are looked at there
+            ok &= ~(bands[:, :k] == bands[x, :k]).any(axis=1)
+        for y in np.flatnonzero(ok):
+            p, q = root(int(classes[x])), root(int(classes[y]))
+            if p != q and similar(members(int(x)), members(int(y)), percent):
+                group[q] = p
+                out.append((int(node[x]), int(node[y])))
+    return out
+
+
+def _blocks(percent: int):
+    """Over rows in the order of (bucket, i, j): one pair of blocks at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    found += _forest(held, percent)
+                    held = []
+                held.append(row)
+            yield _links(found)
+        yield _links(_forest(held, percent) if held else [])
+
+    return run
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def near_classes(sketches: DataFrame, bodies: Callable[[DataFrame], DataFrame], percent: int, bands_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(node long, component long): nodes whose class has a smaller node.
 
@@ -92,9 +125,10 @@ def near_classes(sketches: DataFrame, bodies: Callable[[DataFrame], DataFrame],
     live = slots.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("bucket", "lo")
     live = materialize(live, "buckets")
     members = materialize(slots.join(small(live), "bucket").groupBy("bucket", "fp", "lo").agg(F.max("n").alias("n")), "members")
-    texts = materialize(bodies(members.select("fp").distinct()), "bodies")
+    texts = bodies(members.select("fp").distinct()).mapInArrow(_with_bands(bands_of), "fp long, body string, bands array<long>")
+    texts = materialize(texts, "bodies")
     star = members.where("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
-    far, near = texts.toDF("a", "body_a"), texts.toDF("b", "body_b")
+    far, near = (texts.select(F.col("fp").alias(x), F.col("body").alias(f"body_{x}")) for x in ("a", "b"))
     pairs = star.join(far, "a").join(near, "b").select("a", "b", "body_a", "body_b")
     links = materialize(pairs.mapInArrow(_confirm(percent), "a long, b long"), "links")
     found = components(links)
@@ -107,9 +141,10 @@ def near_classes(sketches: DataFrame, bodies: Callable[[DataFrame], DataFrame],
     if still.isEmpty():
         return found
     rows = known.join(small(still), "bucket").withColumn("block", F.pmod(F.hash("fp"), "blocks"))
-    rows = rows.select("bucket", "fp", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("bucket", "fp", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    more = rows.join(texts, "fp").groupBy("bucket", "i", "j").applyInPandas(_blocks(percent, bands_of), "a long, b long")
+    rows = rows.select("bucket", "fp", "c", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("bucket", "fp", "c", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.join(texts, "fp").select("bucket", "i", "j", "fp", "c", "n", "block", "bands", "body")
+    more = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
     more = materialize(more, "links")
     if more.isEmpty():
         return found

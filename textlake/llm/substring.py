@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from textlake.llm.common import free_name, materialize, small, table
 from textlake.llm.neardup import near_classes
-from textlake.llm.shingles import SHINGLE, U, band_hashes, byte_words, mix, seeds, word_hashes
+from textlake.llm.shingles import SHINGLE, U, band_hashes, byte_words, mix, seeds, shingle_hashes, word_hashes
 
 MIN_LINE, MIN_RUN, REACH = 16, 16, 5
 PERCENT = 80
@@ -42,7 +42,6 @@ def tune(percent: int, miss: float = 1e-3, stray: float = 0.25) -> tuple[int, in
 
 ROWS, BANDS = tune(PERCENT)
 _A, _B = seeds(ROWS * BANDS, 301) | U(1), seeds(ROWS * BANDS, 307)
-_COMBINE = seeds(SHINGLE, 311) | U(1)
 _PAIR = seeds(3, 313) | U(1)
 _POWER = U(0x9E3779B97F4A7C15)
 _LINE = np.int64(0x5BD1E995)
@@ -65,7 +64,7 @@ def _sequence_hashes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     ends = np.append(starts[1:], len(words))
     local = np.arange(len(words) - starts[0]) - np.repeat(starts - starts[0], ends - starts)
     power = np.cumprod(np.full(int(local.max()) + 1, _POWER, U))
-    return mix(np.add.reduceat(mix(words[starts[0] :]) * power[local], starts - starts[0]) + (ends - starts).astype(U)).view(np.int64)
+    return mix(np.add.reduceat(words[starts[0] :] * power[local], starts - starts[0]) + (ends - starts).astype(U)).view(np.int64)
 
 
 def _cuts(words: np.ndarray) -> np.ndarray:
@@ -73,7 +72,7 @@ def _cuts(words: np.ndarray) -> np.ndarray:
     n = len(words) - 2
     if n <= 2 * REACH:
         return np.zeros(1, np.int64)
-    h = mix(words[:n] * _PAIR[0] + words[1 : n + 1] * _PAIR[1] + words[2:] * _PAIR[2])
+    h = words[:n] * _PAIR[0] + words[1 : n + 1] * _PAIR[1] + words[2:] * _PAIR[2]
     pad = np.concatenate((np.zeros(REACH, U), h, np.zeros(REACH, U)))
     low = np.ones(n, bool)
     for k in range(1, REACH + 1):
@@ -95,7 +94,7 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, ...]:
         long = size >= MIN_LINE
         bands, line_hash = np.zeros((0, BANDS), np.int64), none
         if long.any():
-            shingles = _shingles(words)
+            shingles = shingle_hashes(words)
             own, of = start[long], size[long]
             ids = np.concatenate([np.arange(a, a + m - SHINGLE + 1) for a, m in zip(own, of, strict=True)])
             lengths = of - SHINGLE + 1
@@ -112,14 +111,6 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, ...]:
         return start[long], size[long], line_hash, bands, cut, length, _sequence_hashes(words, cut)
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
-    n = len(words) - SHINGLE + 1
-    total = words[:n] * _COMBINE[0]
-    for k in range(1, SHINGLE):
-        total = total + words[k : k + n] * _COMBINE[k]
-    return mix(total)
-
-
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
 _SCHEMA = pa.schema([("rk", pa.int64()), ("id", pa.int64()), ("l_start", _INTS), ("l_n", _INTS), ("l_fp", _LONGS), ("l_bands", pa.list_(_LONGS)), ("s_start", _INTS), ("s_n", _INTS), ("s_fp", _LONGS)])
 _DDL = "rk long, id long, l_start array<int>, l_n array<int>, l_fp array<long>, l_bands array<array<long>>, s_start array<int>, s_n array<int>, s_fp array<long>"
@@ -242,20 +233,20 @@ def _clean(at: int):
             texts = [cut_text(t, [(s["first_word"], s["n_words"]) for s in x]) if x else t for t, x in zip(batch.column(at).to_pylist(), spans, strict=True)]
             cols = batch.columns[:-1]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+            left = pa.array([not x or bool(t.strip(" \t\n\x0b\x0c\r")) for t, x in zip(texts, spans, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1]).filter(left)
 
     return run
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without removed paragraphs; rows that lose their last word go, others keep their
-    columns.  Only changed rows pass through Python."""
+    columns, and rows without removed paragraphs pass as they are."""
     gone = repeats(docs, id_col, text_col, percent)
     spans = materialize(gone.groupBy("rk").agg(F.collect_set(F.struct("first_word", "n_words")).alias("_spans")), "spans")
     rk, sp = free_name(docs, "_rk"), free_name(docs, "_spans_of")
     joined = docs.withColumn(rk, _row_key(id_col, text_col)).join(small(spans.toDF("_of", sp), 128), F.col(rk) == F.col("_of"), "left").drop(rk, "_of")
-    out = joined.mapInArrow(_clean(docs.columns.index(text_col)), docs.schema)
-    return out.where(F.col(text_col).isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]") | (F.length(F.col(text_col)) == 0))
+    return joined.mapInArrow(_clean(docs.columns.index(text_col)), docs.schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
