@@ -285,9 +285,10 @@ def test_op5_coding_round_trip():
     for n in (0, 1, 3, 4, 5, 1000):
         values = (rng.integers(0, 2**32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
         control, data = tokens.encode(values)
-        assert (tokens.decode(control, data, n) == values).all() and len(control) == -(-n // 4)
+        raw = [np.frombuffer(x, np.uint8) for x in (control * 2, data * 2)]
+        assert (tokens.decode(*raw, [n, n]) == np.tile(values, 2)).all() and len(control) == -(-n // 4)
     with pytest.raises(ValueError):
-        tokens.decode(b"\x03", b"\x00", 1)
+        tokens.decode(np.array([3], np.uint8), np.array([0], np.uint8), [1])
 
 
 def test_op5_files_equal_the_library(spark, odd, empty, tmp_path):
@@ -445,3 +446,22 @@ def test_shingle_sets_equal_plain_ones():
     for n in (0, 1, 4, 5, 6, 300):
         text = prose(rng, n, ["a", "B", "ß", "É", "c"]) if n else " \n"
         assert len(shingles.shingle_set(text)) == len(plain_shingles(text))
+
+
+def test_components_of_random_graphs(spark):
+    from textlake.llm.components import components
+
+    rng = random.Random(2)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, None), (None, 5), (7, 7)]
+    group = {x: x for e in edges for x in e if x is not None}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a is not None and b is not None and group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                changed = True
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in components(df).collect()}
+    assert got == {x: c for x, c in group.items() if c != x}
+    assert components(df.where("false")).count() == 0

@@ -13,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: A side of a join with at most this many bytes (two long columns a row) is broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

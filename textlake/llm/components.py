@@ -14,19 +14,29 @@ from pyspark.sql import functions as F
 from textlake.llm.common import materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges(a, b), a > b.  Large star: link every larger neighbour of a node to the node's minimum.
-    Small star: link every smaller neighbour, and the node itself, to the minimum."""
+#: Edges that one partition holds, and from how many on a step's minima are written before their join.
+EDGES, MANY = 200_000, 1_000_000
+
+
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """edges(a, b), a > b, n of them at most.  Large star: link every larger neighbour of a node to the
+    node's minimum.  Small star: link every smaller neighbour, and the node itself, to the minimum."""
+    keep = (lambda df: materialize(df, "star")) if n > MANY else (lambda df: df)
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        low = materialize(low, "star")
+        low = keep(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         out = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        low = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "star")
+        low = keep(edges.groupBy("a").agg(F.min("b").alias("m")))
         moved = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = moved.union(low.select("a", F.col("m").alias("b")))
-    return materialize(out.where("a <> b").distinct(), "edges")
+    return materialize(out.where("a <> b").distinct().coalesce(1 + n // EDGES), "edges")
+
+
+def _done(edges: DataFrame) -> bool:
+    """Whether every node has one edge down and no edge leads on: a forest of stars."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -39,10 +49,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     a, b = F.col(left), F.col(right)
     e = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     e = materialize(e, "edges")
-    state = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state or not now[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = now
-        e = _star(_star(e, large=True), large=False)
+    n = e.count()  # a step never adds edges
+    while not _done(e):
+        e = _star(_star(e, True, n), False, n)
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
