@@ -5,7 +5,7 @@ File format (little-endian).  A file is a run of blocks, each followed by one li
     magic "TLK1" | u32 shard | u32 block | u32 documents | u64 ids | u64 data bytes
     documents x i64 doc_id | documents x u8 (1: the doc_id is null) | documents x u32 ids
     u16 n | n x u32 rank table, only in a shard's first block (else n = 0)
-    ceil(ids / 4) control bytes | data bytes
+    control bytes of all documents, ceil(ids / 4) each | data bytes
 
 An id is written as its rank in the order of corpus frequency, so frequent ids take one byte.  Each
 rank takes 1 to 4 data bytes, low byte first; two bits of a control byte hold that length less one,
@@ -18,7 +18,9 @@ reaches will do and a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,7 +38,7 @@ HEAD = np.dtype([("magic", "S4"), ("shard", "<u4"), ("block", "<u4"), ("docs", "
 #: Bytes of coded ids that one shard is planned for, and ids that one block holds at least.
 SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -53,23 +55,30 @@ def encode(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
 
-def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The values; the lengths of four at a time come from a table by control byte."""
-    length = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    used = np.arange(4, dtype=np.uint8)[None, :] < length[:, None]
+def decode(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The values of documents that follow each other; each has its own control bytes.  The lengths of
+    four values at a time come from a table by control byte; what a last byte has over is left out."""
+    length = _LENGTHS[control].reshape(-1)
+    counts = np.asarray(counts, np.int64)
+    over = -counts % 4
+    if over.any():
+        ends = np.cumsum(counts + over)
+        drop = np.concatenate([np.arange(e - o, e) for e, o in zip(ends.tolist(), over.tolist(), strict=True) if o])
+        length = np.delete(length, drop)
     if int(length.sum(dtype=np.int64)) != len(data):
         raise ValueError("control bytes and data disagree")
-    out = np.zeros((n, 4), np.uint8)
-    out[used] = np.frombuffer(data, np.uint8)
+    out = np.zeros((len(length), 4), np.uint8)
+    out[np.arange(4, dtype=np.uint8)[None, :] < length[:, None]] = data
     return out.view("<u4").reshape(-1)
 
 
-def block_bytes(shard: int, block: int, ids: list, counts: list[int], coded: np.ndarray, ranks: np.ndarray | None) -> bytes:
-    control, data = encode(coded)
-    head = np.array([(MAGIC, shard, block, len(ids), len(coded), len(data))], HEAD).tobytes()
+def block_bytes(shard: int, block: int, rows: list[tuple], ranks: np.ndarray | None) -> bytes:
+    """A block of rows (doc_id, ids, control bytes, data bytes)."""
+    ids, counts, control, data = zip(*rows, strict=True)
+    head = np.array([(MAGIC, shard, block, len(rows), sum(counts), sum(map(len, data)))], HEAD).tobytes()
     known = np.array([0 if x is None else x for x in ids], "<i8").tobytes() + np.array([x is None for x in ids], "u1").tobytes()
     rank_table = b"\0\0" if ranks is None else np.uint16(len(ranks)).tobytes() + ranks.astype("<u4").tobytes()
-    return b"".join((head, known, np.array(counts, "<u4").tobytes(), rank_table, control, data))
+    return b"".join((head, known, np.array(counts, "<u4").tobytes(), rank_table, *control, *data))
 
 
 def read_blocks(content: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np.ndarray]]:
@@ -90,8 +99,8 @@ def read_blocks(content: bytes) -> Iterator[tuple[int, int, list, np.ndarray, np
         ids, null, counts = take("<i8", docs), take("u1", docs), take("<u4", docs)
         if size := int(take("<u2", 1)[0]):
             ranks = take("<u4", size)
-        control = take("u1", -(-n // 4)).tobytes()
-        values = decode(control, take("u1", int(head["data"])).tobytes(), n)
+        control = take("u1", int((-(-counts.astype(np.int64) // 4)).sum()))
+        values = decode(control, take("u1", int(head["data"])), counts)
         if content[at : at + 1] != b"\n":
             raise ValueError("block without end")
         at += 1
@@ -108,32 +117,52 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Words that are Latin letters with marks behind them: two pieces for this vocabulary's pre-tokenizer,
+#: which no normalization but lower case can change.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves,
+    the others follow from 256 on."""
+    out, spare = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out.append(chr(b))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
+
+
 class Encoder:
-    """Ids of whole texts.  This vocabulary drops white space, so no token spans two words and words
-    can be encoded once each; unseen ones go to the library in one call, set apart by a digit, which
-    is always a token of its own."""
+    """Ids of whole texts.  This vocabulary drops white space, so no token spans two words and each word
+    is encoded once: simple words by the library's model, piece by piece, others by the whole library."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        (self.apart,) = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _piece(self, text: str) -> bytes:
+        found = self.pieces.get(text)
+        if found is None:
+            mapped = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+            found = self.pieces[text] = array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return found
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        plain = [w for w in words if b"0" not in w]
-        for k in range(0, len(plain), 5000):
-            part = plain[k : k + 5000]
-            ids = np.array(self.tokenizer.encode((b" 0 ".join(part) + b" 0").decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2")
-            ends = np.flatnonzero(ids == self.apart)
-            if len(ends) != len(part):
-                self._one_by_one(part)
-                continue
-            raw, start = ids.tobytes(), 0
-            for w, e in zip(part, ends.tolist(), strict=True):
-                self.known[w] = raw[2 * start : 2 * e]
-                start = e + 1
-        self._one_by_one([w for w in words if b"0" in w])
+        simple, piece, known = _SIMPLE.fullmatch, self._piece, self.known
+        other = []
+        for w in words:
+            m = simple(w.decode("utf-8", "replace"))
+            if m:
+                known[w] = piece(m[1].lower()) + piece(m[2])
+            else:
+                other.append(w)
+        self._one_by_one(other)
 
     def _one_by_one(self, words: list[bytes]) -> None:
         for w in words:
@@ -152,6 +181,7 @@ class Encoder:
             fresh = [w for w in dict.fromkeys(w for x in cut[k:stop] for w in x) if w not in self.known]
             if len(self.known) + len(fresh) > REMEMBERED:
                 self.known.clear()
+                self.pieces = {"": b""}
                 fresh = list(dict.fromkeys(w for x in cut[k:stop] for w in x))
             if fresh:
                 self._learn(fresh)
@@ -161,9 +191,15 @@ class Encoder:
         return out
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, which serves many tasks."""
+    return Encoder(path)
+
+
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             ids = encoder(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
@@ -180,33 +216,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["token", "n"])
 
 
-def _write(ranks: np.ndarray):
+def _code(ranks: np.ndarray):
+    """(doc_id, n, control, data) of (doc_id, ids): what is shuffled is what the files hold."""
     rank_of = np.zeros(1 << 16, np.uint32)
     rank_of[ranks] = np.arange(len(ranks), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for batch in batches:
+            ids = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(1)]
+            both = [encode(rank_of[x]) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], names=["doc_id", "n", "control", "data"])
 
-        shard, block = TaskContext.get().partitionId(), 0
-        ids: list = []
-        parts: list[np.ndarray] = []
-        held = 0
+    return run
 
-        def flush():
-            nonlocal block, ids, parts, held
-            raw = block_bytes(shard, block, ids, [len(p) for p in parts], rank_of[np.concatenate(parts)], None if block else ranks)
-            block, ids, parts, held = block + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["raw"])
 
+def _write(ranks: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard, block, held = TaskContext.get().partitionId(), 0, 0
+        rows: list[tuple] = []
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(i)
-                parts.append(np.frombuffer(x.as_py(), "<u2"))
-                held += len(parts[-1])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append(row)
+                held += row[1]
                 if held >= BLOCK_IDS:
-                    yield flush()
-        if ids:
-            yield flush()
+                    yield pa.RecordBatch.from_arrays([pa.array([block_bytes(shard, block, rows, None if block else ranks)], pa.binary())], names=["raw"])
+                    rows, held, block = [], 0, block + 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([block_bytes(shard, block, rows, None if block else ranks)], pa.binary())], names=["raw"])
 
     return run
 
@@ -227,7 +265,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text (null: empty), each with the end id behind it, and writes shards to ``path``.
 
-    Rows stand in ascending order of id, nulls first, rows of one id in the order of their ids' bytes.
+    Rows stand in ascending order of id, nulls first, rows of one id by length and bytes.
     An empty table writes no shard.
     """
     coded = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_tokenize(tokenizer_path), "doc_id long, ids binary"), "ids")
@@ -235,7 +273,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     rows = counts.orderBy(F.desc("n"), "token").collect()  # at most one for each entry of the vocabulary
     ranks = np.array([r.token for r in rows], np.uint32)
     shards = max(1, -(-sum(r.n for r in rows) * 3 // 2 // SHARD_BYTES))
-    ordered = coded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    small_ids = coded.mapInArrow(_code(ranks), "doc_id long, n int, control binary, data binary")
+    ordered = small_ids.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n", "data")
     raw = ordered.mapInArrow(_write(ranks), "raw binary").select(F.col("raw").cast("string").alias("raw"))
     raw.write.option("lineSep", "\n").text(path)
 
