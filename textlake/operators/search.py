@@ -137,18 +137,19 @@ def scoped(docs: DataFrame, paths: list[str], sep: str) -> DataFrame:
     return docs.where(inside)
 
 
-def search(docs: DataFrame, queries: list[M.Query], scope: Scope = Scope(), limit: int | None = None, offset: int = 0, candidate_cap: int | None = None) -> DataFrame:
+def search(docs: DataFrame, queries: list[M.Query], scope: Scope = Scope(), limit: int | None = None, offset: int = 0, candidate_cap: int | None = None, tokens: DataFrame | None = None) -> DataFrame:
     """Many queries over docs (doc_id, path, name, ext, text): (query_id, rank, doc_id, path, name, ext,
     score, occurrences, duplicates, spans), ranks offset + 1 .. offset + limit.
 
     Statistics are those of all documents; the scope cuts what is verified.  ``candidate_cap`` verifies
-    only the best-scored candidates of each query; without it the result is exact.
+    only the best-scored candidates of each query; without it the result is exact.  ``tokens`` is the
+    token table of the scope's documents where one is kept; without it, texts are cut here.
     """
     posts = postings(docs)
     terms = scoring_terms(M.query_words(M.query_table(docs.sparkSession, queries)))
     scores = bm25(docs, posts, terms)
     inside = scope.keep(docs)
-    tokens = T.tokens(inside)
+    tokens = T.tokens(inside) if tokens is None else tokens
     if candidate_cap:
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         scores = scores.withColumn("k", F.row_number().over(best)).where(F.col("k") <= candidate_cap).drop("k")
