@@ -36,9 +36,9 @@ END_ID = 2
 MAGIC = b"TLK1"
 HEAD = np.dtype([("magic", "S4"), ("shard", "<u4"), ("block", "<u4"), ("docs", "<u4"), ("ids", "<u8"), ("data", "<u8")])
 #: Bytes of coded ids that one shard is planned for, and ids that one block holds at least.
-SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
-#: Words whose ids a task remembers.
-REMEMBERED = 1_000_000
+SHARD_BYTES, BLOCK_IDS = 16 << 20, 1 << 19
+#: Words, and pieces of words, whose ids a Python worker remembers.
+REMEMBERED, PIECES = 400_000, 700_000
 
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -149,6 +149,8 @@ class Encoder:
     def _piece(self, text: str) -> bytes:
         found = self.pieces.get(text)
         if found is None:
+            if len(self.pieces) >= PIECES:
+                self.pieces = {"": b""}
             mapped = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
             found = self.pieces[text] = array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return found
@@ -181,7 +183,6 @@ class Encoder:
             fresh = [w for w in dict.fromkeys(w for x in cut[k:stop] for w in x) if w not in self.known]
             if len(self.known) + len(fresh) > REMEMBERED:
                 self.known.clear()
-                self.pieces = {"": b""}
                 fresh = list(dict.fromkeys(w for x in cut[k:stop] for w in x))
             if fresh:
                 self._learn(fresh)
@@ -208,6 +209,7 @@ def _tokenize(path: str):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _encoder.cache_clear()  # a worker that has encoded needs its words no more
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         for x in batch.column(0):
@@ -222,6 +224,7 @@ def _code(ranks: np.ndarray):
     rank_of[ranks] = np.arange(len(ranks), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _encoder.cache_clear()
         for batch in batches:
             ids = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(1)]
             both = [encode(rank_of[x]) for x in ids]
@@ -250,6 +253,7 @@ def _write(ranks: np.ndarray):
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _encoder.cache_clear()
     names = ["shard", "block", "place", "doc_id", "n_tokens", "ids_crc32"]
     for batch in batches:
         for content in batch.column(0):
