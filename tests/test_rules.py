@@ -190,7 +190,7 @@ def test_scan_decode_and_docx(spark, tmp_path):
 
 
 def test_text_sink_has_a_mark(spark, tmp_path):
-    X.write_text_sink(spark.createDataFrame([("שלום",)], "text string"), str(tmp_path / "o"))
+    X.write_text_sink(spark.createDataFrame([("שלום",)], "text string").coalesce(1), str(tmp_path / "o"))
     (part,) = (tmp_path / "o").glob("part-*")
     assert part.read_bytes().startswith(b"\xef\xbb\xbf")
 
