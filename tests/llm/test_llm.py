@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -375,6 +376,27 @@ def test_op8_equals_brute_force_and_finds_candidates(spark):
     assert pivots.embedding_links(df.where("false")).count() == 0
 
 
+def test_op8_links_rare_lengths_at_any_number_of_their_references():
+    rng = np.random.default_rng(11)
+    usual, other = list(rng.normal(size=(20, 24))), list(rng.normal(size=(2, 5)))
+    base = rng.normal(size=8)
+    rare = [base * k for k in (1.0, 2.0, 3.0)]
+    held = [*usual, *rare, *other]
+    for references in ([], rare[:1], rare[:2], rare):
+        points = [*usual, *references]
+        rows = pa.RecordBatch.from_arrays([pa.array(range(len(held))), pa.array(["x"] * len(held)), pa.array([v.tolist() for v in held]), pa.array([1] * len(held))], names=["node", "label", "vec", "copies"])
+        told = next(pivots._describe(points, pivots.NEAREST)([rows])).to_pandas().explode("near").astype({"near": int}).rename(columns={"near": "pivot"})
+        told["near"] = [told[told.node == n]["pivot"].tolist() for n in told.node]
+        told["block"] = told["i"] = told["j"] = 0
+        run = pivots._block_pairs(0.98, pivots.SHARED, [len(p) for p in points])
+        found = [run(g) for _, g in told.groupby("pivot")]
+        counts = {}
+        for f in found:
+            for a, n in f[f.b.isna()][["a", "n"]].itertuples(index=False):
+                counts[int(a)] = counts.get(int(a), 0) + int(n)
+        assert counts == {20: 2, 21: 2, 22: 2}
+
+
 # -- 2 and 6 -----------------------------------------------------------------------------------
 
 def test_op2_held_out_accuracy(spark):

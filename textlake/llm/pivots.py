@@ -2,7 +2,8 @@
 
 Reference points are a bounded sample of the vectors.  Every vector is described by its NEAREST
 nearest references in order of nearness and stands in the inverted list of each (and of its label).
-Two vectors are candidates if they share at least SHARED references; a pair is looked at only in the
+Two vectors are candidates if they share at least SHARED references, or all references of their
+length if those are fewer; a pair is looked at only in the
 list of the lowest reference that it shares, so no pair counts twice.  Candidates are verified by
 cosine in double precision.  Lists are cut into blocks of bounded size and each pair of blocks is one
 task that multiplies matrices; it emits a count for each vector and a spanning forest of its links,
@@ -57,15 +58,18 @@ def _describe(pivots: np.ndarray, nearest: int):
                     near = own[d][permutation(np.array([vectors[i] for i in rows]), held[d], nearest)]
                     for i, p in zip(rows, near.tolist(), strict=True):
                         out[i] = p
-                else:  # no reference of this length: one list holds them
+                else:  # no reference of this length: one list a length holds them
                     for i in rows:
-                        out[i] = [-1]
+                        out[i] = [-d]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "near"])
 
     return run
 
 
-def _block_pairs(cosine: float, shared: int, n_pivots: int):
+def _block_pairs(cosine: float, shared: int, lengths: list[int]):
+    """lengths: of the reference points."""
+    n_pivots = len(lengths)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         here, i, j = int(rows["pivot"].iat[0]), rows["i"].iat[0], rows["j"].iat[0]
         out = []
@@ -79,7 +83,7 @@ def _block_pairs(cosine: float, shared: int, n_pivots: int):
                         m[r, near] = 1
             link = unit(np.stack(a["vec"].tolist())) @ unit(np.stack(b["vec"].tolist())).T >= cosine
             if here >= 0:
-                link &= bits[0] @ bits[1].T >= min(shared, n_pivots)
+                link &= bits[0] @ bits[1].T >= min(shared, lengths.count(lengths[here]))
                 link &= bits[0][:, :here] @ bits[1][:, :here].T == 0
             if i == j:
                 link &= ~np.eye(len(a), dtype=bool)
@@ -102,7 +106,8 @@ def _block_pairs(cosine: float, shared: int, n_pivots: int):
                     if p != q:
                         group[q] = p
                         out.append((int(na[r]), int(nb[c]), None))
-        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("Int64")
+        # as Int64 from the start: rows with nulls would turn to doubles, which round 64-bit nodes
+        return pd.DataFrame({name: pd.array([x[k] for x in out], dtype="Int64") for k, name in enumerate(("a", "b", "n"))})
 
     return run
 
@@ -137,7 +142,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     out = told.withColumn("pivot", F.explode("near")).join(small(lists, 64), ["label", "pivot"])
     out = out.withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = out.select("label", "pivot", "node", "vec", "copies", "near", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = out.groupBy("label", "pivot", "i", "j").applyInPandas(_block_pairs(cosine, SHARED, max(1, len(pivots))), "a long, b long, n long")
+    found = out.groupBy("label", "pivot", "i", "j").applyInPandas(_block_pairs(cosine, SHARED, [len(p) for p in pivots]), "a long, b long, n long")
     found = materialize(found, "links")
     degree = materialize(found.where("b is null").groupBy("a").agg(F.sum("n").alias("far")), "degrees")
     same = components(found.where("b is not null").select("a", "b"))
