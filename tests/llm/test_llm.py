@@ -397,6 +397,37 @@ def test_op8_links_rare_lengths_at_any_number_of_their_references():
         assert counts == {20: 2, 21: 2, 22: 2}
 
 
+def test_op8_counts_the_links_of_a_dense_group(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=64)
+    dense = centre + rng.normal(size=(9000, 64)) * np.linalg.norm(centre) / 8 * 0.123
+    v = np.concatenate((dense, rng.normal(size=(3000, 64)))).astype(np.float32)
+    df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in pivots.embedding_links(df).collect()}
+    u = pivots.unit(v)
+    want = [int(n) - 1 for i in range(0, len(u), 1000) for n in (u[i : i + 1000] @ u.T >= 0.98).sum(axis=1)]
+    assert sum(want) > 40_000_000
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.9999 * sum(want)
+
+
+def test_op8_forest_joins_what_the_links_join():
+    rng = np.random.default_rng(9)
+    for same in (False, True):
+        link = rng.random((60, 60)) < 0.02
+        if same:
+            link = (link | link.T) & ~np.eye(60, dtype=bool)
+        found = pivots.forest(link, same)
+        roots = []
+        for pairs in (np.argwhere(link).tolist(), found):
+            group = list(range(120))
+            for x, y in pairs:
+                old, new = group[y if same else 60 + y], group[x]
+                group = [new if g == old else g for g in group]
+            roots.append([group.index(g) for g in group])
+        assert roots[0] == roots[1] and len(found) == 120 - len(set(roots[0]))
+        assert all(link[r, c] for r, c in found)
+
+
 # -- 2 and 6 -----------------------------------------------------------------------------------
 
 def test_op2_held_out_accuracy(spark):

@@ -1,7 +1,9 @@
 """Operator 8, embedding near-dedup by a pivot-permutation index.
 
-Reference points are a bounded sample of the vectors.  Every vector is described by its NEAREST
-nearest references in order of nearness and stands in the inverted list of each (and of its label).
+Reference points are taken from a bounded sample of the vectors, at least SPREAD times as far apart
+as a linked pair may be, so a dense group does not crowd with nearly equidistant references of which
+its members would choose different ones.  Every vector is described by its NEAREST nearest references
+in order of nearness and stands in the inverted list of each (and of its label).
 Two vectors are candidates if they share at least SHARED references, or all references of their
 length if those are fewer; a pair is looked at only in the
 list of the lowest reference that it shares, so no pair counts twice.  Candidates are verified by
@@ -25,6 +27,8 @@ COSINE = 0.98
 NEAREST, SHARED = 10, 2
 #: The sample of reference points: about the root of the number of vectors, within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
+#: References are SPREAD link distances apart; so many sampled vectors are looked at for each.
+SPREAD, LOOKED_AT = 3, 2
 BLOCK = 1024
 
 
@@ -35,6 +39,28 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def spread(sample: list[np.ndarray], most: int, cosine: float) -> list[np.ndarray]:
+    """The first vectors of ``sample``, at most ``most``, that keep their distance from all before."""
+    limit = 1 - SPREAD**2 * (1 - cosine)
+    held: dict[int, np.ndarray] = {}
+    count: dict[int, int] = {}
+    out: list[np.ndarray] = []
+    for v in sample:
+        if len(out) == most:
+            break
+        d = len(v)
+        u, n = unit(v[None])[0], count.get(d, 0)
+        own = held.setdefault(d, np.empty((16, d)))
+        if n and (own[:n] @ u).max() > limit:
+            continue
+        if n == len(own):
+            own = held[d] = np.concatenate((own, np.empty_like(own)))
+        own[n] = u
+        count[d] = n + 1
+        out.append(v)
+    return out
+
+
 def permutation(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """The ``nearest`` references of each row, nearest first, ties by number."""
     cos = unit(vectors) @ pivots.T
@@ -66,9 +92,41 @@ def _describe(pivots: np.ndarray, nearest: int):
     return run
 
 
+def _columns(of_a, of_b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The references of two blocks, and which of them each row of either block has."""
+    names = np.unique(np.concatenate([*of_a, *of_b]))
+    bits = [np.zeros((len(x), len(names)), np.float32) for x in (of_a, of_b)]
+    for x, m in zip((of_a, of_b), bits, strict=True):
+        for r, near in enumerate(x):
+            m[r, np.searchsorted(names, near)] = 1
+    return names, *bits
+
+
+def forest(link: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """A spanning forest, as (row, column), of the links of two blocks, or of one with itself.  Each
+    node's links are read once, as a vector."""
+    turned = np.ascontiguousarray(link.T)
+    seen = [np.zeros(n, bool) for n in link.shape]
+    if same:
+        seen[1] = seen[0]
+    out = []
+    for r in np.flatnonzero(link.any(axis=1)).tolist():
+        if seen[0][r]:
+            continue
+        seen[0][r] = True
+        stack = [(0, r)]
+        while stack:
+            side, x = stack.pop()
+            other = 0 if same else 1 - side
+            new = np.flatnonzero((turned if side else link)[x] & ~seen[1 - side])
+            seen[1 - side][new] = True
+            out += [(y, x) if side else (x, y) for y in new.tolist()]
+            stack += [(other, y) for y in new.tolist()]
+    return out
+
+
 def _block_pairs(cosine: float, shared: int, lengths: list[int]):
     """lengths: of the reference points."""
-    n_pivots = len(lengths)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         here, i, j = int(rows["pivot"].iat[0]), rows["i"].iat[0], rows["j"].iat[0]
@@ -76,15 +134,11 @@ def _block_pairs(cosine: float, shared: int, lengths: list[int]):
         a = rows if i == j else rows[rows["block"] == i]
         b = rows if i == j else rows[rows["block"] == j]
         if len(a) and len(b):
-            bits = [np.zeros((len(x), n_pivots), np.float32) for x in (a, b)]
-            for x, m in zip((a, b), bits, strict=True):
-                for r, near in enumerate(x["near"]):
-                    if here >= 0:
-                        m[r, near] = 1
             link = unit(np.stack(a["vec"].tolist())) @ unit(np.stack(b["vec"].tolist())).T >= cosine
-            if here >= 0:
-                link &= bits[0] @ bits[1].T >= min(shared, lengths.count(lengths[here]))
-                link &= bits[0][:, :here] @ bits[1][:, :here].T == 0
+            if here >= 0 and link.any():
+                names, x, y = _columns(a["near"].tolist(), b["near"].tolist())
+                link &= x @ y.T >= min(shared, lengths.count(lengths[here]))
+                link &= x[:, names < here] @ y[:, names < here].T == 0
             if i == j:
                 link &= ~np.eye(len(a), dtype=bool)
             na, nb = a["node"].to_numpy(), b["node"].to_numpy()
@@ -93,19 +147,7 @@ def _block_pairs(cosine: float, shared: int, lengths: list[int]):
             if i != j:
                 count = a["copies"].to_numpy() @ link
                 out += [(n, None, c) for n, c in zip(nb.tolist(), count.tolist(), strict=True) if c]
-            group = {n: n for n in [*na.tolist(), *nb.tolist()]}
-
-            def root(x):
-                while group[x] != x:
-                    group[x] = x = group[group[x]]
-                return x
-
-            for r in range(len(a)):
-                for c in np.flatnonzero(link[r]):
-                    p, q = root(int(na[r])), root(int(nb[c]))
-                    if p != q:
-                        group[q] = p
-                        out.append((int(na[r]), int(nb[c]), None))
+            out += [(int(na[r]), int(nb[c]), None) for r, c in forest(link, i == j)]
         # as Int64 from the start: rows with nulls would turn to doubles, which round 64-bit nodes
         return pd.DataFrame({name: pd.array([x[k] for x in out], dtype="Int64") for k, name in enumerate(("a", "b", "n"))})
 
@@ -131,8 +173,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = materialize(nodes, "nodes")
     n = nodes.count()
     n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(n**0.5)))
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(n_pivots).select("vec").collect()
-    pivots = [np.array(r.vec) for r in sample]
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(LOOKED_AT * n_pivots).select("vec").collect()
+    pivots = spread([np.array(r.vec) for r in sample], n_pivots, cosine)
     schema = "node long, label string, vec array<double>, copies long, near array<int>"
     told = nodes.select("node", F.col("label").cast("string").alias("label"), "vec", "copies").mapInArrow(_describe(pivots, NEAREST), schema)
     told = materialize(told, "permutations")
