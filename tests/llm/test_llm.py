@@ -494,6 +494,24 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert corpus_pipeline.STAGES[4][1](spark, mixed, SF).count() > 0
 
 
+def test_pipeline_near_dedup_drops_pairs_from_080_on(spark):
+    rng = random.Random(12)
+    rows, expected = [], set()
+    for g in range(20):
+        words = prose(rng, 200).split()
+        edits = (4, 5)[g % 2]
+        copy = list(words)
+        for k in range(edits):
+            copy[20 + 30 * k] = f"edit{k}"
+        a, b = plain_shingles(" ".join(words)), plain_shingles(" ".join(copy))
+        jaccard = len(a & b) / len(a | b)
+        assert 0.8 <= jaccard < 0.85 if edits == 4 else jaccard < 0.8
+        rows += [(2 * g, " ".join(words), "en", "a", 1), (2 * g + 1, " ".join(copy), "en", "a", 1)]
+        expected |= {2 * g} if edits == 4 else {2 * g, 2 * g + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == expected
+
+
 def test_shingle_sets_equal_plain_ones():
     rng = random.Random(1)
     for n in (0, 1, 4, 5, 6, 300):
