@@ -1,27 +1,33 @@
-"""Shared helpers: durable intermediate tables and size-checked joins."""
+"""Shared helpers: durable intermediate tables, batches of bounded bytes, words."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: ``[^\x20\x09-\x0D]+``: the words of every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: A side of a join with at most this many bytes (two long columns a row) is broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of one slice of an Arrow batch that becomes Python objects at once.
+SLICE_BYTES = 4 << 20
+_PATH = "_textlake_path"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share.  Only a local session may do without one; on a
+    cluster a folder of one machine would lose rows, so a missing setting is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -34,18 +40,59 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
-    The table cuts the lineage, outlives lost executors and has a size that the planner knows.
+    The table cuts the lineage, outlives lost executors and has a size in bytes that the planner
+    knows, so it alone decides which side of a later join is small enough to broadcast.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__[_PATH] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes materialized tables.  Call it only when all that reads them has been written."""
+    for t in tables:
+        if path := t.__dict__.pop(_PATH, None):
+            remove(t.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A side of a join that holds at most so many bytes, measured, is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
-def small(df: DataFrame, row_bytes: int = 16, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks ``df`` for broadcast if a count shows that it is under ``limit`` bytes, else leaves
-    the join to be shuffled.  Use it on materialized tables, where the count reads only footers."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def _width(kind: DataType) -> int:
+    return sum(_width(f.dataType) for f in kind.fields) if isinstance(kind, StructType) else 16
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a materialized table for broadcast if its rows, their texts and lists measured, hold at
+    most ``limit`` bytes; else the join is shuffled.  For sides that stay far smaller than the other."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, ArrayType):
+            size = size + F.coalesce(F.size(f.name), F.lit(0)) * _width(f.dataType.elementType)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``limit`` bytes, one row at least."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for k in range(0, batch.num_rows, rows):
+            part = batch.slice(k, rows)
+            if part.num_rows > 1 and part.nbytes > 4 * limit:  # a few long rows among short ones
+                yield from (part.slice(i, 1) for i in range(part.num_rows))
+            else:
+                yield part
 
 
 def word_count(text: Column) -> Column:

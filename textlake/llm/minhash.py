@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm.common import materialize, small, table
+from textlake.llm.common import materialize, slices, small, table
 from textlake.llm.neardup import near_classes
 from textlake.llm.shingles import U, band_hashes, fingerprint, mix, seeds, shingle_set
 
@@ -60,14 +60,14 @@ _OUT = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("b
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, fp, bands = [], [], []
         for text in batch.column(1):
             members = shingle_set(text.as_py())
             n.append(len(members))
             fp.append(fingerprint(members) if len(members) else None)
             bands.append(bands_of(members) if len(members) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=_OUT)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=_OUT)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -81,18 +81,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     sig = materialize(read.mapInArrow(_sketches, "id long, n long, fp long, bands array<long>"), "sketches")
-    full = sig.where("n > 0")
+    # equal sets collapse on the map side, so a group of copies is one node from here on
+    nodes = sig.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes, "nodes")
 
-    def bodies(fps: DataFrame) -> DataFrame:
-        """The text of one document of each set; its least id is found on the narrow table."""
-        one = full.join(small(materialize(fps, "fps"), 8), "fp").where("id is not null").groupBy("id").agg(F.first("fp").alias("fp"))
-        one = materialize(one.groupBy("fp").agg(F.min("id").alias("id")), "one")
-        return read.join(small(one), "id").select("fp", "body").dropDuplicates(["fp"])
+    def texts_of(fps: DataFrame) -> DataFrame:
+        """The text of one document of each set."""
+        one = materialize(nodes.select("fp", "id").join(fps, "fp").groupBy("id").agg(F.min("fp").alias("fp")), "one")
+        return read.join(one, "id").select("fp", "body").dropDuplicates(["fp"])
 
-    same = near_classes(full.where("id is not null").select("fp", "n", "bands"), bodies, percent, bands_of)
-    keyed = sig.select("id", "n", "fp").join(small(same.toDF("fp", "c")), "fp", "left").select("id", "n", F.coalesce("c", "fp").alias("c"))
+    same = near_classes(nodes.select(F.explode("bands").alias("bucket"), "fp"), texts_of, percent, bands_of)
+    keyed = sig.select("id", "n", "fp").join(same.toDF("fp", "c"), "fp", "left").select("id", "n", F.coalesce("c", "fp").alias("c"))
     least = keyed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("c", "least")
-    out = keyed.join(small(materialize(least, "least")), "c", "left")
+    out = keyed.join(materialize(least, "least"), "c", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -102,12 +103,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeat an id one stays; rows without an id stay."""
     found = materialize(near_duplicates(docs.select(id_col, text_col), id_col, text_col, percent), "classes")
     lost = found.where("not kept").select(F.col(id_col).alias("_lost")).distinct()
-    out = docs.join(small(materialize(lost, "lost"), 8), docs[id_col] == F.col("_lost"), "left_anti")
+    out = docs.join(small(materialize(lost, "lost")), docs[id_col] == F.col("_lost"), "left_anti")
     twice = materialize(found.where("kept").groupBy(id_col).count().where(f"count > 1 and {id_col} is not null").select(F.col(id_col).alias("_twice")), "twice")
     if twice.isEmpty():
         return out
-    once = out.join(small(twice, 8), out[id_col] == F.col("_twice"), "left_anti")
-    return once.union(out.join(small(twice, 8), out[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col]))
+    once = out.join(twice, out[id_col] == F.col("_twice"), "left_anti")
+    return once.union(out.join(twice, out[id_col] == F.col("_twice"), "left_semi").dropDuplicates([id_col]))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

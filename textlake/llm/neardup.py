@@ -1,14 +1,16 @@
 """Classes of near-equal texts from banded sketches, each link confirmed on whole shingle sets.
 
 Texts with equal shingle sets are one node (a 64-bit fingerprint of the set).  Nodes that agree in
-a band share a bucket.  Three steps find the links, and none emits all pairs of a bucket:
-
-1. every bucket keeps its least node, found with a map-side combine, and each member is checked
-   against it (linear in the members);
-2. buckets whose members are still in different classes are cut into blocks of bounded size, and
-   each pair of blocks is one task that holds the two blocks' sets, compares only nodes of different
-   classes in the first band that they share, and emits a spanning forest;
-3. connected components of all confirmed links.
+a band share a bucket.  No step emits all pairs of a bucket:
+
+1. ``ROUNDS`` times, members of buckets that are not yet in their bucket's class are checked against
+   the bucket's least node: in the first round a node is checked once, against the least of all its
+   buckets' leaders, later against each leader that it has not joined.  Leaders are found with a
+   map-side combine, and confirmed links are turned into components after each round.
+2. Buckets whose members are still in different classes are cut into blocks of bounded size, and
+   each pair of blocks is one task that holds the two blocks' texts, compares only nodes of different
+   classes in the first band that they share, and emits a spanning forest.
+3. Components of all confirmed links.
 """
 
 from __future__ import annotations
@@ -20,25 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import materialize, small
+from textlake.llm.common import discard, materialize, slices
 from textlake.llm.components import components
 from textlake.llm.shingles import shingle_set, similar
 
-#: Nodes and shingles that one block may hold.
-BLOCK_NODES = 2048
-BLOCK_SHINGLES = 4_000_000
+ROUNDS = 2
+#: Nodes and bytes of text that one block may hold.
+BLOCK_NODES, BLOCK_BYTES = 1024, 8 << 20
 
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
-        for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+        for batch in slices(batches):
             keep = []
-            for i in range(len(a)):
-                if last != b[i]:  # rows of one node often follow each other
-                    last, known = b[i], shingle_set(tb[i])
-                keep.append(similar(shingle_set(ta[i]), known, percent))
+            for b, ta, tb in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if last != b:  # rows of one node often follow each other
+                    last, known = b, shingle_set(tb.as_py())
+                keep.append(similar(shingle_set(ta.as_py()), known, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -46,9 +47,10 @@ def _confirm(percent: int):
 
 def _with_bands(bands_of: Callable[[np.ndarray], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bands = [bands_of(shingle_set(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bands, pa.list_(pa.int64()))], names=["fp", "body", "bands"])
+        for batch in slices(batches):
+            sets = [shingle_set(x.as_py()) for x in batch.column(1)]
+            n, bands = pa.array([len(x) for x in sets], pa.int64()), pa.array([bands_of(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, n, bands], names=["fp", "body", "n", "bands"])
 
     return run
 
@@ -61,7 +63,7 @@ def _forest(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     bucket, first, second = rows[0][:3]
     node, size, block = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6))
     classes = np.unique(np.array([r[4] for r in rows], np.int64), return_inverse=True)[1]
-    bands = np.array([r[7] for r in rows], np.int64)
+    bands = np.stack([r[7] for r in rows])
     k = int((bands == bucket).any(axis=0).argmax())
     sets: dict[int, np.ndarray] = {}
     group = list(range(int(classes.max()) + 1))
@@ -98,13 +100,15 @@ def _blocks(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            bands = batch.column(7).flatten().to_numpy().reshape(batch.num_rows, -1)
+            plain = zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True)
+            for row, own, body in zip(plain, bands, batch.column(8), strict=True):
                 if held and held[0][:3] != row[:3]:
                     found += _forest(held, percent)
                     held = []
-                held.append(row)
+                held.append((*row, own, body.as_py()))
             yield _links(found)
         yield _links(_forest(held, percent) if held else [])
 
@@ -115,37 +119,53 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def near_classes(sketches: DataFrame, bodies: Callable[[DataFrame], DataFrame], percent: int, bands_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _classified(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (bucket, fp) with their class c, of buckets that hold several, and those buckets'
+    (bucket, lo, c_lo, nodes)."""
+    known = members.join(found, members.fp == found.node, "left").select("bucket", "fp", F.coalesce("component", "fp").alias("c"))
+    known = materialize(known, "known")
+    open_ = known.groupBy("bucket").agg(F.min(F.struct("fp", "c")).alias("lo"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("nodes"))
+    open_ = materialize(open_.where("c0 <> c1").select("bucket", F.col("lo.fp").alias("lo"), F.col("lo.c").alias("c_lo"), "nodes"), "open")
+    return known, open_
+
+
+def near_classes(slots: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, bands_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(node long, component long): nodes whose class has a smaller node.
 
-    sketches: (fp long, n long, bands array<long>), a materialized table without empty sets.
-    bodies: from a table of fp, their texts (fp, body).
+    slots: (bucket long, fp long), a row for each band of each node, none twice.
+    texts_of: from a table of fp, (fp, body), a row for each.
+    bands_of: from a text's shingle set, its bands; they are computed again for texts of open buckets.
     """
-    slots = sketches.select("fp", "n", F.explode("bands").alias("bucket"))
-    live = slots.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("bucket", "lo")
-    live = materialize(live, "buckets")
-    members = materialize(slots.join(small(live), "bucket").groupBy("bucket", "fp", "lo").agg(F.max("n").alias("n")), "members")
-    texts = bodies(members.select("fp").distinct()).mapInArrow(_with_bands(bands_of), "fp long, body string, bands array<long>")
-    texts = materialize(texts, "bodies")
-    star = members.where("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
+    live = materialize(slots.groupBy("bucket").count().where("count > 1").select("bucket"), "live")
+    members = materialize(slots.join(live, "bucket"), "members")
+    lo = members.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("bucket", "lo")
+    members = materialize(members.join(lo, "bucket").select("bucket", "fp", "lo"), "shared")
+    texts = materialize(texts_of(members.select("fp").distinct()), "texts")
     far, near = (texts.select(F.col("fp").alias(x), F.col("body").alias(f"body_{x}")) for x in ("a", "b"))
-    pairs = star.join(far, "a").join(near, "b").select("a", "b", "body_a", "body_b")
-    links = materialize(pairs.mapInArrow(_confirm(percent), "a long, b long"), "links")
-    found = components(links)
-
-    known = members.join(small(found), members.fp == found.node, "left").select("bucket", "fp", "n", F.coalesce("component", "fp").alias("c"))
-    known = materialize(known, "known")
-    n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    still = known.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), n_blocks.alias("blocks")).where("c0 <> c1").select("bucket", "blocks")
-    still = materialize(still, "open")
-    if still.isEmpty():
-        return found
-    rows = known.join(small(still), "bucket").withColumn("block", F.pmod(F.hash("fp"), "blocks"))
-    rows = rows.select("bucket", "fp", "c", "n", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("bucket", "fp", "c", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(texts, "fp").select("bucket", "i", "j", "fp", "c", "n", "block", "bands", "body")
-    more = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
-    more = materialize(more, "links")
-    if more.isEmpty():
-        return found
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    pairs = members.groupBy("fp").agg(F.min("lo").alias("b")).where("fp <> b").withColumnRenamed("fp", "a")
+    members = members.select("bucket", "fp")
+    links = None
+    for turn in range(ROUNDS):
+        joined = pairs.join(far, "a").join(near, "b").select("a", "b", "body_a", "body_b")
+        new = materialize(joined.mapInArrow(_confirm(percent), "a long, b long"), "links")
+        if links is not None and new.isEmpty():
+            break
+        links = new if links is None else materialize(links.union(new), "links")
+        found = components(links)
+        known, open_ = _classified(members, found)
+        if turn + 1 < ROUNDS:
+            pairs = known.join(open_, "bucket").where("c <> c_lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
+    if not open_.isEmpty():
+        sizes = known.join(open_.select("bucket"), "bucket").join(texts.select("fp", F.octet_length("body").cast("long").alias("bytes")), "fp")
+        blocks = sizes.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        rows = known.join(materialize(blocks, "blocks"), "bucket").withColumn("block", F.pmod(F.hash("fp"), "blocks"))
+        rows = rows.select("bucket", "fp", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        rows = materialize(rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "c", "block"), "pairs")
+        wanted = texts.join(rows.select("fp").distinct(), "fp").mapInArrow(_with_bands(bands_of), "fp long, body string, n long, bands array<long>")
+        rows = rows.join(materialize(wanted, "wanted"), "fp").select("bucket", "i", "j", "fp", "c", "n", "block", "bands", "body")
+        more = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
+        more = materialize(more, "links")
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    discard(live, members, texts, known)
+    return found
