@@ -7,9 +7,9 @@ its documents' sources and one of their duplicate clusters, and the search goes
 bin with enough room to its successors until one shares no bit with the piece.  Without such a bin
 a new one is opened.
 
-No bin holds two documents of one cluster.  ``max_source_share`` says from which share of all pieces
-on a source is exempt from the rule that a bin holds a source once; such a source could not be
-spread over bins otherwise.  Groups pack apart, so no task grows with the input.
+No bin holds two pieces of one source or of one cluster, whatever share of the pieces a source has: a
+dominant source opens as many bins as it has pieces.  Groups pack apart, so no task grows with the
+input.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,10 +26,9 @@ from textlake.llm.common import SPACE, materialize, table, word_count
 
 CAPACITY = 2048
 GROUP_PIECES = 4096
-MAX_SOURCE_SHARE = 0.25
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, free: set, capacity: int) -> list[tuple[int, int]]:
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> list[tuple[int, int]]:
     """(bin, offset) for each piece, given largest first."""
     repeated = {c: i for i, c in enumerate(k for k, n in Counter(clusters).items() if n > 1)}
     numbered: dict = {}
@@ -37,7 +36,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, free: set, capacit
     seen: list[list[int]] = []  # bitmaps of sources and clusters
     out = []
     for size, source, cluster in zip(sizes, sources, clusters, strict=True):
-        s = 0 if source in free else 1 << numbered.setdefault(source, len(numbered))
+        s = 1 << numbered.setdefault(source, len(numbered))
         c = 1 << repeated[cluster] if cluster in repeated else 0
         at = bisect_left(order, (size, -1))
         while at < len(order) and (seen[order[at][1]][0] & s or seen[order[at][1]][1] & c):
@@ -55,46 +54,47 @@ def best_fit(sizes: list[int], sources: list, clusters: list, free: set, capacit
     return out
 
 
-def _pack(capacity: int, exempt: list):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_tokens", "doc", "piece", "copy"], ascending=[False, True, True, True], kind="stable")
-        placed = best_fit(rows["n_tokens"].tolist(), [None if pd.isna(x) else x for x in rows["source"]], rows["cluster"].tolist(), set(exempt), capacity)
-        rows["bin"] = [b for b, _ in placed]
-        rows["offset"] = [o for _, o in placed]
-        return rows[["doc", "copy", "piece", "first_token", "n_tokens", "source", "cluster", "grp", "bin", "offset"]]
+def _pack(capacity: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n_tokens", "descending"), ("doc", "ascending"), ("piece", "ascending"), ("copy", "ascending"), ("cluster", "ascending")])
+        placed = best_fit(*(rows[c].to_pylist() for c in ("n_tokens", "source", "cluster")), capacity)
+        rows = rows.append_column("bin", pa.array([b for b, _ in placed], pa.int32()))
+        return rows.append_column("bin_offset", pa.array([o for _, o in placed], pa.int64()))
 
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, max_source_share: float = MAX_SOURCE_SHARE) -> DataFrame:
+_PIECE = "doc long, copy int, source string, cluster long, piece int, first_token long, n_tokens long"
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: id, copy int, piece int, first_token long (in its document), n_tokens long,
     source, cluster long, bin_id string, bin_offset long.
 
     Tokens are words.  Documents whose words are equal but for the case of A-Z are one duplicate
-    cluster; rows that repeat an id are, too, and are numbered by ``copy`` in any order.  Texts that
-    are null or blank have no piece.  A null source is one source.  An empty table gives an empty one.
+    cluster; near copies are not (drop them first).  Rows that repeat an id are numbered by ``copy`` in
+    any order, rows without an id only if they are equal.  Texts that are null or blank have no piece.
+    A null source is one source.  An empty table gives an empty one.
     """
     bare = F.btrim(F.translate(F.regexp_replace(F.col(text_col), SPACE, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     sized = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(source_col).cast("string").alias("source"), F.xxhash64(bare).alias("cluster"), word_count(F.col(text_col)).alias("n"))
     sized = materialize(sized.where("n > 0"), "sized")
-    number = F.row_number().over(Window.partitionBy("doc").orderBy("source", "n", "cluster")) - 1
-    # repeated rows are few or the copies of a mix; each id's rows meet in one task, no more
-    sized = sized.withColumn("copy", number)
+    # copies of one id meet in one task; rows without an id by their cluster and source
+    same = [F.col("doc"), F.when(F.col("doc").isNull(), F.xxhash64("cluster", "source"))]
+    sized = sized.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("source", "n", "cluster")) - 1)
     steps = F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))
     pieces = sized.select("*", F.explode(steps).alias("piece"))
     first = F.col("piece").cast("long") * capacity
     pieces = pieces.select("doc", "copy", "source", "cluster", "piece", first.alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("n") - first).alias("n_tokens"))
     pieces = materialize(pieces, "pieces")
-    total = pieces.count()
-    groups = max(1, -(-total // GROUP_PIECES))
-    # at most 1 / max_source_share rows
-    exempt = [r.source for r in pieces.groupBy("source").count().where(F.col("count") > max_source_share * total).collect()]
-    full = pieces.where(F.col("n_tokens") == capacity)
-    whole = full.select("doc", "copy", "piece", "first_token", "n_tokens", "source", "cluster", F.concat_ws("-", F.lit("f"), F.coalesce(F.col("doc").cast("string"), F.lit("")), "copy", "piece").alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
-    part = pieces.where(F.col("n_tokens") < capacity).withColumn("grp", F.pmod(F.xxhash64("doc", "copy", "piece", F.lit(5)), F.lit(groups)).cast("int"))
-    packed = part.groupBy("grp").applyInPandas(_pack(capacity, exempt), "doc long, copy int, piece int, first_token long, n_tokens long, source string, cluster long, grp int, bin int, offset long")
-    packed = packed.select("doc", "copy", "piece", "first_token", "n_tokens", "source", "cluster", F.concat_ws("-", F.lit("g"), "grp", "bin").alias("bin_id"), F.col("offset").alias("bin_offset"))
-    return whole.union(packed).withColumnRenamed("doc", id_col)
+    groups = max(1, -(-pieces.count() // GROUP_PIECES))
+    name = F.concat_ws("-", F.lit("f"), F.coalesce(F.col("doc").cast("string"), F.lit("")), F.when(F.col("doc").isNull(), F.xxhash64("cluster", "source")), "copy", "piece")
+    whole = pieces.where(F.col("n_tokens") == capacity).select("*", name.alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))
+    part = pieces.where(F.col("n_tokens") < capacity).withColumn("grp", F.pmod(F.xxhash64("doc", "copy", "piece", "cluster", F.lit(5)), F.lit(groups)).cast("int"))
+    packed = part.groupBy("grp").applyInArrow(_pack(capacity), f"{_PIECE}, grp int, bin int, bin_offset long")
+    packed = packed.withColumn("bin_id", F.concat_ws("-", F.lit("g"), "grp", "bin")).select(*whole.columns)
+    out = whole.union(packed).withColumnRenamed("doc", id_col)
+    return out.select(id_col, "copy", "piece", "first_token", "n_tokens", "source", "cluster", "bin_id", "bin_offset")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
