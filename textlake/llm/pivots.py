@@ -3,19 +3,21 @@
 Reference points are taken from a bounded sample of the vectors, at least SPREAD times as far apart
 as a linked pair may be, so a dense group does not crowd with nearly equidistant references of which
 its members would choose different ones.  Every vector is described by its NEAREST nearest references
-in order of nearness and stands in the inverted list of each (and of its label).
-Two vectors are candidates if they share at least SHARED references, or all references of their
-length if those are fewer; a pair is looked at only in the
-list of the lowest reference that it shares, so no pair counts twice.  Candidates are verified by
-cosine in double precision.  Lists are cut into blocks of bounded size and each pair of blocks is one
-task that multiplies matrices; it emits a count for each vector and a spanning forest of its links,
-never the pairs.  Equal vectors of one label are one node with a multiplicity.
+in order of nearness and stands in the inverted list of each (and of its label and length).  A list of
+more than LIST vectors is split by a second reference, so that it holds what shares both.
+
+Retrieval counts shared references, and the order weighs them: a reference counts from 1 (nearest in
+both) down to 1/4 (last in both), and a pair is a candidate from WEIGHT on: one shared reference is
+never enough, two are if they don't both stand in the rear.  Vectors of a length with fewer references
+than NEAREST share all of them.  A pair is looked at only in the list of the lowest references that it shares, so none counts
+twice.  Candidates are verified by cosine in double precision.  Lists are cut into blocks of bounded
+size and each pair of blocks is one task; it emits a count for each vector and a spanning forest of its
+links, never the pairs.  Equal vectors of one label are one node with a multiplicity.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +26,12 @@ from textlake.llm.common import materialize, small, table
 from textlake.llm.components import components
 
 COSINE = 0.98
-NEAREST, SHARED = 10, 2
+NEAREST, WEIGHT = 10, 1.01
 #: The sample of reference points: about the root of the number of vectors, within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
 #: References are SPREAD link distances apart; so many sampled vectors are looked at for each.
 SPREAD, LOOKED_AT = 3, 2
-BLOCK = 1024
+BLOCK, LIST = 1024, 4096
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -92,14 +94,25 @@ def _describe(pivots: np.ndarray, nearest: int):
     return run
 
 
-def _columns(of_a, of_b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The references of two blocks, and which of them each row of either block has."""
+def weights(of: list, names: np.ndarray, nearest: int) -> np.ndarray:
+    """[row, reference]: 1 for a row's nearest reference, falling in its order towards 1/2; 0 for others."""
+    out = np.zeros((len(of), len(names)), np.float32)
+    for r, near in enumerate(of):
+        out[r, np.searchsorted(names, near)] = 1 - np.arange(len(near), dtype=np.float32) / (2 * nearest)
+    return out
+
+
+def candidates(of_a: list, of_b: list, pivot: int, other: int, nearest: int, weight: float) -> np.ndarray:
+    """[row, row] of pairs whose shared references weigh enough, and that belong into this list: that of
+    their lowest shared reference, if it was split that of their two lowest."""
+    if pivot < 0:  # a length without references
+        return np.ones((len(of_a), len(of_b)), bool)
     names = np.unique(np.concatenate([*of_a, *of_b]))
-    bits = [np.zeros((len(x), len(names)), np.float32) for x in (of_a, of_b)]
-    for x, m in zip((of_a, of_b), bits, strict=True):
-        for r, near in enumerate(x):
-            m[r, np.searchsorted(names, near)] = 1
-    return names, *bits
+    x, y = weights(of_a, names, nearest), weights(of_b, names, nearest)
+    # vectors of a length with one reference all share it
+    ok = x @ y.T >= (weight if min(map(len, [*of_a, *of_b])) > 1 else 0.25)
+    before = (names < pivot) if other < 0 else (names < other) & (names != pivot)
+    return ok & (x[:, before] @ y[:, before].T == 0) if before.any() else ok
 
 
 def forest(link: np.ndarray, same: bool) -> list[tuple[int, int]]:
@@ -125,35 +138,41 @@ def forest(link: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _block_pairs(cosine: float, shared: int, lengths: list[int]):
-    """lengths: of the reference points."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        here, i, j = int(rows["pivot"].iat[0]), rows["i"].iat[0], rows["j"].iat[0]
-        out = []
-        a = rows if i == j else rows[rows["block"] == i]
-        b = rows if i == j else rows[rows["block"] == j]
+def _block_pairs(cosine: float, nearest: int, weight: float):
+    def run(rows: pa.Table) -> pa.Table:
+        pivot, other, i, j = (rows[c][0].as_py() for c in ("pivot", "other", "i", "j"))
+        block = rows["block"].to_numpy()
+        near, vectors = rows["near"].to_pylist(), rows["vec"].combine_chunks()
+        vectors = unit(vectors.flatten().to_numpy().reshape(len(vectors), -1))
+        nodes, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
+        a = np.flatnonzero(block == i)
+        b = a if i == j else np.flatnonzero(block == j)
+        out: list[tuple] = []
         if len(a) and len(b):
-            link = unit(np.stack(a["vec"].tolist())) @ unit(np.stack(b["vec"].tolist())).T >= cosine
-            if here >= 0 and link.any():
-                names, x, y = _columns(a["near"].tolist(), b["near"].tolist())
-                link &= x @ y.T >= min(shared, lengths.count(lengths[here]))
-                link &= x[:, names < here] @ y[:, names < here].T == 0
+            link = candidates([near[r] for r in a], [near[r] for r in b], pivot, other, nearest, weight)
             if i == j:
                 link &= ~np.eye(len(a), dtype=bool)
-            na, nb = a["node"].to_numpy(), b["node"].to_numpy()
-            count = link @ b["copies"].to_numpy()
-            out += [(n, None, c) for n, c in zip(na.tolist(), count.tolist(), strict=True) if c]
+            if link.any():
+                link &= vectors[a] @ vectors[b].T >= cosine
+            far = link @ copies[b]
+            out += [(n, None, c) for n, c in zip(nodes[a].tolist(), far.tolist(), strict=True) if c]
             if i != j:
-                count = a["copies"].to_numpy() @ link
-                out += [(n, None, c) for n, c in zip(nb.tolist(), count.tolist(), strict=True) if c]
-            out += [(int(na[r]), int(nb[c]), None) for r, c in forest(link, i == j)]
-        # as Int64 from the start: rows with nulls would turn to doubles, which round 64-bit nodes
-        return pd.DataFrame({name: pd.array([x[k] for x in out], dtype="Int64") for k, name in enumerate(("a", "b", "n"))})
+                far = copies[a] @ link
+                out += [(n, None, c) for n, c in zip(nodes[b].tolist(), far.tolist(), strict=True) if c]
+            out += [(int(nodes[a[r]]), int(nodes[b[c]]), None) for r, c in forest(link, i == j)]
+        return pa.table({name: pa.array([x[k] for x in out], pa.int64()) for k, name in enumerate(("a", "b", "n"))})
 
     return run
 
 
+def _in_blocks(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds block, i and j: a row for each pair of blocks of its list that a vector takes part in."""
+    lists = entries.groupBy(*keys).count().where("count > 1").select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    out = entries.join(small(materialize(lists, "lists")), keys).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    out = out.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.select(*keys, "node", "block", F.least("block", "_b").alias("i"), F.greatest("block", "_b").alias("j"))
+
+
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors``: id, n_links long, component_id, kept boolean.
 
@@ -162,9 +181,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     null id link as others do but name no component and are kept.  Equal vectors are linked, each
     row counts.  An empty table gives an empty one.
     """
-    spark = vectors.sparkSession
     v = F.col("vec")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vec"))
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # floats turn to doubles exactly
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("vec"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.col("label").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("vec", F.when(good, v)).withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")))
@@ -175,24 +194,26 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(n**0.5)))
     sample = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(LOOKED_AT * n_pivots).select("vec").collect()
     pivots = spread([np.array(r.vec) for r in sample], n_pivots, cosine)
-    schema = "node long, label string, vec array<double>, copies long, near array<int>"
-    told = nodes.select("node", F.col("label").cast("string").alias("label"), "vec", "copies").mapInArrow(_describe(pivots, NEAREST), schema)
+    told = nodes.select("node", "label", "vec", "copies").mapInArrow(_describe(pivots, NEAREST), f"node long, label string, vec {kind}, copies long, near array<int>")
     told = materialize(told, "permutations")
-    entries = told.select("label", F.explode("near").alias("pivot"))
-    lists = entries.groupBy("label", "pivot").count().where("count > 1").select("label", "pivot", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    lists = materialize(lists, "lists")
-    out = told.withColumn("pivot", F.explode("near")).join(small(lists, 64), ["label", "pivot"])
-    out = out.withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    out = out.select("label", "pivot", "node", "vec", "copies", "near", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = out.groupBy("label", "pivot", "i", "j").applyInPandas(_block_pairs(cosine, SHARED, [len(p) for p in pivots]), "a long, b long, n long")
+    entries = told.select("label", "node", F.explode("near").alias("pivot"), "near")
+    long = entries.groupBy("label", "pivot").count().where(f"count > {LIST} and pivot >= 0").select("label", "pivot", F.lit(True).alias("long"))
+    entries = entries.join(small(materialize(long, "long")), ["label", "pivot"], "left")
+    seconds = F.when(F.coalesce("long", F.lit(False)), F.filter("near", lambda q: q > F.col("pivot"))).otherwise(F.array(F.lit(-1)))
+    # a length with one reference has no second one to split by
+    seconds = F.when((F.size("near") == 1), F.array(F.lit(-1))).otherwise(seconds)
+    entries = entries.select("label", "node", "pivot", F.explode(seconds).alias("other"))
+    keys = ["label", "pivot", "other"]
+    out = _in_blocks(entries, keys).join(told.drop("label"), "node")
+    found = out.groupBy(*keys, "i", "j").applyInArrow(_block_pairs(cosine, NEAREST, WEIGHT), "a long, b long, n long")
     found = materialize(found, "links")
     degree = materialize(found.where("b is null").groupBy("a").agg(F.sum("n").alias("far")), "degrees")
     same = components(found.where("b is not null").select("a", "b"))
-    keyed = rows.select("id", "node").join(small(same.toDF("node", "c")), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    stats = nodes.select("node", "copies").join(small(degree.withColumnRenamed("a", "node")), "node", "left")
+    keyed = rows.select("id", "node").join(same.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    stats = nodes.select("node", "copies").join(degree.withColumnRenamed("a", "node"), "node", "left")
     stats = materialize(stats.select("node", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "stats")
     least = materialize(keyed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1").select("c", "least"), "least")
-    out = keyed.join(small(stats), "node", "left").join(small(least), "c", "left")
+    out = keyed.join(stats, "node", "left").join(least, "c", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
