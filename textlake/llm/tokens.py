@@ -18,6 +18,7 @@ reaches will do and a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textlake.llm.common import materialize, new_path, table
+from textlake.llm.common import materialize, new_path, slices, small, table
 
 END_ID = 2
 MAGIC = b"TLK1"
 HEAD = np.dtype([("magic", "S4"), ("shard", "<u4"), ("block", "<u4"), ("docs", "<u4"), ("ids", "<u8"), ("data", "<u8")])
 #: Bytes of coded ids that one shard is planned for, and ids that one block holds at least.
 SHARD_BYTES, BLOCK_IDS = 16 << 20, 1 << 19
+#: Shards whose ids are summed up in one task.
+RUN = 1024
 #: Words, and pieces of words, whose ids a Python worker remembers.
 REMEMBERED, PIECES = 400_000, 700_000
 
@@ -117,6 +120,10 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The normalizers and pre-tokenizers (fixed values of this vocabulary) under which no token spans two
+#: words and simple words are what ``_SIMPLE`` says.  Others are encoded text by text by the library.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that are Latin letters with marks behind them: two pieces for this vocabulary's pre-tokenizer,
 #: which no normalization but lower case can change.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#]*)")
@@ -135,12 +142,26 @@ def _byte_letters() -> list[str]:
     return out
 
 
+def by_words(tokenizer) -> bool:
+    """Whether the tokenizer's rules are those that let words be encoded one by one."""
+    spec = json.loads(tokenizer.to_str())
+    normal, pre = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    parts = pre.get("pretokenizers", [{}])
+    split = parts[0].get("pattern") == {"Regex": _SPLIT} and parts[0].get("behavior") == "Removed" and parts[0].get("invert")
+    rest = [(p["type"], p.get("add_prefix_space"), p.get("use_regex")) for p in parts[1:]] == [("ByteLevel", False, False)]
+    return bool([n["type"] for n in normal.get("normalizers", [])] == _NORMALIZERS and split and rest and spec["post_processor"] is None)
+
+
 class Encoder:
-    """Ids of whole texts.  This vocabulary drops white space, so no token spans two words and each word
-    is encoded once: simple words by the library's model, piece by piece, others by the whole library."""
+    """Ids of whole texts.  A vocabulary that drops white space has no token that spans two words, so each
+    word is encoded once: simple words by the library's model, piece by piece, others by the whole
+    library.  For any other tokenizer the library encodes whole texts."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
+        self.by_words = by_words(self.tokenizer)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
@@ -172,6 +193,9 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids as unsigned 16-bit numbers, the end id last."""
+        if not self.by_words:
+            found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            return [np.array([*x.ids, END_ID], "<u2").tobytes() for x in found]
         cut = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
         end = np.array([END_ID], "<u2").tobytes()
         out, k = [], 0
@@ -201,7 +225,7 @@ def _encoder(path: str) -> Encoder:
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = encoder(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -225,7 +249,7 @@ def _code(ranks: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _encoder.cache_clear()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(1)]
             both = [encode(rank_of[x]) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array([c for c, _ in both], pa.binary()), pa.array([d for _, d in both], pa.binary())], names=["doc_id", "n", "control", "data"])
@@ -239,7 +263,7 @@ def _write(ranks: np.ndarray):
 
         shard, block, held = TaskContext.get().partitionId(), 0, 0
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append(row)
                 held += row[1]
@@ -269,7 +293,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text (null: empty), each with the end id behind it, and writes shards to ``path``.
 
-    Rows stand in ascending order of id, nulls first, rows of one id by length and bytes.
+    Rows stand in ascending order of id, nulls first, rows of one id in an order of their bytes.
     An empty table writes no shard.
     """
     coded = materialize(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_tokenize(tokenizer_path), "doc_id long, ids binary"), "ids")
@@ -278,20 +302,26 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
     ranks = np.array([r.token for r in rows], np.uint32)
     shards = max(1, -(-sum(r.n for r in rows) * 3 // 2 // SHARD_BYTES))
     small_ids = coded.mapInArrow(_code(ranks), "doc_id long, n int, control binary, data binary")
-    ordered = small_ids.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n", "data")
+    # rows of one id, and those without one, may fill several shards: the data bytes' hash orders them
+    ordered = small_ids.withColumn("_h", F.xxhash64("data")).repartitionByRange(shards, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "n", "data").drop("_h")
     raw = ordered.mapInArrow(_write(ranks), "raw binary").select(F.col("raw").cast("string").alias("raw"))
     raw.write.option("lineSep", "\n").text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the shards in ``path``; ``start`` counts all ids in
-    front of a document: those of earlier shards (a row a shard is summed up) and of its own."""
+    front of a document: those of earlier shards and of its own.  Shards are summed up in runs of RUN
+    first, so what one task orders is a row for each RUN shards, 16 GB of coded ids."""
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = materialize(files.mapInArrow(_read, "shard int, block int, place long, doc_id long, n_tokens long, ids_crc32 long"), "read")
     before = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = before.withColumn("base", F.sum("n").over(Window.orderBy("shard")) - F.col("n")).select("shard", "base")
+    before = materialize(before.withColumn("run", F.floor(F.col("shard") / RUN)), "shards")
+    runs = before.groupBy("run").agg(F.sum("n").alias("k"))
+    runs = runs.select("run", (F.sum("k").over(Window.orderBy("run")) - F.col("k")).alias("ahead"))
+    inside = F.sum("n").over(Window.partitionBy("run").orderBy("shard")) - F.col("n")
+    before = before.withColumn("inside", inside).join(F.broadcast(materialize(runs, "runs")), "run").select("shard", (F.col("ahead") + F.col("inside")).alias("base"))
     own = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    out = rows.withColumn("own", own).join(F.broadcast(materialize(before, "bases")), "shard")
+    out = rows.withColumn("own", own).join(small(materialize(before, "bases")), "shard")
     return out.select("doc_id", (F.col("base") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
 
 
