@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textlake.llm.common import crc32_of, materialize, small, table
+from textlake.llm.common import crc32_of, materialize, table
 from textlake.llm.shingles import U, seeds
 
 GRAM, HASHES, CELL_BITS = 4, 2, 20
 TRAIN_DOCS = 400
+#: Training texts in all, and bytes of the longest one.
+TRAIN_TEXTS, TRAIN_BYTES = 8000, 64 << 10
 #: Share of a language's texts that must have an n-gram, and that share against the largest one.
 LEAST_SHARE, LEAST_RATIO = 0.01, 0.1
 UNKNOWN = "und"
@@ -106,12 +108,19 @@ class Filters:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> Filters:
     """Fits on at most ``per_language`` texts of each language of ``docs``, the first by a hash of the
-    id; only ids are ranked, and only the chosen texts reach the driver."""
-    ids = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(7)), "_id"))
-    chosen = ids.withColumn("_k", place).where(F.col("_k") <= per_language).select("_id").distinct()
-    chosen = materialize(chosen, "training")
-    rows = docs.join(small(chosen, 8), F.col(id_col) == F.col("_id")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select("_id", F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).collect()
+    id, and on TRAIN_TEXTS texts in all; texts are of at most TRAIN_BYTES, one for each id.  A hash
+    threshold leaves few ids to rank, and only the chosen texts reach the driver."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_BYTES))
+    ids = materialize(known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")), "labelled")
+    counts = ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(TRAIN_TEXTS).withColumnRenamed("count", "_n")
+    counts = materialize(counts, "languages")
+    most = min(per_language, TRAIN_TEXTS // max(1, counts.count()))
+    h = F.xxhash64("_id", F.lit(7))
+    near = ids.join(F.broadcast(counts), "_lang").where(F.pmod(h, F.lit(1 << 30)) * F.col("_n") <= F.lit((1 << 30) * (2 * most + 100)))  # a row a language
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(h, "_id"))
+    chosen = materialize(near.withColumn("_k", place).where(F.col("_k") <= most).select("_id").distinct(), "training")
+    rows = known.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # at most TRAIN_TEXTS ids
+    rows = rows.groupBy("_id").agg(F.min(F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))).alias("r")).select("_id", "r.lang", "r.text").collect()
     rows.sort(key=lambda r: (r.lang, r["_id"], r.text))
     return Filters.fit([r.text for r in rows], [r.lang for r in rows])
 
