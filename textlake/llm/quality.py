@@ -29,8 +29,8 @@ COMMON_WORDS = {
     "es": ("el", "la", "los", "las", "de", "del", "y", "en", "que", "se", "no", "con"),
 }
 BINS = 1 + max(map(len, COMMON_WORDS.values()))
-#: Classes next to lower-case ASCII letters and the rest, which are what is left.
-CLASSES = {"upper": r"\p{Lu}", "digit": r"[0-9]", "accented": r"[\p{L}&&[^\x00-\x7F]&&[^\p{Lu}]]", "stop": r"[.,;:!?'\"()-]"}
+#: Character classes next to symbols, blanks, and the rest (other signs: control characters, emoji, …).
+CLASSES = {"lower": r"[a-z]", "upper": r"\p{Lu}", "digit": r"[0-9]", "accented": r"[\p{L}&&[^\x00-\x7F]&&[^\p{Lu}]]", "stop": r"[.,;:!?'\"()-]"}
 N_CLASSES = len(CLASSES) + 3
 
 MIN_WORDS, MIN_LETTERS = 100, 200
@@ -138,7 +138,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.col(lang_col))
     verdict = quality(docs.select(hashed.alias(key), text_col, lang_col), key, text_col, lang_col)
     lost = materialize(verdict.where("not kept").select(F.col(key).alias("_lost")).distinct(), "rejected")
-    return docs.withColumn(key, hashed).join(small(lost, 8), F.col(key) == F.col("_lost"), "left_anti").drop(key)
+    return docs.withColumn(key, hashed).join(small(lost), F.col(key) == F.col("_lost"), "left_anti").drop(key)
 
 
 def op4_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +171,8 @@ b AS (
          {count("[.,;:!?''\"()-]")} AS stop,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM a),
 c AS (
-  SELECT *, [CAST(up AS DOUBLE), dig, letters - ascii - (up - asciiup), stop, sy, length(t) - chars,
-             length(t) - up - dig - (letters - ascii - (up - asciiup)) - stop - sy - (length(t) - chars)] AS k,
+  SELECT *, [CAST(ascii - asciiup AS DOUBLE), up, dig, letters - ascii - (up - asciiup), stop, sy, length(t) - chars,
+             length(t) - (ascii - asciiup) - up - dig - (letters - ascii - (up - asciiup)) - stop - sy - (length(t) - chars)] AS k,
          CASE l {bins} END AS b0 FROM b),
 d AS (SELECT * EXCLUDE (b0), list_append(b0, n - list_sum(b0)) AS bn FROM c),
 win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM a WHERE len(ws) >= 3),

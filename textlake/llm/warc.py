@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm.common import materialize, new_path, small, table
+from textlake.llm.common import materialize, new_path, slices, small, table
 
 VERSION = b"WARC/1.1"
 DICTIONARY_MAGIC = (0x184D2A5D).to_bytes(4, "little")
@@ -135,7 +135,7 @@ def _write(dictionary: bytes):
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=True).compress
         first = True
-        for batch in batches:
+        for batch in slices(batches):
             ids, urls, texts, refers = (c.to_pylist() for c in batch.columns)
             out = [compress(record(i, u, (t or "").encode("utf-8", "replace"), r)) for i, u, t, r in zip(ids, urls, texts, refers, strict=True)]
             if first and out:
@@ -185,7 +185,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     texts = [r[0].encode("utf-8", "replace") for r in rows.join(sample, "id").where(F.octet_length("html") <= SAMPLE_BYTES).select("html").limit(SAMPLE_PAGES).collect()]
     dictionary = dictionary_of(sorted(texts))
     groups = sized.where(F.col("n") >= least_bytes).groupBy("sha").agg(F.max("id").alias("last"), F.count("id").alias("c")).where("c > 1").select("sha", "last")
-    groups = small(materialize(groups, "repeated"), 64)
+    groups = small(materialize(groups, "repeated"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     keyed = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).join(groups, "sha", "left")
     keyed = keyed.select("id", "url", "html", F.when(F.col("last") != F.col("id"), F.col("last")).alias("refers"))
