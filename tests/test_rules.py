@@ -7,6 +7,7 @@ import random
 import unicodedata
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from textlake.functions import bidi as B
@@ -186,7 +187,11 @@ def test_scan_decode_and_docx(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in found.select("path").collect()} == {"a.txt", "d.docx"}
     assert X.read_text_decoded(found.where("path like '%a.txt'")).first().text == "שלום"
     assert X.extract_docx(found.where("path like '%docx'")).first().text == "one\ntwo\nx\ty"
-    assert X.docx_text(b"no zip") is None
+    with pytest.raises(X.DOCX_ERRORS):
+        X.docx_text(b"no zip")
+    bad = spark.createDataFrame([(b"no zip",), (None,)], "content binary")
+    assert [r.text for r in X.extract_docx(bad).collect()] == [None, None] and X.extract_docx(bad).where("error is not null").count() == 1
+    assert X.decode("שלום".encode("utf-16")) == X.decode("שלום".encode("utf-16-le")) == X.decode("שלום".encode("cp1255")) == X.decode("שלום".encode()) == "שלום"
 
 
 def test_text_sink_has_a_mark(spark, tmp_path):

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-POINTS = f"{chr(0x591)}-{chr(0x5C7)}"
-LETTERS = f"{chr(0x5D0)}-{chr(0x5EA)}"
-GERESH, GERSHAYIM = chr(0x5F3), chr(0x5F4)
+#: Points and cantillation marks, letters, and the two quote signs of Hebrew (fixed values).
+POINTS = "\u0591-\u05C7"
+LETTERS = "\u05D0-\u05EA"
+GERESH, GERSHAYIM = "\u05F3", "\u05F4"
 TOKEN_CLASS = f"0-9A-Za-z{LETTERS}{POINTS}{GERESH}{GERSHAYIM}'"
 TOKEN = f"[{TOKEN_CLASS}]+"
 PIECE = f"[{TOKEN_CLASS}]+|[^{TOKEN_CLASS}]+"
@@ -20,9 +21,9 @@ FINALS, REGULAR = "ךםןףץ", "כמנפצ"
 #: (fixed values).
 PREFIXES = "והבכלמש"
 SUFFIXES = ("יותיהמ", "ותיהמ", "יהמ", "יהנ", "ותינו", "ותיכמ", "יות", "ימ", "ות", "ייכ", "ותי", "נו", "כמ", "כנ", "המ", "הנ", "תי", "תמ", "תנ", "ה", "ת", "י", "כ")
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-#: Python's blanks, written out since Java's \s is ASCII.
-BLANK = "\t\n\x0b\x0c\r\x1c-\x20\x85\xa0  -     　"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: Python's blanks, written out since Java's \\s is ASCII.
+BLANK = "\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:

@@ -17,6 +17,7 @@ from textlake.operators import results as R
 from textlake.operators.catalog import trimmed
 
 MARKS = {"$": 1, "@": 2, "~": 3}
+#: Leads of code lines, heading tags, and sizes (fixed values).
 LEGEND_LEADS = "!#^&*+=|%;`"
 TAG = rf"(?i)^[{BLANK}]*<h([123])>(.*?)</h\1>[{BLANK}]*$"
 CHUNK = 12_000
@@ -159,7 +160,8 @@ def sync_text_to_page(points: DataFrame, display: DataFrame, heads: DataFrame, t
     placed = _placed(heads, twin, tokens)
     pages = R.page_for_offset_incl(placed.select("file_id", "offset").distinct(), segments).where("page <> 0")
     known = placed.join(pages, ["file_id", "offset"]).select("path", "start", "page")
-    best = points.join(known, "path").where("start <= point").groupBy("path", "point").agg(F.max_by("page", "start").alias("page"))
+    marks = known.select("path", F.col("start").alias("point"), "start", F.struct("page").alias("before"))
+    best = R.look_back(points.distinct(), marks, "path", "point", "start").select("path", "point", F.col("before.page").alias("page"))
     n_pages = segments.groupBy("file_id").agg(F.count("*").alias("n_pages")).join(twin, "file_id").select("path", "n_pages")
     rows = points.join(display.select("path", F.length("text").alias("n")), "path").join(best, ["path", "point"], "left").join(n_pages, "path", "left")
     share = F.col("point") / F.greatest(F.lit(1), F.col("n")) * F.greatest(F.lit(1), F.coalesce("n_pages", F.lit(0)))
@@ -171,8 +173,10 @@ def sync_page_to_text(pages: DataFrame, display: DataFrame, heads: DataFrame, tw
     at or before the page's end, else by share of pages, half to even."""
     placed = _placed(heads, twin, tokens)
     ends = segments.groupBy("file_id", "page").agg(F.max_by("char_end", "seq").alias("page_end")).join(twin, "file_id").select("path", "page", "page_end")
-    hit = pages.join(ends, ["path", "page"]).join(placed, "path").where("offset <= page_end")
-    best = hit.groupBy("path", "page").agg(F.max_by("start", F.struct("offset", -F.col("start"))).alias("best"))
+    asked = pages.join(ends, ["path", "page"]).select("path", "page", F.col("page_end").alias("offset"))
+    marks = placed.select("path", "offset", (-F.col("start")).alias("first"), F.struct("start").alias("before"))
+    found = R.look_back(asked.select("path", "offset").distinct(), marks, "path", "offset", "first")
+    best = asked.join(found, ["path", "offset"]).select("path", "page", F.col("before.start").alias("best"))
     n_pages = segments.groupBy("file_id").agg(F.count("*").alias("n_pages")).join(twin, "file_id").select("path", "n_pages")
     cut = display.select("path", chunk_boundaries("text").alias("bounds"))
     rows = pages.join(cut, "path").join(best, ["path", "page"], "left").join(n_pages, "path", "left")

@@ -6,13 +6,13 @@ indexed_at, force_ocr) and segments (file_id, seq, page, char_start, char_end).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textlake.functions import bidi
 from textlake.functions.text import BLANK, col
+from textlake.sources.tables import stored
 
 FILES = "id long, path string, name string, ext string, size long, mtime double, sha1 string, status string, error string, source string, page_count int, char_count long, full_text string, indexed_at double, force_ocr boolean"
 SEPARATOR = "\n\n"
@@ -20,6 +20,7 @@ WHOLE_HASH, SAMPLE = 4 << 20, 1 << 20
 MAX_BYTES = 200 << 20
 LEAST_PAGE_CHARS = 15
 MAX_ERROR = 2000
+#: Extensions by kind (fixed values).
 IMAGES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".gif", ".webp")
 TEXTS = (".txt", ".md", ".csv", ".log", ".json", ".xml", ".htm", ".html")
 
@@ -67,9 +68,10 @@ def upsert_files(files: DataFrame, changed: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     """Adds 1..n in the order of ``by``: ranges are counted apart and shifted by the sum of those in
-    front, so no task sees all rows.  The ranges are kept, since both uses must see the same ones."""
+    front, so no task sees all rows.  The ranges are written, since both uses must see the same ones."""
     parts = df.repartitionByRange(by).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_l", F.row_number().over(Window.partitionBy("_p").orderBy(by))).persist(StorageLevel.MEMORY_AND_DISK)
+    local = parts.withColumn("_l", F.row_number().over(Window.partitionBy("_p").orderBy(by)))
+    local = stored(local, "numbered")
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_l")).drop("_p", "_l", "_before")

@@ -53,13 +53,13 @@ def _mode(vy, aa) -> Column:
     return vy.cast("int") * 2 + aa.cast("int")
 
 
-def token_keys(tokens: DataFrame, modes: list[tuple[bool, bool]]) -> DataFrame:
+def token_keys(tokens: DataFrame, modes: list[tuple[bool, bool]], *more: str) -> DataFrame:
     """The keys that a token can be found by: folded normal form and folded stem, for each mode."""
     keys = []
     for vy, aa in modes:
         for kind, name in ((0, "norm"), (1, "stem")):
             keys.append(F.struct(_mode(vy, aa).alias("mode"), F.lit(kind).alias("kind"), T.fold_form(name, vy, aa).alias("key")))
-    return tokens.select("doc_id", "pos", "start", "end", F.inline(F.array(*keys)))
+    return tokens.select("doc_id", "pos", "start", "end", *more, F.inline(F.array(*keys)))
 
 
 def word_occurrences(tokens: DataFrame, queries: list[Query]) -> DataFrame:
@@ -77,8 +77,7 @@ def phrase_occurrences(tokens: DataFrame, queries: list[Query]) -> DataFrame:
     words = query_words(query_table(tokens.sparkSession, queries))
     words = words.select("query_id", "w", "n_words", _mode("fold_vy", "fold_aa").alias("mode"), T.fold_form("term", F.col("fold_vy"), F.col("fold_aa")).alias("key"))
     hits = token_keys(tokens, _modes(queries)).where("kind = 0").join(words, ["mode", "key"])
-    at = hits.groupBy("query_id", "doc_id", (F.col("pos") - F.col("w")).alias("pos"), "n_words").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
-    return at.where("n = n_words").select("query_id", "doc_id", "pos", "start", "end")
+    return in_a_row(hits)
 
 
 def windowed(occurrences: DataFrame, queries: list[Query]) -> DataFrame:
@@ -99,16 +98,44 @@ def matched(occurrences: DataFrame, queries: list[Query]) -> DataFrame:
     return seen.where("found >= required and (required <= 1 or proximity <= 0 or near >= required)").select("query_id", "doc_id")
 
 
+def form_matches(forms: DataFrame, queries: list[Query]) -> DataFrame:
+    """(query_id, w, norm): which forms (norm, stem) of a vocabulary are occurrences of which word."""
+    rows = forms.select(F.lit(0).alias("doc_id"), F.lit(0).alias("pos"), F.lit(0).alias("start"), F.lit(0).alias("end"), "norm", "stem")
+    words = query_words(query_table(forms.sparkSession, queries))
+    asked = F.array(*(F.struct(F.lit(kind).alias("q_kind"), T.fold_form(name, F.col("fold_vy"), F.col("fold_aa")).alias("key")) for kind, name in ((0, "term"), (1, "stem"))))
+    words = words.select("query_id", "w", "whole_word", _mode("fold_vy", "fold_aa").alias("mode"), F.inline(asked))
+    found = token_keys(rows, _modes(queries), "norm").join(words, ["mode", "key"]).where("not whole_word or (kind = 0 and q_kind = 0)")
+    return found.select("query_id", "w", "norm").distinct()
+
+
+def phrase_forms(forms: DataFrame, queries: list[Query]) -> DataFrame:
+    """(query_id, w, n_words, norm): which forms can stand for which word of an exact phrase."""
+    rows = forms.select(F.lit(0).alias("doc_id"), F.lit(0).alias("pos"), F.lit(0).alias("start"), F.lit(0).alias("end"), "norm", "stem")
+    words = query_words(query_table(forms.sparkSession, queries))
+    words = words.select("query_id", "w", "n_words", _mode("fold_vy", "fold_aa").alias("mode"), T.fold_form("term", F.col("fold_vy"), F.col("fold_aa")).alias("key"))
+    return token_keys(rows, _modes(queries), "norm").where("kind = 0").join(words, ["mode", "key"]).select("query_id", "w", "n_words", "norm").distinct()
+
+
+def in_a_row(hits: DataFrame) -> DataFrame:
+    """Of hits (query_id, doc_id, pos, w, n_words, start, end) of phrase words, the whole phrases."""
+    at = hits.groupBy("query_id", "doc_id", (F.col("pos") - F.col("w")).alias("pos"), "n_words").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return at.where("n = n_words").select("query_id", "doc_id", "pos", "start", "end")
+
+
 def analyze(tokens: DataFrame, queries: list[Query]) -> DataFrame:
     """(query_id, doc_id, spans array<struct<start,end>>, first_pos) of the documents that match; spans
     are all occurrences, each once, in order."""
     exact, plain = [q for q in queries if q.exact], [q for q in queries if not q.exact]
+    return spans(word_occurrences(tokens, plain) if plain else None, phrase_occurrences(tokens, exact) if exact else None, plain)
+
+
+def spans(found: DataFrame | None, phrases: DataFrame | None, plain: list[Query]) -> DataFrame:
+    """As ``analyze``, from the occurrences of plain queries' words and of exact phrases."""
     parts = []
-    if plain:
-        found = word_occurrences(tokens, plain)
+    if found is not None:
         parts.append(found.join(matched(found, plain), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "pos", "start", "end"))
-    if exact:
-        parts.append(phrase_occurrences(tokens, exact))
+    if phrases is not None:
+        parts.append(phrases)
     rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     return rows.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"), F.min("pos").alias("first_pos"))
 

@@ -83,10 +83,12 @@ def page_of_offset(points: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def page_for_offset_incl(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """The first segment that holds the offset with its end included, else null."""
-    hit = points.distinct().join(segments, "file_id").where((F.col("char_start") <= F.col("offset")) & (F.col("offset") <= F.col("char_end")))
-    first = hit.groupBy("file_id", "offset").agg(F.min_by("page", "seq").alias("page"))
-    return points.join(first, ["file_id", "offset"], "left").select("file_id", "offset", "page")
+    """The first segment that holds the offset with its end included, else null: the one that starts
+    before the offset, if it reaches it, else the one that starts there."""
+    here = segments.groupBy("file_id", F.col("char_start").alias("offset")).agg(F.min_by("page", "seq").alias("here"))
+    rows = _before(points.distinct(), segments, strictly=True).join(here, ["file_id", "offset"], "left")
+    found = rows.select("file_id", "offset", F.when(F.col("offset") <= F.col("before.char_end"), F.col("before.page")).otherwise(F.col("here")).alias("page"))
+    return points.join(found, ["file_id", "offset"], "left").select("file_id", "offset", "page")
 
 
 def page_asof_start(points: DataFrame, segments: DataFrame) -> DataFrame:
@@ -94,12 +96,19 @@ def page_asof_start(points: DataFrame, segments: DataFrame) -> DataFrame:
     return _before(points, segments).select("file_id", "offset", F.col("before.page").alias("page"))
 
 
-def _before(points: DataFrame, segments: DataFrame) -> DataFrame:
-    seg = segments.select("file_id", F.col("char_start").alias("offset"), F.lit(0).alias("kind"), F.struct("page", "char_start", "char_end", "seq").alias("segment"))
-    asked = points.select("file_id", "offset", F.lit(1).alias("kind"), F.lit(None).cast(seg.schema["segment"].dataType).alias("segment"))
-    order = Window.partitionBy("file_id").orderBy("offset", "kind", F.col("segment.seq")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = seg.union(asked).withColumn("before", F.last("segment", ignorenulls=True).over(order))
-    return rows.where("kind = 1").select("file_id", "offset", "before")
+def _before(points: DataFrame, segments: DataFrame, strictly: bool = False) -> DataFrame:
+    marks = segments.select("file_id", F.col("char_start").alias("offset"), "seq", F.struct("page", "char_start", "char_end", "seq").alias("before"))
+    return look_back(points.select("file_id", "offset"), marks, "file_id", "offset", "seq", strictly)
+
+
+def look_back(points: DataFrame, marks: DataFrame, key: str, at: str, order: str, strictly: bool = False) -> DataFrame:
+    """points (key, at) with ``before`` of marks (key, at, order, before): the last mark at or before (or
+    strictly before) the point, the one with the greatest ``order`` of several.  One window over both
+    tables in order; no range join."""
+    asked = points.select(key, at, F.lit(-1 if strictly else 1).alias("kind"), F.lit(None).cast(marks.schema[order].dataType).alias("_o"), F.lit(None).cast(marks.schema["before"].dataType).alias("before"))
+    rows = marks.select(key, at, F.lit(0).alias("kind"), F.col(order).alias("_o"), "before").union(asked)
+    own = Window.partitionBy(key).orderBy(at, "kind", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("before", F.last("before", ignorenulls=True).over(own)).where("kind <> 0").select(key, at, "before")
 
 
 def highlight_markup(text, spans, opening: str = "<mark>", closing: str = "</mark>") -> Column:

@@ -1,7 +1,7 @@
 """Index tables, ranking and the search itself.
 
-The index is plain data: postings (field, term, doc_id, tf), lengths (doc_id, field, length) and their
-sums.  Written sorted by field and term, a search for a few terms reads a few row groups.
+The index is plain data, written once: postings and places in the order of their terms, so a search for
+a few terms reads a few row groups, and lengths, sums, vocabulary and forms by document.
 """
 
 from __future__ import annotations
@@ -14,27 +14,28 @@ from pyspark.sql.window import Window
 
 from textlake.functions import text as T
 from textlake.operators import match as M
+from textlake.sources.tables import stored
 
 NAME_BOOST = 2.5
 K1, B = 1.2, 0.75
 NAME_TOKEN = "[\\p{L}\\p{N}]+"
 
 
-def fields(docs: DataFrame) -> DataFrame:
-    """(doc_id, field, term), a row for each indexed token, from docs (doc_id, name, text)."""
-    n = docs.select("doc_id", "name", T.norms("text").alias("n")).withColumn("s", F.transform("n", lambda x: T.light_stem(x)))
-    fold = lambda c: F.transform(c, lambda x: T.fold_form(x))
-    streams = F.array(
-        F.struct(F.lit("content").alias("field"), F.col("n").alias("terms")),
-        F.struct(F.lit("content_stem").alias("field"), F.col("s").alias("terms")),
-        F.struct(F.lit("content_fold").alias("field"), F.concat(fold("n"), fold("s")).alias("terms")),
-        F.struct(F.lit("name").alias("field"), F.regexp_extract_all(F.lower("name"), F.lit(NAME_TOKEN), F.lit(0)).alias("terms")),
-    )
-    return n.select("doc_id", F.inline(streams)).select("doc_id", "field", F.explode("terms").alias("term"))
+def postings(docs: DataFrame) -> DataFrame:
+    """(field, term, doc_id, tf) of docs (doc_id, name, text).  Forms are counted in their document first;
+    stems and folds are made once for each form of the vocabulary."""
+    counts = docs.select("doc_id", "text").repartition(F.col("doc_id")).select("doc_id", F.explode(T.norms("text")).alias("norm")).groupBy("doc_id", "norm").agg(F.count("*").alias("tf"))
+    names = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("name"), F.lit(NAME_TOKEN), F.lit(0))).alias("term"))
+    return field_counts(counts).union(names.groupBy(F.lit("name").alias("field"), "term", "doc_id").agg(F.count("*").alias("tf")))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    return fields(docs).groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"))
+def field_counts(counts: DataFrame) -> DataFrame:
+    """(field, term, doc_id, tf) of the text fields from (doc_id, norm, tf)."""
+    forms = counts.select("norm").distinct().withColumn("stem", T.light_stem("norm"))
+    one = lambda field, term: F.struct(F.lit(field).alias("field"), term.alias("term"))
+    streams = F.array(one("content", F.col("norm")), one("content_stem", F.col("stem")), one("content_fold", T.fold_form("norm")), one("content_fold", T.fold_form("stem")))
+    terms = forms.select("norm", F.inline(streams))
+    return counts.join(terms, "norm").groupBy("field", "term", "doc_id").agg(F.sum("tf").alias("tf"))
 
 
 def lengths(posts: DataFrame) -> DataFrame:
@@ -48,9 +49,42 @@ def field_stats(docs: DataFrame, posts: DataFrame) -> DataFrame:
     return total.join(F.broadcast(n)).select("field", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("average"))
 
 
-def write_index(posts: DataFrame, path: str) -> None:
-    """Sorted by field and term, so the term filter of a search prunes row groups."""
-    posts.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(path)
+@dataclass(frozen=True)
+class Index:
+    """Stored tables: posts (field, term, doc_id, tf) in the order of field and term, lengths (doc_id,
+    field, length), stats (field, n_docs, average), places (norm, stem, doc_id, pos, start, end) in the
+    order of norm, forms (norm, stem), forward (doc_id, norms array)."""
+
+    posts: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+    places: DataFrame
+    forms: DataFrame
+    forward: DataFrame
+
+
+def build_index(docs: DataFrame) -> Index:
+    """Writes the index of docs (doc_id, name, text).  Postings and places are range-partitioned and
+    sorted, so the term filter of a search skips row groups."""
+    tokens = T.tokens(docs).select("norm", "stem", "doc_id", "pos", "start", "end")
+    places = stored(tokens.repartitionByRange("norm", "doc_id").sortWithinPartitions("norm", "doc_id"), "places")
+    counts = places.groupBy("doc_id", "norm").agg(F.count("*").alias("tf"))
+    names = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("name"), F.lit(NAME_TOKEN), F.lit(0))).alias("term"))
+    posts = field_counts(counts).union(names.groupBy(F.lit("name").alias("field"), "term", "doc_id").agg(F.count("*").alias("tf")))
+    posts = stored(posts.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), "posts")
+    forward = places.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("t")).select("doc_id", F.col("t.norm").alias("norms"))
+    return Index(posts, stored(lengths(posts), "lengths"), stored(field_stats(docs, posts), "stats"), places, stored(places.select("norm", "stem").distinct(), "forms"), stored(forward, "forward"))
+
+
+#: So many forms of a search are told to the scan of places as a filter; more are only joined.
+TOLD = 1000
+
+
+def occurrences(index: Index, forms: DataFrame) -> DataFrame:
+    """Places of forms (…, norm): the stored rows of these forms only."""
+    some = [r.norm for r in forms.select("norm").distinct().limit(TOLD + 1).collect()]
+    places = index.places.where(F.col("norm").isin(some)) if len(some) <= TOLD else index.places
+    return places.drop("stem").join(forms, "norm").drop("norm")
 
 
 def scoring_terms(words: DataFrame) -> DataFrame:
@@ -76,17 +110,28 @@ def boolean_candidates(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "doc_id", "required").agg(F.count_distinct("w").alias("n")).where("n >= required").select("query_id", "doc_id")
 
 
-def bm25(docs: DataFrame, posts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of every document with any term of a query."""
+def bm25(posts: DataFrame, terms: DataFrame, sizes: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of every document with any term of a query, from postings, lengths and
+    field statistics.  Asked terms are told to the scan of a stored index."""
     asked = terms.groupBy("query_id", "field", "term").agg(F.sum("boost").alias("boost"))
-    only = posts.join(asked.select("field", "term").distinct(), ["field", "term"], "left_semi")
+    some = [r.term for r in asked.select("term").distinct().limit(TOLD + 1).collect()]
+    only = posts.where(F.col("term").isin(some)) if len(some) <= TOLD else posts
+    only = only.join(asked.select("field", "term").distinct(), ["field", "term"], "left_semi")
     df = only.groupBy("field", "term").agg(F.count("*").alias("df"))
-    hits = only.join(asked, ["field", "term"]).join(df, ["field", "term"]).join(lengths(posts), ["doc_id", "field"]).join(field_stats(docs, posts), "field")
+    hits = only.join(asked, ["field", "term"]).join(df, ["field", "term"]).join(sizes, ["doc_id", "field"]).join(stats, "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average"))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("boost") * idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
 
 
+def stored_context_keys(index: Index, hits: DataFrame, words: int = 50) -> DataFrame:
+    """As ``context_keys``, cut out of the forward table."""
+    both = index.forward.join(hits.select("query_id", "doc_id", "first_pos"), "doc_id")
+    first = F.greatest(F.lit(0), F.col("first_pos") - words)
+    near = F.slice("norms", first + 1, F.col("first_pos") + words - first)
+    return both.select("query_id", "doc_id", F.sha1(F.array_join(near, " ")).alias("context"))
+
+
 def context_keys(tokens: DataFrame, hits: DataFrame, words: int = 50) -> DataFrame:
     """(query_id, doc_id, context): SHA-1 of the normal forms of ``words`` tokens before the first hit
     and as many from it on."""
@@ -137,30 +182,42 @@ def scoped(docs: DataFrame, paths: list[str], sep: str) -> DataFrame:
     return docs.where(inside)
 
 
-def search(docs: DataFrame, queries: list[M.Query], scope: Scope = Scope(), limit: int | None = None, offset: int = 0, candidate_cap: int | None = None, tokens: DataFrame | None = None) -> DataFrame:
-    """Many queries over docs (doc_id, path, name, ext, text): (query_id, rank, doc_id, path, name, ext,
-    score, occurrences, duplicates, spans), ranks offset + 1 .. offset + limit.
+def search(docs: DataFrame, queries: list[M.Query], index: Index, scope: Scope = Scope(), limit: int | None = None, offset: int = 0, candidate_cap: int | None = None, shown: tuple[str, ...] = ()) -> DataFrame:
+    """Many queries over docs (doc_id, path, name, ext, …) and their stored index: (query_id, rank, doc_id,
+    path, name, ext, score, occurrences, duplicates array<struct<doc_id, path, name, ext>>, spans) and the
+    columns of docs named in ``shown``; ranks offset + 1 .. offset + limit.
 
-    Statistics are those of all documents; the scope cuts what is verified.  ``candidate_cap`` verifies
-    only the best-scored candidates of each query; without it the result is exact.  ``tokens`` is the
-    token table of the scope's documents where one is kept; without it, texts are cut here.
+    The vocabulary says which forms a query's words can have; only their places are read, and only
+    documents with enough of the words are matched.  Statistics are those of all documents; the scope
+    cuts what is matched.  ``candidate_cap`` matches only the best-scored candidates of each query;
+    without it the result is exact.
     """
-    posts = postings(docs)
     terms = scoring_terms(M.query_words(M.query_table(docs.sparkSession, queries)))
-    scores = bm25(docs, posts, terms)
+    scores = bm25(index.posts, terms, index.lengths, index.stats)
     inside = scope.keep(docs)
-    tokens = T.tokens(inside) if tokens is None else tokens
+    exact, plain = [q for q in queries if q.exact], [q for q in queries if not q.exact]
+    found = occurrences(index, M.form_matches(index.forms, plain)) if plain else None
+    phrases = M.in_a_row(occurrences(index, M.phrase_forms(index.forms, exact))) if exact else None
+    matches = M.spans(found, phrases, plain)
+    if scope != Scope():
+        matches = matches.join(inside.select("doc_id"), "doc_id", "left_semi")
     if candidate_cap:
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         scores = scores.withColumn("k", F.row_number().over(best)).where(F.col("k") <= candidate_cap).drop("k")
-    found = M.analyze(tokens, queries)
-    hits = found.join(scores, ["query_id", "doc_id"], "inner" if candidate_cap else "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 4))
-    hits = hits.join(context_keys(tokens, found), ["query_id", "doc_id"])
+    matches = stored(matches, "matches")
+    hits = matches.join(scores, ["query_id", "doc_id"], "inner" if candidate_cap else "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 4))
+    hits = hits.join(stored_context_keys(index, matches), ["query_id", "doc_id"])
     ranked = dedupe_by_context(hits).where(F.col("rank") > offset)
     if limit is not None:
         ranked = ranked.where(F.col("rank") <= offset + limit)
-    out = ranked.join(inside.select("doc_id", "path", "name", "ext"), "doc_id")
-    return out.select("query_id", "rank", "doc_id", "path", "name", "ext", "score", F.size("spans").alias("occurrences"), "duplicates", "spans")
+    ranked = stored(ranked, "ranked")
+    names = inside.select("doc_id", "path", "name", "ext")
+    others = ranked.select("query_id", F.col("doc_id").alias("of"), F.posexplode("duplicates").alias("k", "doc_id")).join(names, "doc_id")
+    others = others.groupBy("query_id", "of").agg(F.array_sort(F.collect_list(F.struct("k", "doc_id", "path", "name", "ext"))).alias("d"))
+    others = others.select("query_id", F.col("of").alias("doc_id"), F.transform("d", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["path"].alias("path"), x["name"].alias("name"), x["ext"].alias("ext"))).alias("same"))
+    out = ranked.join(inside.select("doc_id", "path", "name", "ext", *shown), "doc_id").join(others, ["query_id", "doc_id"], "left")
+    same = F.coalesce("same", F.expr("cast(array() as array<struct<doc_id:bigint,path:string,name:string,ext:string>>)"))
+    return out.select("query_id", "rank", "doc_id", "path", "name", "ext", *shown, "score", F.size("spans").alias("occurrences"), same.alias("duplicates"), "spans")
 
 
 def merge_result_pages(pages: DataFrame, result_limit: int) -> DataFrame:

@@ -12,7 +12,7 @@ from textlake.operators import match as M
 from textlake.operators import results as R
 from textlake.plans import sqltext as S
 from textlake.plans.catalog import SEGMENTS, segments
-from textlake.plans.fixtures import BOOKS, HEB, books, doc_pages, heb
+from textlake.plans.fixtures import BOOK, BOOKS, HEB, book_name, books, doc_pages, heb
 from textlake.plans.search import ANALYZED, ASKED, OCC, PHRASE, asked_sql
 from textlake.registry import query
 
@@ -40,10 +40,10 @@ def _lines(spark, sf):
     return K.book_lines(books(spark, sf))
 
 
-@query("legend_lines", f"WITH {LINES} SELECT path, CAST(n AS INTEGER) AS n, legend FROM l2 WHERE n < 400")
+@query("legend_lines", f"WITH {LINES} SELECT path, CAST(n AS INTEGER) AS n, legend FROM l2")
 def legend_lines(spark, sf):
     lines = books(spark, sf).select("path", F.posexplode(T.split_lines("raw_text")).alias("n", "line"))
-    return lines.where("n < 400").select("path", "n", K.is_legend("line").alias("legend"))
+    return lines.select("path", "n", K.is_legend("line").alias("legend"))
 
 
 @query("parse_headings", f"WITH {LINES} SELECT path, level, title, start, end_ AS \"end\" FROM heads")
@@ -61,9 +61,9 @@ def chunk_boundaries(spark, sf):
     return K.display_text(_lines(spark, sf)).select("path", F.posexplode(K.chunk_boundaries("text")).alias("k", "pos"))
 
 
-@query("chunk_of_offset", f"WITH RECURSIVE {BOUNDS}, o AS (SELECT unnest(range(0, 200000, 7001)) AS off) SELECT path, CAST(off AS INTEGER) AS off, {CHUNK_OF.format('off')} AS chunk FROM bounds, o")
+@query("chunk_of_offset", f"WITH RECURSIVE {BOUNDS}, o AS (SELECT path, unnest(range(0, length(text) + 1, 7001)) AS off FROM display) SELECT path, CAST(off AS INTEGER) AS off, {CHUNK_OF.format('off')} AS chunk FROM bounds JOIN o USING (path)")
 def chunk_of_offset(spark, sf):
-    rows = K.display_text(_lines(spark, sf)).select("path", K.chunk_boundaries("text").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(199999), F.lit(7001))).alias("off"))
+    rows = K.display_text(_lines(spark, sf)).select("path", K.chunk_boundaries("text").alias("b"), F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(7001))).alias("off"))
     return rows.select("path", "off", K.chunk_of("b", "off").alias("chunk"))
 
 
@@ -115,8 +115,8 @@ def first_phrase_pos(spark, sf):
     return K.first_phrase_pos(T.tokens(docs), phrases).select("doc_id", "pos", "start")
 
 
-#: The paged twin of a book holds the pages of all documents of its source.
-TWIN = f"""{LINES}, dl AS (SELECT doc_id, source, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM heb)),
+#: The paged twin of a book holds the pages of all its documents.
+TWIN = f"""{LINES}, dl AS (SELECT doc_id, source, unnest(range(0, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, {BOOK} AS source, string_split(text, chr(10)) AS ls FROM heb)),
 dp AS (SELECT source, doc_id, CAST(floor(n / 3.0) AS INTEGER) + 1 AS p, string_agg(line, chr(10) ORDER BY n) AS text FROM dl GROUP BY source, doc_id, CAST(floor(n / 3.0) AS INTEGER) + 1),
 tp AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id, p) AS INTEGER) AS page, text FROM dp),
 tseg AS (SELECT source, page - 1 AS seq, page, CAST(sum(length(text) + 2) OVER w - 2 - length(text) AS INTEGER) AS char_start, CAST(sum(length(text) + 2) OVER w - 2 AS INTEGER) AS char_end FROM tp WINDOW w AS (PARTITION BY source ORDER BY page)),
@@ -129,7 +129,7 @@ npages AS (SELECT source, count(*) AS n_pages FROM tseg GROUP BY source)"""
 
 
 def _twin(spark, sf):
-    pages = doc_pages(spark, sf).join(heb(spark, sf).select(F.col("doc_id").alias("file_id"), "source"), "file_id")
+    pages = doc_pages(spark, sf).join(heb(spark, sf).select(F.col("doc_id").alias("file_id"), book_name().alias("source")), "file_id")
     own = Window.partitionBy("source").orderBy("file_id", "page")
     pages = pages.select(F.col("source").alias("file_id"), F.row_number().over(own).alias("page"), "text")
     full, seg = C.assemble_full_text(pages)
@@ -139,35 +139,35 @@ def _twin(spark, sf):
     return K.display_text(lines), K.headings(lines), twin, tokens, seg
 
 
-@query("sync_text_to_page", f"""WITH {TWIN}, pts AS (SELECT path, unnest(range(0, 120000, 9001)) AS point FROM display),
+@query("sync_text_to_page", f"""WITH {TWIN}, pts AS (SELECT path, unnest(range(0, length(text) + 1, 9001)) AS point FROM display),
 pg AS (SELECT path, hs, arg_min(page, seq) AS page FROM placed JOIN tseg ON tseg.source = placed.source AND char_start <= o AND o <= char_end GROUP BY path, hs),
 best AS (SELECT path, point, arg_max(page, hs) AS page FROM pts JOIN pg USING (path) WHERE hs <= point GROUP BY path, point)
 SELECT path, CAST(point AS INTEGER) AS point, coalesce(best.page, greatest(1, CAST(round_even(point / greatest(1, length(text)) * n_pages, 0) AS INTEGER))) AS page, best.page IS NOT NULL AS matched
 FROM pts JOIN display USING (path) JOIN npages ON npages.source = split_part(split_part(path, '/', 3), '.', 1) LEFT JOIN best USING (path, point)""")
 def sync_text_to_page(spark, sf):
     display, heads, twin, tokens, seg = _twin(spark, sf)
-    points = display.select("path", F.explode(F.sequence(F.lit(0), F.lit(119999), F.lit(9001))).alias("point"))
+    points = display.select("path", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(9001))).alias("point"))
     return K.sync_text_to_page(points, display, heads, twin, tokens, seg)
 
 
-@query("sync_page_to_text", f"""WITH RECURSIVE {BOUNDS}, {TWIN.removeprefix(LINES + ', ')}, pts AS (SELECT source, '/lib/' || source || '.txt' AS path, page, char_end FROM tseg WHERE page % 10 = 1),
+@query("sync_page_to_text", f"""WITH RECURSIVE {BOUNDS}, {TWIN.removeprefix(LINES + ', ')}, pts AS (SELECT source, '/lib/' || source || '.txt' AS path, page, char_end FROM tseg),
 best AS (SELECT pts.path, page, arg_max(hs, (o, -hs)) AS best FROM pts JOIN placed ON placed.source = pts.source WHERE o <= char_end GROUP BY pts.path, page),
 j AS (SELECT pts.path, page, b, best, {CHUNK_OF.format('best')} AS c1, CAST(least(greatest(1, len(b) - 1) - 1, round_even((page - 1) / n_pages * greatest(1, len(b) - 1), 0)) AS INTEGER) AS c2 FROM pts JOIN bounds USING (path) JOIN npages USING (source) LEFT JOIN best USING (path, page))
 SELECT path, page, CASE WHEN best IS NOT NULL THEN c1 ELSE c2 END AS chunk, CAST(CASE WHEN best IS NOT NULL THEN best ELSE b[c2 + 1] END AS INTEGER) AS abs_offset, best IS NOT NULL AS matched FROM j""")
 def sync_page_to_text(spark, sf):
     display, heads, twin, tokens, seg = _twin(spark, sf)
-    pages = seg.where("page % 10 = 1").join(twin, "file_id").select("path", "page")
+    pages = seg.join(twin, "file_id").select("path", "page")
     return K.sync_page_to_text(pages, display, heads, twin, tokens, seg)
 
 
 # -- page look-ups -----------------------------------------------------------------------------
 
-OFFSETS = f"{SEGMENTS}, pts AS (SELECT file_id, unnest(range(0, 3000, 211)) AS off FROM full_)"
+OFFSETS = f"{SEGMENTS}, pts AS (SELECT file_id, unnest(range(0, length(full_text) + 1, 211)) AS off FROM full_)"
 
 
 def _points(spark, sf):
     full, seg = segments(spark, sf)
-    return full.select("file_id", F.explode(F.sequence(F.lit(0), F.lit(2999), F.lit(211))).alias("offset")), seg
+    return full.select("file_id", F.explode(F.sequence(F.lit(0), F.length("full_text"), F.lit(211))).alias("offset")), seg
 
 
 def _page_sql(expr: str) -> str:

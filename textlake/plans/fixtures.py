@@ -59,14 +59,25 @@ doc_pages AS (
   FROM doc_lines GROUP BY file_id, CAST(floor(n / 3.0) AS INTEGER) + 1)"""
 
 
+#: A book holds the documents of a source whose ids share a block of this length, so that books are
+#: bounded and their number grows with the input.
+BOOK_IDS = 500
+BOOK = f"source || '-' || (doc_id // {BOOK_IDS})"
+
+
+def book_name():
+    return F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / BOOK_IDS).cast("string"))
+
+
 def books(spark: SparkSession, sf: str) -> DataFrame:
-    """books: (path, source, raw_text), one marked book a source."""
+    """books: (path, source, raw_text); source is the book's name."""
     return heb(spark, sf).transform(books_of)
 
 
 def books_of(docs: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
+    docs = docs.withColumn("source", book_name())
     rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     head = F.translate(F.substring("text", 1, 20), "\n", " ")
     docs = docs.withColumn("rn", rn).withColumn("head", head)
@@ -80,5 +91,5 @@ BOOKS = f"""{HEB}, books AS (
   SELECT '/lib/' || source || '.txt' AS path, source, '!legend' || chr(10) || string_agg(part, '' ORDER BY rn) AS raw_text
   FROM (SELECT source, rn,
           CASE WHEN rn % 10 = 1 THEN '$ ' || head WHEN rn % 4 = 0 THEN '<h3>' || head || '</h3>' WHEN rn % 3 = 0 THEN '@ ' || head ELSE '~ ' || head END || chr(10) || text || chr(10) AS part
-        FROM (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, replace(substr(text, 1, 20), chr(10), ' ') AS head FROM heb))
+        FROM (SELECT {BOOK} AS source, text, row_number() OVER (PARTITION BY {BOOK} ORDER BY doc_id) AS rn, replace(substr(text, 1, 20), chr(10), ' ') AS head FROM heb))
   GROUP BY source)"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
@@ -23,7 +22,9 @@ EXACT = [q for q in ASKED if q.exact]
 
 
 def docs(spark, sf):
-    return heb(spark, sf).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    d = heb(spark, sf).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return d.withColumns({"size": F.octet_length("text").cast("long"), "mtime": (F.lit(1.7e9) + F.col("doc_id")).cast("double"), "page_count": F.ceil(lines / 3).cast("int")})
 
 
 def asked_sql(queries: list[M.Query]) -> str:
@@ -67,9 +68,15 @@ def _tokens(spark, sf):
     return T.tokens(heb(spark, sf))
 
 
-def kept_tokens(spark, sf):
-    """The token table that a search reads three times, kept once."""
-    return _tokens(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+_INDEXES: dict[tuple[str, str], X.Index] = {}
+
+
+def index_of(spark, sf) -> X.Index:
+    """The stored index of a data set: built once for an application, then read by every search."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = X.build_index(docs(spark, sf))
+    return _INDEXES[key]
 
 
 def _occ_sql(queries):
@@ -178,6 +185,11 @@ def _terms(spark, queries):
     return X.scoring_terms(M.query_words(M.query_table(spark, queries)))
 
 
+def _scored(spark, sf, queries):
+    index = index_of(spark, sf)
+    return X.bm25(index.posts, _terms(spark, queries), index.lengths, index.stats).withColumn("score", F.round("score", 6))
+
+
 @query("build_postings", f"WITH {FIELDS} SELECT field, term, doc_id, tf FROM posts")
 def build_postings(spark, sf):
     return X.postings(docs(spark, sf))
@@ -185,20 +197,18 @@ def build_postings(spark, sf):
 
 @query("doc_field_stats", f"WITH {FIELDS} SELECT doc_id, field, CAST(length AS BIGINT) AS length, n_docs, round(average, 6) AS average FROM lens JOIN stats USING (field)")
 def doc_field_stats(spark, sf):
-    d = docs(spark, sf)
-    posts = X.postings(d)
-    return X.lengths(posts).join(X.field_stats(d, posts), "field").select("doc_id", "field", "length", "n_docs", F.round("average", 6).alias("average"))
+    index = index_of(spark, sf)
+    return index.lengths.join(index.stats, "field").select("doc_id", "field", "length", "n_docs", F.round("average", 6).alias("average"))
 
 
 @query("bm25_rank", f"WITH {FIELDS}, {asked_sql(ASKED)}, {TERMS}, {SCORES} SELECT query_id, doc_id, round(score, 6) AS score FROM scores")
 def bm25_rank(spark, sf):
-    d = docs(spark, sf)
-    return X.bm25(d, X.postings(d), _terms(spark, ASKED)).withColumn("score", F.round("score", 6))
+    return _scored(spark, sf, ASKED)
 
 
 @query("boolean_candidates", f"WITH {FIELDS}, {asked_sql(ASKED)}, {TERMS} SELECT query_id, doc_id FROM posts JOIN terms USING (field, term) GROUP BY query_id, doc_id, required HAVING count(DISTINCT w) >= required")
 def boolean_candidates(spark, sf):
-    return X.boolean_candidates(X.postings(docs(spark, sf)), _terms(spark, ASKED))
+    return X.boolean_candidates(index_of(spark, sf).posts, _terms(spark, ASKED))
 
 
 TOP = "SELECT doc_id, round(score, 6) AS score FROM scores WHERE query_id = 2 ORDER BY round(score, 6) DESC, doc_id"
@@ -206,15 +216,13 @@ TOP = "SELECT doc_id, round(score, 6) AS score FROM scores WHERE query_id = 2 OR
 
 @query("top_k", f"WITH {FIELDS}, {asked_sql(ASKED)}, {TERMS}, {SCORES} {TOP} LIMIT 20 OFFSET 5")
 def top_k(spark, sf):
-    d = docs(spark, sf)
-    scored = X.bm25(d, X.postings(d), _terms(spark, [ASKED[1]])).select("doc_id", F.round("score", 6).alias("score"))
+    scored = _scored(spark, sf, [ASKED[1]]).select("doc_id", "score")
     return scored.orderBy(F.desc("score"), "doc_id").offset(5).limit(20)
 
 
 @query("candidate_cap", f"WITH {FIELDS}, {asked_sql(ASKED)}, {TERMS}, {SCORES} SELECT count(*) AS candidates, max(doc_id) AS last FROM ({TOP} LIMIT 200)")
 def candidate_cap(spark, sf):
-    d = docs(spark, sf)
-    scored = X.bm25(d, X.postings(d), _terms(spark, [ASKED[1]])).select("doc_id", F.round("score", 6).alias("score"))
+    scored = _scored(spark, sf, [ASKED[1]]).select("doc_id", "score")
     return scored.orderBy(F.desc("score"), "doc_id").limit(200).agg(F.count("*").alias("candidates"), F.max("doc_id").alias("last"))
 
 
@@ -227,27 +235,34 @@ CONTEXT = """ctx AS (SELECT a.query_id, a.doc_id, sha1(string_agg(norm, ' ' ORDE
 RANKED = f"""{ANALYZED}, {CONTEXT}, {FIELDS.removeprefix(HEB + ', ')}, {TERMS}, {SCORES},
 hits AS (SELECT query_id, doc_id, occurrences, spans, context, round(coalesce(score, 0), 4) AS score FROM analyzed JOIN ctx USING (query_id, doc_id) LEFT JOIN scores USING (query_id, doc_id)),
 ks AS (SELECT *, row_number() OVER (PARTITION BY query_id, context ORDER BY score DESC, doc_id) AS k FROM hits),
-lost AS (SELECT query_id, context, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY k) AS duplicates FROM ks WHERE k > 1 GROUP BY query_id, context),
+lost AS (SELECT query_id, context, string_agg(CAST(doc_id AS VARCHAR) || ':' || path, ',' ORDER BY k) AS duplicates FROM ks JOIN (SELECT doc_id, path FROM heb) USING (doc_id) WHERE k > 1 GROUP BY query_id, context),
 ranked AS (SELECT ks.*, coalesce(duplicates, '') AS duplicates, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ks LEFT JOIN lost USING (query_id, context) WHERE k = 1)"""
-SHOWN = "query_id, CAST(rank AS INTEGER) AS rank, doc_id, path, name, ext, score, occurrences, duplicates"
+SHOWN = "query_id, CAST(rank AS INTEGER) AS rank, doc_id, path, name, ext, size, mtime, page_count, source, score, occurrences, duplicates"
 
 
 def _search_sql(where: str) -> str:
-    return f"WITH {RANKED} SELECT {SHOWN} FROM ranked JOIN (SELECT doc_id, path, ext, string_split(path, '/')[-1] AS name FROM heb) USING (doc_id) WHERE {where}"
+    return f"WITH {RANKED} SELECT {SHOWN} FROM ranked JOIN (SELECT doc_id, path, ext, string_split(path, '/')[-1] AS name, source, CAST(strlen(text) AS BIGINT) AS size, CAST(1.7e9 + doc_id AS DOUBLE) AS mtime, CAST(ceil(len(string_split(text, chr(10))) / 3.0) AS INTEGER) AS page_count FROM heb) USING (doc_id) WHERE {where}"
+
+
+SEEN = ("size", "mtime", "page_count", "source")
+
+
+def _same(df):
+    return F.array_join(F.transform("duplicates", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["path"])), ",")
 
 
 def _shown(df):
-    return df.select("query_id", "rank", "doc_id", "path", "name", "ext", "score", F.col("occurrences").cast("long").alias("occurrences"), F.array_join(F.transform("duplicates", lambda x: x.cast("string")), ",").alias("duplicates"))
+    return df.select("query_id", "rank", "doc_id", "path", "name", "ext", *SEEN, "score", F.col("occurrences").cast("long").alias("occurrences"), _same(df).alias("duplicates"))
 
 
 @query("search", _search_sql("rank <= 20"))
 def search(spark, sf):
-    return _shown(X.search(docs(spark, sf), ASKED, limit=20, tokens=kept_tokens(spark, sf)))
+    return _shown(X.search(docs(spark, sf), ASKED, index_of(spark, sf), limit=20, shown=SEEN))
 
 
 @query("page_results", _search_sql("rank > 10 AND rank <= 15"))
 def page_results(spark, sf):
-    return _shown(X.search(docs(spark, sf), ASKED, limit=5, offset=10, tokens=kept_tokens(spark, sf)))
+    return _shown(X.search(docs(spark, sf), ASKED, index_of(spark, sf), limit=5, offset=10, shown=SEEN))
 
 
 @query("context_key", f"WITH {ANALYZED}, {CONTEXT} SELECT * FROM ctx")
@@ -258,28 +273,22 @@ def context_key(spark, sf):
 
 @query("dedupe_by_context", f"WITH {RANKED} SELECT query_id, doc_id, duplicates FROM ranked WHERE duplicates <> ''")
 def dedupe_by_context(spark, sf):
-    found = X.search(docs(spark, sf), ASKED, tokens=kept_tokens(spark, sf))
-    return found.where(F.size("duplicates") > 0).select("query_id", "doc_id", F.array_join(F.transform("duplicates", lambda x: x.cast("string")), ",").alias("duplicates"))
-
+    found = X.search(docs(spark, sf), ASKED, index_of(spark, sf))
+    return found.where(F.size("duplicates") > 0).select("query_id", "doc_id", _same(found).alias("duplicates"))
 
-MERGE = """pages_ AS (SELECT 1 AS page_no, doc_id % 50 AS doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id % 9 = 0
-  UNION ALL SELECT 2, doc_id % 70, row_number() OVER (ORDER BY doc_id) FROM documents WHERE doc_id % 11 = 0),
-m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, rank) AS k FROM pages_)"""
 
-
-@query("merge_result_pages", f"WITH {MERGE} SELECT page_no, doc_id, rank FROM m WHERE k = 1 ORDER BY page_no, rank LIMIT 40")
+@query("merge_result_pages", f"""WITH {RANKED}, pages_ AS (SELECT query_id AS page_no, doc_id, rank FROM ranked WHERE rank <= 50),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, rank) AS k FROM pages_) SELECT page_no, doc_id, CAST(rank AS INTEGER) AS rank FROM m WHERE k = 1 ORDER BY page_no, rank LIMIT 200""")
 def merge_result_pages(spark, sf):
-    from pyspark.sql.window import Window
-
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
-    part = lambda n, every, mod: d.where(F.col("doc_id") % every == 0).select(F.lit(n).alias("page_no"), (F.col("doc_id") % mod).alias("doc_id"), F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("rank"))
-    return X.merge_result_pages(part(1, 9, 50).union(part(2, 11, 70)), 40)
+    """The ranked pages of all queries, one after the other."""
+    pages = X.search(docs(spark, sf), ASKED, index_of(spark, sf), limit=50).select(F.col("query_id").alias("page_no"), "rank", "doc_id")
+    return X.merge_result_pages(pages, 200).select("page_no", "doc_id", "rank")
 
 
-@query("rebuild_index", f"WITH {FIELDS}, p AS (SELECT * FROM posts WHERE doc_id % 6 < 4) SELECT field, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms FROM p GROUP BY field")
+@query("rebuild_index", f"WITH {FIELDS} SELECT field, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms FROM posts GROUP BY field")
 def rebuild_index(spark, sf):
-    """Of stored texts, those whose status is indexed."""
-    posts = X.postings(docs(spark, sf).where("doc_id % 6 < 4"))
+    """Written anew from the stored texts, then read."""
+    posts = X.build_index(docs(spark, sf)).posts
     return posts.groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
 
 
@@ -294,7 +303,7 @@ def index_upsert_delete(spark, sf):
 
 @query("docs_in_index", f"WITH {FIELDS} SELECT count(DISTINCT doc_id) AS docs FROM posts")
 def docs_in_index(spark, sf):
-    return X.postings(docs(spark, sf)).agg(F.count_distinct("doc_id").alias("docs"))
+    return index_of(spark, sf).posts.agg(F.count_distinct("doc_id").alias("docs"))
 
 
 # -- result shaping ----------------------------------------------------------------------------
@@ -324,18 +333,23 @@ def snippet_chars(spark, sf):
     return rows.select("doc_id", snip.alias("snippet"), a.alias("hl_start"), b.alias("hl_end"))
 
 
-SNIPPETS = f"""{ANALYZED},
-few AS (SELECT DISTINCT query_id, doc_id, start, end_ FROM spans WHERE query_id IN (2, 7, 14)),
+def snippets_sql(ids: str) -> str:
+    return f"""{ANALYZED},
+few AS (SELECT DISTINCT query_id, doc_id, start, end_ FROM spans WHERE query_id IN ({ids})),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY start, end_) AS r, count(*) OVER (PARTITION BY query_id, doc_id) AS total FROM few),
 wide AS (SELECT o.*, text, start - length(array_to_string(regexp_extract_all(substr(text, 1, start), '^\\s+|\\S+\\s*')[-12:], '')) AS lo,
   end_ + length(array_to_string(regexp_extract_all(substr(text, end_ + 1), '\\s*\\S+|\\s+$')[:12], '')) AS hi FROM ordered o JOIN heb USING (doc_id))"""
 
 
-@query("build_snippets", f"""WITH RECURSIVE {SNIPPETS},
-walk AS (SELECT query_id, doc_id, r, start, lo, hi, 1 AS n, true AS opened, hi AS upto FROM wide WHERE r = 1
-  UNION ALL SELECT w.query_id, w.doc_id, w.r, w.start, w.lo, w.hi, CASE WHEN w.start >= k.upto AND k.n < 6 THEN k.n + 1 ELSE k.n END, w.start >= k.upto AND k.n < 6,
-    CASE WHEN w.start >= k.upto AND k.n < 6 THEN w.hi ELSE k.upto END
-  FROM walk k JOIN wide w ON w.query_id = k.query_id AND w.doc_id = k.doc_id AND w.r = k.r + 1)
+def walk_sql(most: int) -> str:
+    """Spans in order; one that starts inside the last snippet is covered by it."""
+    return f"""walk AS (SELECT query_id, doc_id, r, start, lo, hi, 1 AS n, true AS opened, hi AS upto FROM wide WHERE r = 1
+  UNION ALL SELECT w.query_id, w.doc_id, w.r, w.start, w.lo, w.hi, CASE WHEN w.start >= k.upto AND k.n < {most} THEN k.n + 1 ELSE k.n END, w.start >= k.upto AND k.n < {most},
+    CASE WHEN w.start >= k.upto AND k.n < {most} THEN w.hi ELSE k.upto END
+  FROM walk k JOIN wide w ON w.query_id = k.query_id AND w.doc_id = k.doc_id AND w.r = k.r + 1)"""
+
+
+@query("build_snippets", f"""WITH RECURSIVE {snippets_sql("2, 7, 14")}, {walk_sql(6)}
 SELECT k.query_id, k.doc_id, CAST(k.n - 1 AS INTEGER) AS snippet_no, CAST(k.start AS INTEGER) AS abs_offset, CAST(w.total AS INTEGER) AS total,
   md5(CASE WHEN k.lo > 0 THEN '…' ELSE '' END || substr(w.text, CAST(k.lo + 1 AS BIGINT), CAST(k.hi - k.lo AS BIGINT)) || CASE WHEN k.hi < length(w.text) THEN '…' ELSE '' END) AS snippet
 FROM walk k JOIN wide w ON w.query_id = k.query_id AND w.doc_id = k.doc_id AND w.r = k.r WHERE k.opened""")

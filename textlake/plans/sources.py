@@ -11,10 +11,11 @@ from textlake.functions import text as T
 from textlake.plans import sqltext as S
 from textlake.plans.catalog import FB, SEGMENTS, _full_files, after, before, segments
 from textlake.plans.fixtures import HEB, heb, read, visual
-from textlake.plans.search import ASKED
+from textlake.plans.search import ASKED, snippets_sql, walk_sql
 from textlake.plans.text import SCORED, sql_lines
 from textlake.registry import query
 from textlake.sources import files as X
+from textlake.sources.tables import new_path
 
 
 @query("read_text_decoded", f"WITH {HEB} SELECT doc_id, md5(text) AS text FROM heb")
@@ -47,10 +48,53 @@ def html_blocks_to_text(spark, sf):
     return X.html_blocks_to_text(rows, "page_id", "n", "h").select("page_id", F.md5("text").alias("text"))
 
 
+@query("scan_files", """SELECT folder, source, count(*) > 0 AS found, CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM (SELECT 'books' AS folder, source, text, doc_id FROM documents) WHERE doc_id % 3 = 0 GROUP BY folder, source""")
+def scan_files(spark, sf):
+    """Text files that Spark writes into three folders, a file for each source; two folders are skipped."""
+    root = new_path(spark, "library")
+    docs = read(spark, sf, "documents").select("doc_id", "source", "text")
+    for k, folder in enumerate(("books", ".hidden", "Node_Modules")):
+        part = docs.where(F.col("doc_id") % 3 == k).drop("doc_id")
+        part.repartition("source").write.partitionBy("source").text(f"{root}/{folder}")
+    found = X.scan_files(spark, [root])
+    parts = F.split("path", "/")
+    rows = found.select(F.element_at(parts, -3).alias("folder"), F.substring_index(F.element_at(parts, -2), "source=", -1).alias("source"), "length")
+    return rows.groupBy("folder", "source").agg((F.count("*") == 1).alias("found"), F.sum("length").alias("length"))
+
+
+#: Characters that XML has no way to write, and line breaks of other systems.
+_NO_XML = "[\\x00-\\x08\\x0B-\\x1F]"
+
+
+@query("extract_docx", f"""WITH {HEB}, t AS (SELECT doc_id, source, lang, regexp_replace(text, '{_NO_XML}', '', 'g') AS t FROM heb)
+SELECT doc_id, CASE WHEN doc_id % 10 <> 9 THEN md5(array_to_string(list_append(list_filter(string_split(t, chr(10)), lambda x: trim(x, chr(32) || chr(9)) <> ''), source || chr(9) || lang), chr(10))) END AS text, doc_id % 10 = 9 AS failed FROM t""")
+def extract_docx(spark, sf):
+    """Every tenth file is cut in the middle."""
+    docs = heb(spark, sf).withColumn("t", F.regexp_replace("text", _NO_XML, ""))
+    files = docs.select("doc_id", F.split("t", "\n", -1).alias("lines"), F.array("source", "lang").alias("cells"))
+    files = files.select("doc_id", X.docx_of("lines", "cells").alias("content"))
+    files = files.withColumn("content", F.when(F.col("doc_id") % 10 == 9, F.substring("content", F.lit(1), (F.octet_length("content") / 2).cast("int"))).otherwise(F.col("content")))
+    return X.extract_docx(files).select("doc_id", F.md5("text").alias("text"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("write_text_sink", "SELECT CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, count(*) AS marks FROM documents")
+def write_text_sink(spark, sf):
+    """Written, then read again as lines."""
+    path = new_path(spark, "texts")
+    X.write_text_sink(read(spark, sf, "documents"), path)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("value").startswith(X.BOM).alias("marked"), F.input_file_name().alias("file"))
+    marks = F.count_if("marked") + F.count_distinct("file")  # the reader takes a file's first mark away
+    return lines.agg(F.count("*").alias("lines"), marks.alias("marks"))
+
+
 @query("export_catalog_jsonl", f"""WITH {SEGMENTS}, {FB.removeprefix(HEB + ', ')} SELECT path, source, full_.page_count, md5(full_.full_text) AS full_text, (SELECT string_agg(page || ':' || char_start || ':' || char_end, ',' ORDER BY seq) FROM seg WHERE seg.file_id = id) AS segments
 FROM fb JOIN full_ ON file_id = id WHERE status = 'indexed'""")
 def export_catalog_jsonl(spark, sf):
-    rows = X.export_records(*_full_files(spark, sf))
+    """Written as JSON lines, then read again."""
+    path = new_path(spark, "catalog")
+    X.export_catalog_jsonl(*_full_files(spark, sf), path)
+    rows = X.read_catalog_jsonl(spark, path)
     flat = F.array_join(F.transform("segments", lambda s: F.array_join(F.transform(s, lambda x: x.cast("string")), ":")), ",")
     return rows.select("path", "source", "page_count", F.md5("full_text").alias("full_text"), flat.alias("segments"))
 
@@ -59,8 +103,11 @@ def export_catalog_jsonl(spark, sf):
 new AS (SELECT rec.path, CASE WHEN doc_id % 10 <> 1 THEN 'indexed' ELSE 'cache' END AS status, 'extracted' AS source, 0 AS page_count, CAST(length(text) AS BIGINT) AS char_count FROM rec LEFT JOIN fb USING (path) WHERE fb.status IS NULL OR fb.status <> 'indexed')
 SELECT * FROM new UNION ALL SELECT path, status, source, page_count, char_count FROM fb WHERE path NOT IN (SELECT path FROM new)""")
 def import_catalog_jsonl(spark, sf):
-    rec = heb(spark, sf).where("doc_id % 4 <> 2").select("path", F.lit("extracted").alias("source"), F.lit(0).alias("page_count"), F.col("text").alias("full_text"))
-    return X.import_records(before(spark, sf), rec, after(spark, sf))
+    """From JSON lines among which every fourth is cut short and no JSON any more."""
+    path = new_path(spark, "records")
+    line = F.to_json(F.struct("path", F.col("text").alias("full_text")))
+    heb(spark, sf).select(F.when(F.col("doc_id") % 4 == 2, F.left(line, F.lit(20))).otherwise(line).alias("value")).write.text(path)
+    return X.import_records(before(spark, sf), X.read_catalog_jsonl(spark, path), after(spark, sf))
 
 
 @query("export_document", f"WITH {HEB} SELECT doc_id, md5('# ' || string_split(path, '/')[-1] || chr(10) || '# ' || path || chr(10) || chr(10) || text) AS document FROM heb")
@@ -74,20 +121,26 @@ def export_pages_range(spark, sf):
     return X.export_pages_range(full, seg, 2, 3).select("file_id", F.md5("text").alias("text"))
 
 
-@query("export_results_report")
+@query("export_results_report", f"""WITH RECURSIVE {snippets_sql("7")}, {walk_sql(10)},
+line AS (SELECT k.doc_id, k.n, '   … ' || CASE WHEN k.lo > 0 THEN '…' ELSE '' END || substr(w.text, CAST(k.lo + 1 AS BIGINT), CAST(k.hi - k.lo AS BIGINT)) || CASE WHEN k.hi < length(w.text) THEN '…' ELSE '' END || ' (עמוד 1)' AS line
+  FROM walk k JOIN wide w ON w.query_id = k.query_id AND w.doc_id = k.doc_id AND w.r = k.r WHERE k.opened)
+SELECT doc_id, md5('■ ' || string_split(path, '/')[-1] || chr(10) || '  ' || path || chr(10) || string_agg(line, chr(10) ORDER BY n) || chr(10) || chr(10) || '{X.RULER}' || chr(10)) AS report FROM line JOIN heb USING (doc_id) GROUP BY doc_id, path""")
 def export_results_report(spark, sf):
     docs = heb(spark, sf)
     hits = M.analyze(T.tokens(docs), [ASKED[6]]).join(docs, "doc_id")
     snip = R.snippets(hits.select("doc_id", "text", "spans"), words=12, most=10).select("doc_id", "snippet_no", "snippet", F.lit(1).alias("page"))
-    return X.export_results_report(hits.select("doc_id", F.element_at(F.split("path", "/"), -1).alias("name"), "path"), snip)
+    report = X.export_results_report(hits.select("doc_id", F.element_at(F.split("path", "/"), -1).alias("name"), "path"), snip)
+    return report.select("doc_id", F.md5("report").alias("report"))
 
 
-@query("recognize_pages", f"WITH {SCORED} SELECT doc_id AS file_id, 1 AS page, md5(CASE WHEN bad THEN {sql_lines('text')} ELSE text END) AS text FROM fixed")
+@query("recognize_pages", f"WITH {SCORED} SELECT doc_id AS file_id, 1 AS page, md5(CASE WHEN bad THEN {sql_lines('text')} ELSE text END) AS text, 'stub' AS engine, CAST(NULL AS VARCHAR) AS error FROM fixed")
 def recognize_pages(spark, sf):
-    """The stub engine reads a page's image as text."""
+    """The stub engine reads a page's image as text; the wanted one is not available, and the first
+    fails on every image, so the next takes over."""
     pages = visual(spark, sf).select(F.col("doc_id").alias("file_id"), F.lit(1).alias("page"), F.encode("text", "UTF-8").alias("image"))
-    found = X.recognize_pages(pages, lambda images: [bytes(x).decode("utf-8") for x in images])
-    return found.withColumn("text", F.md5("text"))
+    engines = [X.Engine("absent", lambda images: [], available=lambda: False), X.Engine("broken", lambda images: [int(x) for x in images]), X.Engine("stub", lambda images: [bytes(x).decode("utf-8") for x in images])]
+    found = X.recognize_pages(pages, {e.name: e for e in engines}, "absent")
+    return found.select("file_id", "page", F.md5("text").alias("text"), "engine", "error")
 
 
 @query("register_sql_functions", f"WITH {HEB}, w AS (SELECT DISTINCT unnest(regexp_extract_all(text, {S.TOKEN})) AS surface FROM heb), n AS (SELECT surface, {S.norm('surface')} AS norm FROM w) SELECT surface, norm, {S.stem('norm')} AS stem, {S.fold('norm')} AS fold FROM n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlake.operators import search as X
 from textlake.plans.fixtures import read
 from textlake.registry import query
 from textlake.streaming import changes as G
@@ -60,10 +61,49 @@ def apply_changes(spark, sf):
     return G.apply_changes(known, settled)
 
 
-@query("pending_drain", """WITH q AS (SELECT doc_id AS id, CAST(doc_id % 4 AS INTEGER) AS attempts, CASE WHEN doc_id % 3 = 0 THEN left(text, 40) WHEN doc_id % 3 = 1 THEN ' ' END AS t FROM documents WHERE doc_id % 6 <> 5)
-SELECT id, attempts + 1 AS attempts, CASE WHEN length(trim(t)) > 0 THEN 'indexed' WHEN attempts + 1 >= 3 THEN 'error' ELSE 'pending_ocr' END AS status, CASE WHEN NOT coalesce(length(trim(t)) > 0, false) AND attempts + 1 >= 3 THEN 'no text after all attempts' END AS error FROM q""")
+@query("apply_changes_index", f"""WITH {APPLIED}, ev AS (SELECT DISTINCT user_id FROM events), last2 AS (SELECT path, intent FROM last_),
+old AS (SELECT user_id AS id, '/lib/u' || user_id || '.txt' AS path, 'text of ' || user_id % 50 AS text FROM ev), new AS (SELECT path, 'changed text of ' || user_id % 30 AS text FROM (SELECT user_id, '/lib/u' || user_id || '.txt' AS path FROM ev)),
+now AS (SELECT old.id, CASE WHEN intent = 'change' THEN new.text ELSE old.text END AS text FROM old LEFT JOIN last2 USING (path) LEFT JOIN new USING (path) WHERE intent IS NULL OR intent <> 'delete')
+SELECT field, term, id AS doc_id, count(*) AS tf FROM (SELECT 'content' AS field, unnest(string_split(text, ' ')) AS term, id FROM now) GROUP BY field, term, id""")
+def apply_changes_index(spark, sf):
+    """Postings after deletes and changes of a batch of events."""
+    settled = G.latest_intent(G.change_stream(changes(spark, sf)), "30 minutes")
+    users = read(spark, sf, "events").select("user_id").distinct()
+    path = F.concat(F.lit("/lib/u"), F.col("user_id").cast("string"), F.lit(".txt"))
+    text = lambda lead, n: F.concat(F.lit(lead), (F.col("user_id") % n).cast("string"))
+    old = users.select(F.col("user_id").alias("doc_id"), path.alias("name"), text("text of ", 50).alias("text"))
+    files = users.select(F.col("user_id").alias("id"), path.alias("path"), F.lit("indexed").alias("status"))
+    new = users.select(path.alias("path"), path.alias("name"), text("changed text of ", 30).alias("text"))
+    _, posts = G.apply_to_index(files, X.postings(old), settled, new)
+    return posts.where("field = 'content'")
+
+
+@query("timed_publish", f"""WITH d AS (SELECT event_id AS seq, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events), p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY w ORDER BY seq) - 1) / 5.0) AS INTEGER) AS part FROM d)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, part, count(*) AS docs, max(seq) AS upto_seq FROM p GROUP BY w, part""")
+def timed_publish(spark, sf):
+    """The events are an hour and more apart from each other; so are the snapshots, of five at most."""
+    done = read(spark, sf, "events").select(F.col("event_id").alias("seq"), "ts")
+    out = G.timed_publish(done, "1 hour", 5)
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("pending_drain", """WITH docs AS (SELECT doc_id, sha1(text) AS sha1, CAST(doc_id % 3 + 1 AS INTEGER) AS page_count, CAST(doc_id % 4 AS INTEGER) AS attempts, text FROM documents),
+twins AS (SELECT sha1, min(doc_id) AS twin_id FROM docs WHERE doc_id % 2 = 0 GROUP BY sha1),
+q AS (SELECT * FROM docs LEFT JOIN twins USING (sha1) WHERE doc_id % 2 = 1),
+pages AS (SELECT doc_id AS id, unnest(range(1, page_count + 1)) AS page FROM docs),
+got AS (SELECT DISTINCT id, page FROM (SELECT id, page FROM pages WHERE (id + page) % 5 < 2 UNION ALL SELECT id, page FROM pages WHERE (id + page) % 7 = 3)),
+have AS (SELECT id, count(*) AS done FROM got GROUP BY id),
+s AS (SELECT doc_id AS id, attempts + 1 AS attempts, twin_id, CASE WHEN twin_id IS NULL THEN coalesce(done, 0) ELSE 0 END AS done, page_count FROM q LEFT JOIN have ON have.id = doc_id)
+SELECT id, attempts, twin_id, done, CASE WHEN twin_id IS NOT NULL OR done >= page_count THEN 'indexed' WHEN done = 0 AND attempts >= 3 THEN 'error' ELSE 'pending_ocr' END AS status,
+  CASE WHEN twin_id IS NOT NULL THEN 'twin' WHEN done >= page_count THEN 'ocr' WHEN done > 0 THEN 'ocr_partial' END AS source,
+  CASE WHEN twin_id IS NULL AND done = 0 AND attempts >= 3 THEN 'no text after all attempts' END AS error FROM s""")
 def pending_drain(spark, sf):
-    docs = read(spark, sf, "documents").where("doc_id % 6 <> 5")
-    queue = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).cast("int").alias("attempts"))
-    found = docs.where("doc_id % 3 < 2").select(F.col("doc_id").alias("id"), F.expr("CASE WHEN doc_id % 3 = 0 THEN left(text, 40) ELSE ' ' END").alias("text"))
-    return G.pending_drain(queue, found)
+    """Odd documents wait; even ones are indexed and may be their twins.  Pages come from an earlier turn
+    and from this one."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha1(F.encode("text", "UTF-8")).alias("sha1"), (F.col("doc_id") % 3 + 1).cast("int").alias("page_count"), (F.col("doc_id") % 4).cast("int").alias("attempts"), "text")
+    pages = docs.select("id", F.explode(F.sequence(F.lit(1), F.col("page_count"))).alias("page"), F.concat("text", F.lit(" ")).alias("text"))
+    now = pages.where("(id + page) % 5 < 3").withColumn("text", F.when((F.col("id") + F.col("page")) % 5 == 2, " ").otherwise(F.concat(F.lit("x"), "text")))
+    early = pages.where("(id + page) % 7 = 3")
+    files = docs.where("id % 2 = 0").select("id", "sha1", F.lit("indexed").alias("status"), F.col("text").alias("full_text"))
+    states, _ = G.pending_drain(docs.where("id % 2 = 1").drop("text"), now, early, files)
+    return states

@@ -10,10 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textlake.operators.library import SUPPORTED, extension
+from textlake.operators.search import upsert_postings
 
 GAP = "2 seconds"
+#: Documents after which a rebuild publishes what it has.
+PUBLISH_DOCS = 100
 
 
 def change_stream(changes: DataFrame) -> DataFrame:
@@ -54,6 +58,15 @@ def apply_changes(files: DataFrame, settled: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("_hit"), "pending").otherwise(F.col("status")).alias("status"), *rest)
 
 
+def timed_publish(done: DataFrame, every: str = GAP, docs: int = PUBLISH_DOCS) -> DataFrame:
+    """done (seq, ts) of documents that were loaded -> (window_start, part, docs, upto_seq): a snapshot for
+    each window of ``every``, and inside a window one for each ``docs`` documents."""
+    rows = done.select("seq", F.window("ts", every).start.alias("window_start"))
+    place = F.row_number().over(Window.partitionBy("window_start").orderBy("seq")) - 1
+    rows = rows.withColumn("part", F.floor(place / docs).cast("int"))
+    return rows.groupBy("window_start", "part").agg(F.count("*").alias("docs"), F.max("seq").alias("upto_seq"))
+
+
 def run_live(changes: DataFrame, load: Callable[[], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str, gap: str = GAP, late: str = "10 seconds", every: str | None = GAP):
     """Starts the live query: each micro-batch of settled intents is applied to what ``load`` returns and
     given to ``publish``, which writes one snapshot.  ``every`` None takes what is there and stops."""
@@ -67,10 +80,35 @@ def run_live(changes: DataFrame, load: Callable[[], DataFrame], publish: Callabl
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
-def pending_drain(queue: DataFrame, recognized: DataFrame, most: int = 3) -> DataFrame:
-    """queue (id, attempts, …) against recognized (id, text): (id, attempts, status, error).  A text makes
-    a file indexed; without one it waits until its attempts are used up, then it is an error."""
-    rows = queue.join(recognized.select("id", "text"), "id", "left").withColumn("attempts", F.col("attempts") + 1)
-    has = F.coalesce(F.length(F.trim("text")) > 0, F.lit(False))
-    status = F.when(has, "indexed").when(F.col("attempts") >= most, "error").otherwise("pending_ocr")
-    return rows.select("id", "attempts", status.alias("status"), F.when(status == "error", "no text after all attempts").alias("error"))
+def pending_drain(queue: DataFrame, recognized: DataFrame, partial: DataFrame, files: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """One turn over queue (id, sha1, page_count, attempts): (states, pages).
+
+    A file whose content another indexed file has takes that file's text.  Else pages recognized now (id,
+    page, text) are added to those of earlier turns, partial (id, page, text); with all of page_count the
+    file is indexed, with some it waits as partial, and without text it waits until its attempts are used
+    up, then it is an error.  states: (id, attempts, status, source, twin_id, done, error); pages: (id,
+    page, text), those to keep for the next turn or to save.
+    """
+    twins = files.where("status = 'indexed' and full_text is not null").groupBy("sha1").agg(F.min("id").alias("twin_id"))
+    rows = queue.join(twins, "sha1", "left").withColumn("attempts", F.col("attempts") + 1)
+    new = recognized.where(F.trim("text") != "").select("id", "page", "text", F.lit(0).alias("age"))
+    both = new.union(partial.select("id", "page", "text", F.lit(1).alias("age")))
+    pages = both.groupBy("id", "page").agg(F.min_by("text", "age").alias("text"))
+    pages = pages.join(rows.where("twin_id is null").select("id"), "id", "left_semi")
+    have = pages.groupBy("id").agg(F.count("*").alias("done"))
+    rows = rows.join(have, "id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    twin, whole = F.col("twin_id").isNotNull(), F.col("done") >= F.col("page_count")
+    status = F.when(twin | whole, "indexed").when((F.col("done") == 0) & (F.col("attempts") >= most), "error").otherwise("pending_ocr")
+    source = F.when(twin, "twin").when(whole, "ocr").when(F.col("done") > 0, "ocr_partial")
+    error = F.when(status == "error", "no text after all attempts")
+    return rows.select("id", "attempts", status.alias("status"), source.alias("source"), "twin_id", "done", error.alias("error")), pages
+
+
+def apply_to_index(files: DataFrame, posts: DataFrame, settled: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, postings) after a batch: postings (field, term, doc_id, tf) of deleted and changed files go,
+    those of changed ones are made anew from texts (path, name, text)."""
+    state = apply_changes(files, settled)
+    last = final_intents(settled)
+    gone = files.select("id", "path").join(last.where("intent = 'delete'"), "path").select(F.col("id").alias("doc_id"))
+    changed = last.where("intent = 'change'").join(files.select("id", "path"), "path").join(texts, "path").select(F.col("id").alias("doc_id"), "name", "text")
+    return state, upsert_postings(posts, changed, gone)
