@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,40 +9,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from textlake.sources.tables import new_path
+
 #: ``[^\x20\x09-\x0D]+``: the words of every operator here.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of one slice of an Arrow batch that becomes Python objects at once.
 SLICE_BYTES = 4 << 20
+#: Rows of one file of a narrow table, and of a table with texts.
+NARROW_ROWS, TEXT_ROWS = 400_000, 8_000
 _PATH = "_textlake_path"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only a local session may do without one; on a
-    cluster a folder of one machine would lose rows, so a missing setting is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/textlake-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, most: int | None = None, rows: int = NARROW_ROWS) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     The table cuts the lineage, outlives lost executors and has a size in bytes that the planner
-    knows, so it alone decides which side of a later join is small enough to broadcast.
+    knows, so it alone decides which side of a later join is small enough to broadcast.  Where the
+    caller knows that there are at most ``most`` rows, they are written in files of about ``rows``, so
+    small tables don't become as many files as there are shuffle partitions.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if most is not None:
+        df = df.coalesce(1 + most // rows)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__[_PATH] = path

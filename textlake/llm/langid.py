@@ -113,12 +113,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= TRAIN_BYTES))
     ids = materialize(known.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")), "labelled")
     counts = ids.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(TRAIN_TEXTS).withColumnRenamed("count", "_n")
-    counts = materialize(counts, "languages")
+    counts = materialize(counts, "languages", TRAIN_TEXTS)
     most = min(per_language, TRAIN_TEXTS // max(1, counts.count()))
     h = F.xxhash64("_id", F.lit(7))
     near = ids.join(F.broadcast(counts), "_lang").where(F.pmod(h, F.lit(1 << 30)) * F.col("_n") <= F.lit((1 << 30) * (2 * most + 100)))  # a row a language
     place = F.row_number().over(Window.partitionBy("_lang").orderBy(h, "_id"))
-    chosen = materialize(near.withColumn("_k", place).where(F.col("_k") <= most).select("_id").distinct(), "training")
+    chosen = materialize(near.withColumn("_k", place).where(F.col("_k") <= most).select("_id").distinct(), "training", TRAIN_TEXTS)
     rows = known.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))  # at most TRAIN_TEXTS ids
     rows = rows.groupBy("_id").agg(F.min(F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))).alias("r")).select("_id", "r.lang", "r.text").collect()
     rows.sort(key=lambda r: (r.lang, r["_id"], r.text))

@@ -121,10 +121,10 @@ class Mix:
         self.sources = spark.createDataFrame(rows, schema)
         self.seed = seed
         keyed = self.key(sizes)
-        blocks = materialize(self._ordered(keyed.groupBy("rank", "block", "epochs", "rest").agg(F.sum("size").alias("words"))), "blocks")
+        blocks = materialize(self._ordered(keyed.groupBy("rank", "block", "epochs", "rest").agg(F.sum("size").alias("words")), sizes.count()), "blocks", sizes.count())
         part = blocks.where("partial").select("rank", "block", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))  # one a source at most
         inside = keyed.join(F.broadcast(part), ["rank", "block"]).groupBy("rank", "block", "unit", "left").agg(F.sum("size").alias("size"))
-        self.chosen = materialize(inside.groupBy("rank", "block").applyInArrow(_choose, "rank int, unit long"), "chosen")
+        self.chosen = materialize(inside.groupBy("rank", "block").applyInArrow(_choose, "rank int, unit long"), "chosen", len(rows))
 
         counts = {r["rank"]: r for r in blocks.groupBy("rank").agg(F.count("*").alias("n"), F.count_if(F.col("whole") | F.col("partial")).alias("more"), F.max("epochs").alias("epochs")).collect()}
         quotas = np.array([counts[i].epochs * counts[i].n + counts[i].more if i in counts else 0 for i in range(len(rows))], np.int64)
@@ -137,20 +137,20 @@ class Mix:
         single = F.col("partial") & (F.col("epoch") == F.col("epochs"))
         draws = draws.select("rank", "block", "epoch", single.alias("single"), (F.col("epoch") * F.col("n") + F.col("place")).alias("draw"))
         draws = draws.mapInArrow(_shards(ends), "rank int, block long, epoch int, single boolean, shard int").where(F.col("shard") < self.shards)
-        self.draws = materialize(draws.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "single"))).alias("draws")), "draws")
+        self.draws = materialize(draws.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "single"))).alias("draws")), "draws", MOST * sizes.count())
         discard(blocks)
 
-    def _ordered(self, blocks: DataFrame) -> DataFrame:
+    def _ordered(self, blocks: DataFrame, most: int) -> DataFrame:
         """Adds place (from 0), upto (running words, own included), whole and partial in the permuted order:
         sums of its ranges first, then inside each range."""
         h = F.xxhash64("rank", "block", F.lit(self.seed))
-        blocks = materialize(blocks.withColumn("h", h).withColumn("range", F.shiftright("h", 64 - ORDER_BITS)), "unordered")
+        blocks = materialize(blocks.withColumn("h", h).withColumn("range", F.shiftright("h", 64 - ORDER_BITS)), "unordered", most)
         ahead = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows a source at most
         base = blocks.groupBy("rank", "range").agg(F.count("*").alias("k"), F.sum("words").alias("w"))
         base = base.select("rank", "range", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("k0"), F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("w0"))
         own = Window.partitionBy("rank", "range").orderBy("h", "block")
         out = blocks.withColumn("k", F.row_number().over(own) - 1).withColumn("w", F.sum("words").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-        out = out.join(small(materialize(base, "ranges")), ["rank", "range"]).withColumn("place", F.col("k0") + F.col("k")).withColumn("upto", F.col("w0") + F.col("w"))
+        out = out.join(small(materialize(base, "ranges", most)), ["rank", "range"]).withColumn("place", F.col("k0") + F.col("k")).withColumn("upto", F.col("w0") + F.col("w"))
         whole = F.col("upto") <= F.col("rest")
         partial = ~whole & (F.col("upto") - F.col("words") < F.col("rest"))
         return out.select("rank", "block", "epochs", "rest", "words", "place", "upto", whole.alias("whole"), partial.alias("partial"))

@@ -78,7 +78,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     bare = F.btrim(F.translate(F.regexp_replace(F.col(text_col), SPACE, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     sized = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(source_col).cast("string").alias("source"), F.xxhash64(bare).alias("cluster"), word_count(F.col(text_col)).alias("n"))
-    sized = materialize(sized.where("n > 0"), "sized")
+    sized = kept = materialize(sized.where("n > 0"), "sized")
     # copies of one id meet in one task; rows without an id by their cluster and source
     same = [F.col("doc"), F.when(F.col("doc").isNull(), F.xxhash64("cluster", "source"))]
     sized = sized.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("source", "n", "cluster")) - 1)
@@ -86,7 +86,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     pieces = sized.select("*", F.explode(steps).alias("piece"))
     first = F.col("piece").cast("long") * capacity
     pieces = pieces.select("doc", "copy", "source", "cluster", "piece", first.alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("n") - first).alias("n_tokens"))
-    pieces = materialize(pieces, "pieces")
+    pieces = materialize(pieces, "pieces", 2 * kept.count())
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
     name = F.concat_ws("-", F.lit("f"), F.coalesce(F.col("doc").cast("string"), F.lit("")), F.when(F.col("doc").isNull(), F.xxhash64("cluster", "source")), "copy", "piece")
     whole = pieces.where(F.col("n_tokens") == capacity).select("*", name.alias("bin_id"), F.lit(0).cast("long").alias("bin_offset"))

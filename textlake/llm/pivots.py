@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm.common import materialize, small, table
+from textlake.llm.common import TEXT_ROWS, materialize, small, table
 from textlake.llm.components import components
 
 COSINE = 0.98
@@ -165,10 +165,10 @@ def _block_pairs(cosine: float, nearest: int, weight: float):
     return run
 
 
-def _in_blocks(entries: DataFrame, keys: list[str]) -> DataFrame:
+def _in_blocks(entries: DataFrame, keys: list[str], most: int) -> DataFrame:
     """Adds block, i and j: a row for each pair of blocks of its list that a vector takes part in."""
     lists = entries.groupBy(*keys).count().where("count > 1").select(*keys, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    out = entries.join(small(materialize(lists, "lists")), keys).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    out = entries.join(small(materialize(lists, "lists", most)), keys).withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     out = out.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return out.select(*keys, "node", "block", F.least("block", "_b").alias("i"), F.greatest("block", "_b").alias("j"))
 
@@ -189,7 +189,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("vec", F.when(good, v)).withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("label", "vec")))
     rows = materialize(rows, "vectors")
     nodes = rows.where("node is not null").groupBy("node", "label").agg(F.first("vec").alias("vec"), F.count("*").alias("copies"))
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes, "nodes", rows.count(), TEXT_ROWS)
     n = nodes.count()
     n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(n**0.5)))
     sample = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(LOOKED_AT * n_pivots).select("vec").collect()
@@ -198,21 +198,21 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     told = materialize(told, "permutations")
     entries = told.select("label", "node", F.explode("near").alias("pivot"), "near")
     long = entries.groupBy("label", "pivot").count().where(f"count > {LIST} and pivot >= 0").select("label", "pivot", F.lit(True).alias("long"))
-    entries = entries.join(small(materialize(long, "long")), ["label", "pivot"], "left")
+    entries = entries.join(small(materialize(long, "long", NEAREST * n // LIST)), ["label", "pivot"], "left")
     seconds = F.when(F.coalesce("long", F.lit(False)), F.filter("near", lambda q: q > F.col("pivot"))).otherwise(F.array(F.lit(-1)))
     # a length with one reference has no second one to split by
     seconds = F.when((F.size("near") == 1), F.array(F.lit(-1))).otherwise(seconds)
     entries = entries.select("label", "node", "pivot", F.explode(seconds).alias("other"))
     keys = ["label", "pivot", "other"]
-    out = _in_blocks(entries, keys).join(told.drop("label"), "node")
+    out = _in_blocks(entries, keys, NEAREST * n).join(told.drop("label"), "node")
     found = out.groupBy(*keys, "i", "j").applyInArrow(_block_pairs(cosine, NEAREST, WEIGHT), "a long, b long, n long")
     found = materialize(found, "links")
-    degree = materialize(found.where("b is null").groupBy("a").agg(F.sum("n").alias("far")), "degrees")
+    degree = materialize(found.where("b is null").groupBy("a").agg(F.sum("n").alias("far")), "degrees", n)
     same = components(found.where("b is not null").select("a", "b"))
     keyed = rows.select("id", "node").join(same.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     stats = nodes.select("node", "copies").join(degree.withColumnRenamed("a", "node"), "node", "left")
-    stats = materialize(stats.select("node", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "stats")
-    least = materialize(keyed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1").select("c", "least"), "least")
+    stats = materialize(stats.select("node", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "stats", n)
+    least = materialize(keyed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("k")).where("k > 1").select("c", "least"), "least", n)
     out = keyed.join(stats, "node", "left").join(least, "c", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

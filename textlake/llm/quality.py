@@ -137,7 +137,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     key = free_name(docs, "_row_key")
     hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.col(lang_col))
     verdict = quality(docs.select(hashed.alias(key), text_col, lang_col), key, text_col, lang_col)
-    lost = materialize(verdict.where("not kept").select(F.col(key).alias("_lost")).distinct(), "rejected")
+    lost = materialize(verdict.where("not kept").select(F.col(key).alias("_lost")).distinct(), "rejected", docs.count())
     return docs.withColumn(key, hashed).join(small(lost), F.col(key) == F.col("_lost"), "left_anti").drop(key)
 
 

@@ -185,7 +185,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     texts = [r[0].encode("utf-8", "replace") for r in rows.join(sample, "id").where(F.octet_length("html") <= SAMPLE_BYTES).select("html").limit(SAMPLE_PAGES).collect()]
     dictionary = dictionary_of(sorted(texts))
     groups = sized.where(F.col("n") >= least_bytes).groupBy("sha").agg(F.max("id").alias("last"), F.count("id").alias("c")).where("c > 1").select("sha", "last")
-    groups = small(materialize(groups, "repeated"))
+    groups = small(materialize(groups, "repeated", sized.count()))
     total = sized.agg(F.sum("n")).first()[0] or 0
     keyed = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8"))).join(groups, "sha", "left")
     keyed = keyed.select("id", "url", "html", F.when(F.col("last") != F.col("id"), F.col("last")).alias("refers"))
