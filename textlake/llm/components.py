@@ -30,7 +30,7 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
         low = keep(edges.groupBy("a").agg(F.min("b").alias("m")))
         moved = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = moved.union(low.select("a", F.col("m").alias("b")))
-    return materialize(out.where("a <> b").distinct().coalesce(1 + n // EDGES), "edges")
+    return materialize(out.where("a <> b").distinct(), "edges", n, EDGES)
 
 
 def _done(edges: DataFrame) -> bool:
@@ -48,7 +48,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """
     a, b = F.col(left), F.col(right)
     e = edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
-    e = materialize(e, "edges")
+    e = materialize(e, "edges", edges.count(), EDGES)
     n = e.count()  # a step never adds edges
     while not _done(e):
         e = _star(_star(e, True, n), False, n)

@@ -82,18 +82,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     sig = materialize(read.mapInArrow(_sketches, "id long, n long, fp long, bands array<long>"), "sketches")
     # equal sets collapse on the map side, so a group of copies is one node from here on
-    nodes = sig.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "nodes")
+    nodes = sig.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    n = sig.count()
+    nodes = materialize(nodes, "nodes", n)
 
     def texts_of(fps: DataFrame) -> DataFrame:
         """The text of one document of each set."""
-        one = materialize(nodes.select("fp", "id").join(fps, "fp").groupBy("id").agg(F.min("fp").alias("fp")), "one")
+        one = materialize(nodes.select("fp", "id").join(fps, "fp").groupBy("id").agg(F.min("fp").alias("fp")), "one", n)
         return read.join(one, "id").select("fp", "body").dropDuplicates(["fp"])
 
-    same = near_classes(nodes.select(F.explode("bands").alias("bucket"), "fp"), texts_of, percent, bands_of)
+    same = near_classes(nodes.select(F.explode("bands").alias("bucket"), "fp", "n"), texts_of, percent, bands_of)
     keyed = sig.select("id", "n", "fp").join(same.toDF("fp", "c"), "fp", "left").select("id", "n", F.coalesce("c", "fp").alias("c"))
     least = keyed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("c", "least")
-    out = keyed.join(materialize(least, "least"), "c", "left")
+    out = keyed.join(materialize(least, "least", n), "c", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
@@ -101,10 +102,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` with one document of each class: that of the smallest id.  Of rows that
     repeat an id one stays; rows without an id stay."""
-    found = materialize(near_duplicates(docs.select(id_col, text_col), id_col, text_col, percent), "classes")
+    found = materialize(near_duplicates(docs.select(id_col, text_col), id_col, text_col, percent), "classes", docs.count())
     lost = found.where("not kept").select(F.col(id_col).alias("_lost")).distinct()
-    out = docs.join(small(materialize(lost, "lost")), docs[id_col] == F.col("_lost"), "left_anti")
-    twice = materialize(found.where("kept").groupBy(id_col).count().where(f"count > 1 and {id_col} is not null").select(F.col(id_col).alias("_twice")), "twice")
+    out = docs.join(small(materialize(lost, "lost", found.count())), docs[id_col] == F.col("_lost"), "left_anti")
+    twice = materialize(found.where("kept").groupBy(id_col).count().where(f"count > 1 and {id_col} is not null").select(F.col(id_col).alias("_twice")), "twice", found.count())
     if twice.isEmpty():
         return out
     once = out.join(twice, out[id_col] == F.col("_twice"), "left_anti")

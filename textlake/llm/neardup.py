@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import discard, materialize, slices
+from textlake.llm.common import TEXT_ROWS, discard, materialize, slices
 from textlake.llm.components import components
 from textlake.llm.shingles import shingle_set, similar
 
@@ -119,53 +119,65 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _classified(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (bucket, fp) with their class c, of buckets that hold several, and those buckets'
-    (bucket, lo, c_lo, nodes)."""
-    known = members.join(found, members.fp == found.node, "left").select("bucket", "fp", F.coalesce("component", "fp").alias("c"))
-    known = materialize(known, "known")
-    open_ = known.groupBy("bucket").agg(F.min(F.struct("fp", "c")).alias("lo"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("nodes"))
-    open_ = materialize(open_.where("c0 <> c1").select("bucket", F.col("lo.fp").alias("lo"), F.col("lo.c").alias("c_lo"), "nodes"), "open")
-    return known, open_
+def _classified(members: DataFrame, found: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """members (bucket, fp, n) with their class c, and of buckets that hold several classes (bucket, lo,
+    n_lo, c_lo, rest): their least node, and whether the others are of several classes too."""
+    known = members.join(found, members.fp == found.node, "left").select("bucket", "fp", "n", F.coalesce("component", "fp").alias("c"))
+    known = materialize(known, "known", most)
+    lo = known.groupBy("bucket").agg(F.min(F.struct("fp", "n", "c")).alias("lo"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    lo = materialize(lo.select("bucket", F.col("lo.fp").alias("lo"), F.col("lo.n").alias("n_lo"), F.col("lo.c").alias("c_lo")), "open", most)
+    others = known.join(lo, "bucket").where("fp <> lo").groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+    return known, materialize(lo.join(others, "bucket").select("bucket", "lo", "n_lo", "c_lo", F.expr("c0 <> c1").alias("rest")), "open", most)
+
+
+def _near_in_size(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def near_classes(slots: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, bands_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(node long, component long): nodes whose class has a smaller node.
 
-    slots: (bucket long, fp long), a row for each band of each node, none twice.
+    slots: (bucket long, fp long, n long), a row for each band of each node, none twice; n is the size of
+    its set, and pairs whose sizes are too far apart are dropped before texts are fetched.
     texts_of: from a table of fp, (fp, body), a row for each.
     bands_of: from a text's shingle set, its bands; they are computed again for texts of open buckets.
     """
     live = materialize(slots.groupBy("bucket").count().where("count > 1").select("bucket"), "live")
     members = materialize(slots.join(live, "bucket"), "members")
-    lo = members.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("bucket", "lo")
-    members = materialize(members.join(lo, "bucket").select("bucket", "fp", "lo"), "shared")
-    texts = materialize(texts_of(members.select("fp").distinct()), "texts")
+    most = members.count()
+    lo = members.groupBy("bucket").agg(F.min(F.struct("fp", "n")).alias("lo"), F.max("fp").alias("hi")).where("lo.fp <> hi")
+    members = materialize(members.join(lo.select("bucket", "lo"), "bucket").select("bucket", "fp", "n", "lo"), "shared", most)
+    most = members.count()
+    texts = materialize(texts_of(members.select("fp").distinct()), "texts", most, TEXT_ROWS)
     far, near = (texts.select(F.col("fp").alias(x), F.col("body").alias(f"body_{x}")) for x in ("a", "b"))
-    pairs = members.groupBy("fp").agg(F.min("lo").alias("b")).where("fp <> b").withColumnRenamed("fp", "a")
-    members = members.select("bucket", "fp")
+    pairs = members.groupBy("fp", "n").agg(F.min("lo").alias("l")).select(F.col("fp").alias("a"), F.col("l.fp").alias("b"), "n", F.col("l.n").alias("n_lo"))
+    members = members.select("bucket", "fp", "n")
     links = None
     for turn in range(ROUNDS):
+        pairs = pairs.where((F.col("a") != F.col("b")) & _near_in_size("n", "n_lo", percent)).select("a", "b")
         joined = pairs.join(far, "a").join(near, "b").select("a", "b", "body_a", "body_b")
-        new = materialize(joined.mapInArrow(_confirm(percent), "a long, b long"), "links")
+        new = materialize(joined.mapInArrow(_confirm(percent), "a long, b long"), "links", most, TEXT_ROWS)
         if links is not None and new.isEmpty():
             break
-        links = new if links is None else materialize(links.union(new), "links")
+        links = new if links is None else materialize(links.union(new), "links", most)
         found = components(links)
-        known, open_ = _classified(members, found)
+        known, open_ = _classified(members, found, most)
         if turn + 1 < ROUNDS:
-            pairs = known.join(open_, "bucket").where("c <> c_lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
+            pairs = known.join(open_, "bucket").where("c <> c_lo").select(F.col("fp").alias("a"), F.col("lo").alias("b"), "n", "n_lo").distinct()
+    # a bucket's least node has been compared with all others
+    open_ = open_.where("rest").select("bucket")
     if not open_.isEmpty():
-        sizes = known.join(open_.select("bucket"), "bucket").join(texts.select("fp", F.octet_length("body").cast("long").alias("bytes")), "fp")
+        inside = materialize(known.join(open_, "bucket"), "inside", most)
+        sizes = inside.join(texts.select("fp", F.octet_length("body").cast("long").alias("bytes")), "fp")
         blocks = sizes.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-        rows = known.join(materialize(blocks, "blocks"), "bucket").withColumn("block", F.pmod(F.hash("fp"), "blocks"))
+        rows = inside.join(materialize(blocks, "blocks", most), "bucket").withColumn("block", F.pmod(F.hash("fp"), "blocks"))
         rows = rows.select("bucket", "fp", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         rows = materialize(rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "c", "block"), "pairs")
         wanted = texts.join(rows.select("fp").distinct(), "fp").mapInArrow(_with_bands(bands_of), "fp long, body string, n long, bands array<long>")
-        rows = rows.join(materialize(wanted, "wanted"), "fp").select("bucket", "i", "j", "fp", "c", "n", "block", "bands", "body")
+        rows = rows.join(materialize(wanted, "wanted", most, TEXT_ROWS), "fp").select("bucket", "i", "j", "fp", "c", "n", "block", "bands", "body")
         more = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
         more = materialize(more, "links")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    discard(live, members, texts, known)
+    discard(live, texts, known)
     return found

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm.common import discard, free_name, materialize, slices, small, table
+from textlake.llm.common import TEXT_ROWS, discard, free_name, materialize, slices, small, table
 from textlake.llm.components import components
 from textlake.llm.neardup import near_classes
 from textlake.llm.shingles import SHINGLE, U, band_hashes, byte_words, mix, seeds, shingle_hashes, word_hashes
@@ -181,8 +181,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ats, _INTS), pa.array(buckets, _LONGS)], names=["rk", "id", "at", "bucket"])
 
 
-_UNITS = "rk long, id long, at int, n int, lead int, fp long, body string, bands array<long>, keeper long, part int, head boolean"
-_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), _LONGS, pa.int64(), pa.int32(), pa.bool_())
+_UNITS = "rk long, id long, at int, n int, size int, lead int, fp long, body string, bands array<long>, keeper long, part int, head boolean"
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), _LONGS, pa.int64(), pa.int32(), pa.bool_())
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if own.any():
                     start, n = start[own], n[own]
                     fps = _sequence_hashes(word_hashes(plain), start, n) ^ _PARAGRAPH
-                    out += [(rk, id_, -1 - a, k, 0, f, text_of(a, a + k), b, None, 0, False) for a, k, f, b in zip(start.tolist(), n.tolist(), fps.tolist(), _run_bands(shingles, start, n), strict=True)]
+                    out += [(rk, id_, -1 - a, k, len(np.unique(shingles[a : a + k - SHINGLE + 1])), 0, f, text_of(a, a + k), b, None, 0, False) for a, k, f, b in zip(start.tolist(), n.tolist(), fps.tolist(), _run_bands(shingles, start, n), strict=True)]
             all_ = place.tolist()
             for k, at in enumerate(all_):
                 w = asked.get(at)
@@ -210,7 +210,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 goes_on = [x is not None and not w["head"] and (x["keeper"], x["at"] - x["k_at"]) == (w["keeper"], at - w["k_at"]) for x in near]
                 first = all_[k - 1] if goes_on[0] else max(0, at - SLIDE)
                 end = BAND + (all_[k + 1] if goes_on[1] else at + SLIDE)
-                row = (rk, id_, at, BAND, at - first, int(band[k]), text_of(first, end), None, w["keeper"])
+                row = (rk, id_, at, BAND, 0, at - first, int(band[k]), text_of(first, end), None, w["keeper"])
                 parts = range(w["parts"]) if w["head"] else [(rk ^ at) % w["parts"]]
                 out += [(*row, p, w["head"]) for p in parts]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_TYPES)], names=[x.split(" ")[0] for x in _UNITS.split(", ")])
@@ -253,7 +253,7 @@ def _row_key(id_col: str, text_col: str):
 def _passage_spans(bands: DataFrame, min_run: int) -> DataFrame:
     """(rk, id, first_word, n_words, c, keeper) of removed passages, overlapping ones put together."""
     rows = bands.repartition("fp", "part").sortWithinPartitions("fp", "part", F.desc("head")).select("fp", "part", "head", "rk", "id", "at", "lead", "body", "keeper")
-    runs = materialize(rows.mapInArrow(_passages, "rk long, id long, first_word int, n_words int, c long, keeper long"), "runs")
+    runs = materialize(rows.mapInArrow(_passages, "rk long, id long, first_word int, n_words int, c long, keeper long"), "runs", bands.count(), TEXT_ROWS)
     each = runs.groupBy("rk", "id").agg(F.array_sort(F.collect_set(F.struct("first_word", "n_words", "c", "keeper"))).alias("s"))
     # a fold joins runs that overlap: (first, end, smallest keeper, bands)
     end = lambda x: x["first_word"] + x["n_words"]
@@ -262,7 +262,7 @@ def _passage_spans(bands: DataFrame, min_run: int) -> DataFrame:
     grown = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["end"], end(x)).alias("end"), F.least(last(a)["keeper"], x["keeper"]).alias("keeper"), F.concat(last(a)["bands"], F.array(x["c"])).alias("bands"))))
     start = F.expr("cast(array() as array<struct<first:int,end:int,keeper:bigint,bands:array<bigint>>>)")
     merged = F.aggregate("s", start, lambda a, x: F.when((F.size(a) > 0) & (last(a)["end"] >= x["first_word"]), grown(a, x)).otherwise(F.concat(a, one(x))))
-    merged = materialize(each.select("rk", "id", F.inline(merged)).where(F.col("end") - F.col("first") >= min_run).withColumn("c", F.array_min("bands")), "passages")
+    merged = materialize(each.select("rk", "id", F.inline(merged)).where(F.col("end") - F.col("first") >= min_run).withColumn("c", F.array_min("bands")), "passages", runs.count())
     same = components(merged.select("c", F.explode("bands").alias("b")).where("c <> b").distinct(), "b", "c")
     out = merged.join(same, merged.c == same.node, "left")
     return out.select("rk", "id", F.col("first").alias("first_word"), (F.col("end") - F.col("first")).alias("n_words"), F.coalesce("component", "c").alias("c"), "keeper")
@@ -270,13 +270,13 @@ def _passage_spans(bands: DataFrame, min_run: int) -> DataFrame:
 
 def _paragraph_spans(paragraphs: DataFrame, percent: int) -> DataFrame:
     """(rk, id, first_word, n_words, c, keeper) of removed text paragraphs."""
-    nodes = materialize(paragraphs.groupBy("fp").agg(F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(paragraphs.groupBy("fp").agg(F.first("size").cast("long").alias("n"), F.first("bands").alias("bands")), "nodes", paragraphs.count())
     texts_of = lambda fps: paragraphs.select("fp", "body").join(fps, "fp").dropDuplicates(["fp"])
-    near = near_classes(nodes.select(F.explode("bands").alias("bucket"), "fp"), texts_of, percent, bands_of)
+    near = near_classes(nodes.select(F.explode("bands").alias("bucket"), "fp", "n"), texts_of, percent, bands_of)
     rows = paragraphs.select("rk", "id", (-1 - F.col("at")).alias("first_word"), F.col("n").alias("n_words"), "fp").join(near.toDF("fp", "_c"), "fp", "left").withColumn("c", F.coalesce("_c", "fp"))
-    rows = materialize(rows.drop("fp", "_c"), "paragraphs")
+    rows = materialize(rows.drop("fp", "_c"), "paragraphs", paragraphs.count())
     kept = rows.where("id is not null").groupBy("c").agg(F.min(F.struct("id", "first_word")).alias("k"))
-    kept = materialize(kept.select("c", F.col("k.id").alias("keeper"), F.col("k.first_word").alias("k_first")), "keepers")
+    kept = materialize(kept.select("c", F.col("k.id").alias("keeper"), F.col("k.first_word").alias("k_first")), "keepers", rows.count())
     gone = rows.join(kept, "c").where("id is null or id <> keeper or first_word <> k_first")
     return gone.select("rk", "id", "first_word", "n_words", "c", "keeper")
 
@@ -293,17 +293,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     read = docs.select(_row_key(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     cut = materialize(read.mapInArrow(_cut, "rk long, id long, at array<int>, bucket array<long>"), "cut")
     slots = cut.select("rk", "id", F.inline(F.arrays_zip("at", "bucket")))
-    live = materialize(slots.groupBy("bucket").count().where("count > 1").select("bucket"), "live")
-    shared = materialize(slots.join(live, "bucket"), "shared")
+    all_ = cut.agg(F.coalesce(F.sum(F.size("bucket")), F.lit(0))).first()[0]
+    live = materialize(slots.groupBy("bucket").count().where("count > 1").select("bucket"), "live", all_ // 2)
+    shared = materialize(slots.join(live, "bucket"), "shared", all_)
+    most = shared.count()
     discard(cut)
     kept = shared.where("at >= 0 and id is not null").groupBy("bucket").agg(F.min(F.struct("id", "rk", "at")).alias("k"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    kept = materialize(kept.select("bucket", F.col("k.id").alias("keeper"), F.col("k.rk").alias("k_rk"), F.col("k.at").alias("k_at"), "parts"), "keepers")
+    kept = materialize(kept.select("bucket", F.col("k.id").alias("keeper"), F.col("k.rk").alias("k_rk"), F.col("k.at").alias("k_at"), "parts"), "keepers", most)
     head = (F.col("rk") == F.col("k_rk")) & (F.col("at") == F.col("k_at"))
     asked = shared.where("at >= 0").join(kept, "bucket").select("rk", "at", "keeper", "k_at", "parts", head.alias("head"))
     asked = asked.union(shared.where("at < 0").select("rk", "at", F.lit(None).cast("long"), F.lit(None).cast("int"), F.lit(1), F.lit(False)))
-    wanted = materialize(asked.groupBy("rk").agg(F.collect_set(F.struct("at", "keeper", "k_at", "parts", "head")).alias("wanted")), "wanted")
+    wanted = materialize(asked.groupBy("rk").agg(F.collect_set(F.struct("at", "keeper", "k_at", "parts", "head")).alias("wanted")), "wanted", most)
     found = read.join(wanted, "rk").select("rk", "id", "wanted", "body").mapInArrow(_live, _UNITS)
-    found = materialize(found, "units")
+    found = materialize(found, "units", most, TEXT_ROWS)
     discard(live, shared, kept, wanted)
     spans = [_paragraph_spans(found.where("at < 0"), percent), _passage_spans(found.where("at >= 0"), min_run)]
     both = [s.select("rk", "id", F.lit(k).alias("kind"), "first_word", "n_words", F.col("c").alias("cluster_id"), F.col("keeper").alias("kept_id")) for k, s in enumerate(spans)]
@@ -339,7 +341,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` without removed paragraphs; rows that lose their last word go, others keep their
     columns, and rows without removed paragraphs pass as they are."""
     gone = repeats(docs, id_col, text_col, percent)
-    spans = materialize(gone.groupBy("rk").agg(F.collect_set(F.struct("first_word", "n_words")).alias("_spans")), "spans")
+    spans = materialize(gone.groupBy("rk").agg(F.collect_set(F.struct("first_word", "n_words")).alias("_spans")), "spans", docs.count())
     rk, sp = free_name(docs, "_rk"), free_name(docs, "_spans_of")
     joined = docs.withColumn(rk, _row_key(id_col, text_col)).join(small(spans.toDF("_of", sp)), F.col(rk) == F.col("_of"), "left").drop(rk, "_of")
     return joined.mapInArrow(_clean(docs.columns.index(text_col)), docs.schema)
