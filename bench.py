@@ -9,6 +9,7 @@ import time
 from pyspark.sql import SparkSession
 
 from textlake import registry
+from textlake.plans.search import index_of
 
 HEADLINE = ("search", "analyze", "build_postings", "bm25_rank", "tokenize_offsets", "refresh_batch", "parse_headings", "library_tree", "fix_visual_order", "latest_intent", "page_reading_order")
 
@@ -23,7 +24,12 @@ def main() -> None:
     spark.sparkContext.setLogLevel("OFF")
     spark.read.parquet(f"{sf}/documents.parquet").count()
     took = {}
+    # searches read a stored index; what it costs to build is told apart
+    began = time.time()
+    index_of(spark, sf)
+    took["build_index"] = round(time.time() - began, 3)
     for name in HEADLINE:
+        spark.catalog.clearCache()
         began = time.time()
         registry.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
