@@ -88,13 +88,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def texts_of(fps: DataFrame) -> DataFrame:
         """The text of one document of each set."""
-        one = materialize(nodes.select("fp", "id").join(fps, "fp").groupBy("id").agg(F.min("fp").alias("fp")), "one", n)
-        return read.join(one, "id").select("fp", "body").dropDuplicates(["fp"])
+        one = materialize(nodes.select("fp", "id").join(fps.hint("merge"), "fp").groupBy("id").agg(F.min("fp").alias("fp")), "one", n)
+        return read.join(one.hint("merge"), "id").select("fp", "body").dropDuplicates(["fp"])
 
     same = near_classes(nodes.select(F.explode("bands").alias("bucket"), "fp", "n"), texts_of, percent, bands_of)
-    keyed = sig.select("id", "n", "fp").join(same.toDF("fp", "c"), "fp", "left").select("id", "n", F.coalesce("c", "fp").alias("c"))
+    keyed = sig.select("id", "n", "fp").join(same.toDF("fp", "c").hint("merge"), "fp", "left").select("id", "n", F.coalesce("c", "fp").alias("c"))
     least = keyed.where("c is not null").groupBy("c").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("c", "least")
-    out = keyed.join(materialize(least, "least", n), "c", "left")
+    out = keyed.join(materialize(least, "least", n).hint("merge"), "c", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

@@ -143,7 +143,8 @@ def near_classes(slots: DataFrame, texts_of: Callable[[DataFrame], DataFrame], p
     bands_of: from a text's shingle set, its bands; they are computed again for texts of open buckets.
     """
     live = materialize(slots.groupBy("bucket").count().where("count > 1").select("bucket"), "live")
-    members = materialize(slots.join(live, "bucket"), "members")
+    # a merge join at every size: both sides grow with the input
+    members = materialize(slots.join(live.hint("merge"), "bucket"), "members")
     most = members.count()
     lo = members.groupBy("bucket").agg(F.min(F.struct("fp", "n")).alias("lo"), F.max("fp").alias("hi")).where("lo.fp <> hi")
     members = materialize(members.join(lo.select("bucket", "lo"), "bucket").select("bucket", "fp", "n", "lo"), "shared", most)

@@ -295,7 +295,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     slots = cut.select("rk", "id", F.inline(F.arrays_zip("at", "bucket")))
     all_ = cut.agg(F.coalesce(F.sum(F.size("bucket")), F.lit(0))).first()[0]
     live = materialize(slots.groupBy("bucket").count().where("count > 1").select("bucket"), "live", all_ // 2)
-    shared = materialize(slots.join(live, "bucket"), "shared", all_)
+    shared = materialize(slots.join(live.hint("merge"), "bucket"), "shared", all_)
     most = shared.count()
     discard(cut)
     kept = shared.where("at >= 0 and id is not null").groupBy("bucket").agg(F.min(F.struct("id", "rk", "at")).alias("k"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
@@ -304,7 +304,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     asked = shared.where("at >= 0").join(kept, "bucket").select("rk", "at", "keeper", "k_at", "parts", head.alias("head"))
     asked = asked.union(shared.where("at < 0").select("rk", "at", F.lit(None).cast("long"), F.lit(None).cast("int"), F.lit(1), F.lit(False)))
     wanted = materialize(asked.groupBy("rk").agg(F.collect_set(F.struct("at", "keeper", "k_at", "parts", "head")).alias("wanted")), "wanted", most)
-    found = read.join(wanted, "rk").select("rk", "id", "wanted", "body").mapInArrow(_live, _UNITS)
+    found = read.join(wanted.hint("merge"), "rk").select("rk", "id", "wanted", "body").mapInArrow(_live, _UNITS)
     found = materialize(found, "units", most, TEXT_ROWS)
     discard(live, shared, kept, wanted)
     spans = [_paragraph_spans(found.where("at < 0"), percent), _passage_spans(found.where("at >= 0"), min_run)]
