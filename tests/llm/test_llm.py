@@ -431,6 +431,16 @@ def test_op9_reader_refuses_damage():
         list(warc.frames(one[:-4]))
 
 
+def test_op9_empty_table_long_page_and_clashing_columns(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 16)
+    rows = [(i, f"http://{i}", "<i>" * (200_000 if i == 3 else 50 + i), "x", 1) for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha string, n int")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert {i: r.html for i, r in got.items()} == {r[0]: r[2] for r in rows} and got[3].payload_bytes == 600_000
+    warc.write_archives(pages.where("false"), str(tmp_path / "e"))
+
+
 # -- 8 -----------------------------------------------------------------------------------------
 
 def test_op8_equals_brute_force_and_finds_candidates(spark):
@@ -599,6 +609,30 @@ def test_op6_held_out_scores(spark):
     assert got.where("score < 0 or score > 1 or predicted <> cast(score >= 0.5 as int)").count() == 0
 
 
+def test_op6_training_beats_its_start(spark):
+    """The trained net against the same net without a step: its first embedding coordinate alone."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("doc_id", "text", "toxic").toPandas()
+    held = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    ids = [toxicity.word_ids(t) for t in rows.text]
+    y = rows.toxic.to_numpy()
+    train = np.flatnonzero(~held)
+    train = np.concatenate([train[y[train] == 1][:400], train[y[train] == 0][:400]])
+    test = np.flatnonzero(held)[:600]
+    auc = []
+    for epochs in (0, toxicity.EPOCHS):
+        net = toxicity.TextCnn()
+        old, toxicity.EPOCHS = toxicity.EPOCHS, epochs
+        try:
+            net.fit([ids[i] for i in train], y[train])
+        finally:
+            toxicity.EPOCHS = old
+        tables = net.tables()
+        z = np.array([net.logit(ids[i], tables) for i in test])
+        rank, pos = np.argsort(np.argsort(z)) + 1, y[test] == 1
+        auc.append((rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()))
+    assert auc[1] > auc[0] and auc[1] > 0.9
+
+
 def test_op6_odd_tables(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, none)
@@ -643,6 +677,21 @@ def test_pipeline_near_dedup_drops_pairs_from_080_on(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == expected
 
 
+def test_pipeline_runs_on_odd_and_empty_tables(spark, odd, tmp_path):
+    """The whole run, over nulls, repeated rows and ids, odd texts and clashing column names."""
+    good = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 12").select((F.col("doc_id") + 2**60).alias("doc_id"), "text", "lang", "source", "n_chars", F.lit("k").alias("Text_Key"), F.lit(1).cast("long").alias("_h"))
+    for name, docs in (("odd", odd.union(good)), ("empty", odd.where("false"))):
+        (tmp_path / name).mkdir()
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert bool(out) == (name == "odd")
+        bins: dict = {}
+        for r in out:
+            assert (r.bin_id, r.source) not in bins
+            bins[r.bin_id, r.source] = r
+        assert {r.doc_id for r in out} <= {r.doc_id for r in docs.collect()}
+
+
 def test_shingle_sets_equal_plain_ones():
     rng = random.Random(1)
     for n in (0, 1, 4, 5, 6, 300):
