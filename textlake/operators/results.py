@@ -111,6 +111,17 @@ def look_back(points: DataFrame, marks: DataFrame, key: str, at: str, order: str
     return rows.withColumn("before", F.last("before", ignorenulls=True).over(own)).where("kind <> 0").select(key, at, "before")
 
 
+def matches_of(found: DataFrame, docs: DataFrame, segments: DataFrame, words: int = 50, most: int = 6) -> DataFrame:
+    """(query_id, rank, doc_id, snippet_no, snippet, page, …) of found results (query_id, rank, doc_id, spans):
+    their snippets, each with the page that holds its first hit.  Only the texts of results are read."""
+    hits = found.select("query_id", "rank", "doc_id", "spans").join(docs.select("doc_id", "text"), "doc_id")
+    rows = snippets(hits, words, most)
+    points = rows.select(F.col("doc_id").alias("file_id"), F.col("abs_offset").alias("offset")).distinct()
+    own = segments.join(points.select("file_id").distinct(), "file_id", "left_semi")
+    pages = page_of_offset(points, own).withColumnsRenamed({"file_id": "doc_id", "offset": "abs_offset"})
+    return rows.join(pages, ["doc_id", "abs_offset"], "left")
+
+
 def highlight_markup(text, spans, opening: str = "<mark>", closing: str = "</mark>") -> Column:
     """The text with spans wrapped; of spans that overlap the first wins."""
     t = col(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textlake.functions import text as T
 from textlake.operators import match as M
@@ -335,8 +336,10 @@ def snippet_chars(spark, sf):
 
 def snippets_sql(ids: str) -> str:
     return f"""{ANALYZED},
-few AS (SELECT DISTINCT query_id, doc_id, start, end_ FROM spans WHERE query_id IN ({ids})),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY start, end_) AS r, count(*) OVER (PARTITION BY query_id, doc_id) AS total FROM few),
+few AS (SELECT DISTINCT query_id, doc_id, start, end_ FROM spans WHERE query_id IN ({ids})), {WIDE}"""
+
+
+WIDE = """ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY start, end_) AS r, count(*) OVER (PARTITION BY query_id, doc_id) AS total FROM few),
 wide AS (SELECT o.*, text, start - length(array_to_string(regexp_extract_all(substr(text, 1, start), '^\\s+|\\S+\\s*')[-12:], '')) AS lo,
   end_ + length(array_to_string(regexp_extract_all(substr(text, end_ + 1), '\\s*\\S+|\\s+$')[:12], '')) AS hi FROM ordered o JOIN heb USING (doc_id))"""
 
@@ -359,6 +362,23 @@ def build_snippets(spark, sf):
     return R.snippets(hits, words=12, most=6).select("query_id", "doc_id", "snippet_no", F.md5("snippet").alias("snippet"), "abs_offset", "total")
 
 
+@query("search_matches", f"""WITH RECURSIVE {RANKED}, top AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 20),
+few AS (SELECT DISTINCT query_id, doc_id, start, end_ FROM spans SEMI JOIN top USING (query_id, doc_id)), {WIDE}, {walk_sql(6)}
+SELECT k.query_id, CAST(rank AS INTEGER) AS rank, k.doc_id, CAST(k.n - 1 AS INTEGER) AS snippet_no, CAST(floor((len(string_split(substr(w.text, 1, k.start), chr(10))) - 1) / 3.0) AS INTEGER) + 1 AS page,
+  md5(CASE WHEN k.lo > 0 THEN '…' ELSE '' END || substr(w.text, CAST(k.lo + 1 AS BIGINT), CAST(k.hi - k.lo AS BIGINT)) || CASE WHEN k.hi < length(w.text) THEN '…' ELSE '' END) AS snippet
+FROM walk k JOIN wide w ON w.query_id = k.query_id AND w.doc_id = k.doc_id AND w.r = k.r JOIN top ON top.query_id = k.query_id AND top.doc_id = k.doc_id WHERE k.opened""")
+def search_matches(spark, sf):
+    """The snippets of a search's first results, each with its page (three lines a page)."""
+    d = docs(spark, sf)
+    found = X.search(d, ASKED, index_of(spark, sf), limit=20)
+    lines = d.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    own = Window.partitionBy("file_id").orderBy("n")
+    lines = lines.withColumn("end", F.sum(F.length("line") + 1).over(own) - 1)
+    page = (F.floor(F.col("n") / 3) + 1).cast("int")
+    segments = lines.groupBy("file_id", page.alias("page")).agg(F.min(F.col("end") - F.length("line")).cast("int").alias("char_start"), F.max("end").cast("int").alias("char_end")).withColumn("seq", F.col("page") - 1)
+    return R.matches_of(found, d, segments, words=12, most=6).select("query_id", "rank", "doc_id", "snippet_no", "page", F.md5("snippet").alias("snippet"))
+
+
 @query("highlight_markup", f"""WITH RECURSIVE {ANALYZED}, few AS (SELECT DISTINCT doc_id, start, end_ FROM spans WHERE query_id = 7),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, end_) AS r FROM few),
 walk AS (SELECT o.doc_id, r, substr(text, 1, start) || '<mark>' || substr(text, start + 1, end_ - start) || '</mark>' AS out, end_ AS upto FROM o JOIN heb USING (doc_id) WHERE r = 1
