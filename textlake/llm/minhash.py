@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm.common import materialize, slices, small, table
+from textlake.llm.common import TEXT_ROWS, materialize, slices, small, table
 from textlake.llm.neardup import near_classes
 from textlake.llm.shingles import U, band_hashes, fingerprint, mix, seeds, shingle_set
 
@@ -84,7 +84,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # equal sets collapse on the map side, so a group of copies is one node from here on
     nodes = sig.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     n = sig.count()
-    nodes = materialize(nodes, "nodes", n)
+    nodes = materialize(nodes, "nodes", n, 4 * TEXT_ROWS)
 
     def texts_of(fps: DataFrame) -> DataFrame:
         """The text of one document of each set."""
