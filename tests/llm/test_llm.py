@@ -114,6 +114,23 @@ def test_op10_odd_tables(odd, empty):
     assert left.columns == odd.columns and left.where("doc_id in (2, 7, 9)").count() == 0 and left.count() == 8
 
 
+def test_op10_null_and_repeated_ids_take_part_with_their_own_texts(spark):
+    chain = [" ".join(f"{'z' if 20 <= i < 26 and k or 100 <= i < 106 and k > 1 else 'n'}{i}" for i in range(200)) for k in range(3)]
+    rng = random.Random(8)
+    x, y, z = (prose(rng, 120) for _ in range(3))
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(10, chain[0]), (None, chain[1]), (11, chain[2]), (5, x), (5, y), (6, near(x)), (7, near(y)), (7, z), (8, near(z)), (8, near(z)), (9, None), (None, near(x))]
+    sets = {i: plain_shingles(t) for i, (_, t) in enumerate(rows)}
+    group = brute_components(sets, 85)
+    assert group[0] == group[2] != brute_components({i: s for i, s in sets.items() if i != 1}, 85)[2]
+    least = {g: min((rows[i][0] for i in group if group[i] == g and rows[i][0] is not None), default=None) for g in group.values()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = minhash.near_duplicates(df).collect()
+    assert sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in got) == sorted(((d or -1), len(sets[i]), least[group[i]]) for i, (d, _) in enumerate(rows))
+    left = sorted((r.doc_id or -1, r.text or "") for r in minhash.drop_near_duplicates(df).collect())
+    assert left == sorted([(10, chain[0]), (-1, chain[1]), (-1, near(x)), (5, x), (5, y), (7, z), (9, "")])
+
+
 # -- 4 -----------------------------------------------------------------------------------------
 
 def test_op4_counts_equal_brute_force(spark, odd):
