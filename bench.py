@@ -13,6 +13,8 @@ from textlake.plans.search import index_of
 
 HEADLINE = ("search", "analyze", "build_postings", "bm25_rank", "tokenize_offsets", "refresh_batch", "parse_headings", "library_tree", "fix_visual_order", "latest_intent", "page_reading_order")
 
+registry.load()
+
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

@@ -151,16 +151,18 @@ def split_lines(text) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dealt: tuple[str, ...] = ()) -> DataFrame:
     """(id, pos int, surface, start int, end int, norm, stem), a row for each token with a normal form.
 
     Texts are dealt out by id before they are exploded, so offsets and positions, which are running
-    sums within a text, need no other exchange, and no row is wider than one text.
+    sums within a text, need no other exchange, and no row is wider than one text.  ``dealt``: columns
+    that texts have been dealt out by already; they stay.
     """
-    pieces = docs.select(id_col, text_col).repartition(F.col(id_col)).select(id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PIECE), F.lit(0))).alias("_i", "surface"))
-    own = Window.partitionBy(id_col).orderBy("_i")
+    src = docs.select(*dealt, id_col, text_col) if dealt else docs.select(id_col, text_col).repartition(F.col(id_col))
+    pieces = src.select(*dealt, id_col, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(PIECE), F.lit(0))).alias("_i", "surface"))
+    own = Window.partitionBy(*dealt, id_col).orderBy("_i")
     upto = F.sum(F.length("surface")).over(own).cast("int")
     rows = pieces.withColumn("end", upto).withColumn("norm", normalize_token("surface"))
     rows = rows.where(F.col("surface").rlike(f"^[{TOKEN_CLASS}]") & (F.col("norm") != ""))
     rows = rows.withColumn("pos", (F.row_number().over(own) - 1).cast("int"))
-    return rows.select(id_col, "pos", "surface", (F.col("end") - F.length("surface")).cast("int").alias("start"), "end", "norm", light_stem("norm").alias("stem"))
+    return rows.select(*dealt, id_col, "pos", "surface", (F.col("end") - F.length("surface")).cast("int").alias("start"), "end", "norm", light_stem("norm").alias("stem"))

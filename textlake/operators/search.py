@@ -1,20 +1,22 @@
 """Index tables, ranking and the search itself.
 
-The index is plain data, written once: postings and places in the order of their terms, so a search for
-a few terms reads a few row groups, and lengths, sums, vocabulary and forms by document.
+The index is plain data in a store of versions, bucketed by document: places in the order of their forms
+and postings in the order of their terms, so a search for a few terms reads a few row groups; what
+belongs to a document is in the order of its id, so results are looked up by bucket and id.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textlake.functions import text as T
 from textlake.operators import match as M
-from textlake.sources.tables import stored
+from textlake.sources.snapshots import Snapshot, Store, Write
+from textlake.sources.tables import new_path, stored
 
 NAME_BOOST = 2.5
 K1, B = 1.2, 0.75
@@ -49,34 +51,159 @@ def field_stats(docs: DataFrame, posts: DataFrame) -> DataFrame:
     return total.join(F.broadcast(n)).select("field", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("average"))
 
 
+#: The stored tables.  docs: what a result shows of a document, without its text; forward: its tokens in
+#: order; lengths and sums: token counts by field.
+TABLES = {
+    "docs": "doc_id long, path string, name string, ext string, size long, mtime double, page_count int, source string",
+    "forward": "doc_id long, norms array<string>, starts array<int>, ends array<int>",
+    "places": "norm string, doc_id long, pos int, start int, end int",
+    "forms": "norm string, stem string",
+    "posts": "field string, term string, doc_id long, tf long, length long",
+    "lengths": "doc_id long, field string, length long",
+    "sums": "field string, n_docs long, tokens long",
+}
+ORDER = {"docs": ("doc_id",), "forward": ("doc_id",), "places": ("norm", "doc_id", "pos"), "forms": ("norm",), "posts": ("field", "term", "doc_id"), "lengths": ("doc_id", "field"), "sums": ("field",)}
+FIELDS = ("content", "content_fold", "content_stem", "name")
+#: Document ids of one bucket, and the parts that a bucket is dealt out to when it is written.
+BUCKET_IDS, PARTS = 1 << 16, 16
+
+
 @dataclass(frozen=True)
 class Index:
-    """Stored tables: posts (field, term, doc_id, tf) in the order of field and term, lengths (doc_id,
-    field, length), stats (field, n_docs, average), places (norm, stem, doc_id, pos, start, end) in the
-    order of norm, forms (norm, stem), forward (doc_id, norms array)."""
-
-    posts: DataFrame
-    lengths: DataFrame
-    stats: DataFrame
-    places: DataFrame
-    forms: DataFrame
-    forward: DataFrame
-
-
-def build_index(docs: DataFrame) -> Index:
-    """Writes the index of docs (doc_id, name, text).  Postings and places are range-partitioned and
-    sorted, so the term filter of a search skips row groups."""
-    tokens = T.tokens(docs).select("norm", "stem", "doc_id", "pos", "start", "end")
-    places = stored(tokens.repartitionByRange("norm", "doc_id").sortWithinPartitions("norm", "doc_id"), "places")
-    counts = places.groupBy("doc_id", "norm").agg(F.count("*").alias("tf"))
-    names = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("name"), F.lit(NAME_TOKEN), F.lit(0))).alias("term"))
-    posts = field_counts(counts).union(names.groupBy(F.lit("name").alias("field"), "term", "doc_id").agg(F.count("*").alias("tf")))
-    posts = stored(posts.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id"), "posts")
-    forward = places.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "norm"))).alias("t")).select("doc_id", F.col("t.norm").alias("norms"))
-    return Index(posts, stored(lengths(posts), "lengths"), stored(field_stats(docs, posts), "stats"), places, stored(places.select("norm", "stem").distinct(), "forms"), stored(forward, "forward"))
+    """One version of the stored tables, read as TABLES says, each with its bucket."""
+
+    snapshot: Snapshot
+    ids: int = BUCKET_IDS
 
+    def __getattr__(self, table: str) -> DataFrame:
+        if table not in TABLES:
+            raise AttributeError(table)
+        return self.snapshot.read(table)
+
+    @property
+    def stats(self) -> DataFrame:
+        """(field, n_docs, average): four rows, from a row for each field and bucket."""
+        total = self.sums.groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("tokens").alias("tokens")).where("tokens > 0")
+        return total.select("field", "n_docs", (F.col("tokens") / F.col("n_docs")).alias("average"))
+
+    def of(self, table: str, ids: DataFrame) -> DataFrame:
+        """Rows of a table in the order of doc_id that can be of one of ``ids`` (doc_id): of their buckets
+        only, and of few ids only their row groups.  The caller joins."""
+        some = sorted(r.doc_id for r in ids.select("doc_id").distinct().limit(TOLD + 1).collect())
+        if len(some) <= TOLD:
+            return self.snapshot.read(table, sorted({d // self.ids for d in some})).where(F.col("doc_id").isin(some)).drop("bucket")
+        buckets = [r[0] for r in ids.select(bucket_of("doc_id", self.ids)).distinct().collect()]
+        return self.snapshot.read(table, buckets).drop("bucket")
+
+
+def bucket_of(doc_id: str, ids: int = BUCKET_IDS) -> Column:
+    return F.floor(F.col(doc_id) / ids).cast("int").alias("bucket")
+
+
+def index_store(spark: SparkSession, root: str) -> Store:
+    return Store(spark, root, TABLES)
+
+
+def _meta(docs: DataFrame, ids: int) -> DataFrame:
+    """The columns of the docs table and the bucket; what ``docs`` lacks is null."""
+    fields = docs.sparkSession.createDataFrame([], TABLES["docs"]).schema
+    return docs.select(*((F.col(f.name) if f.name in docs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields), bucket_of("doc_id", ids))
+
+
+def _forward(docs: DataFrame, ids: int) -> DataFrame:
+    """The forward rows of docs (doc_id, text), dealt out by bucket and part; documents without tokens have
+    empty arrays."""
+    src = docs.select("doc_id", "text", bucket_of("doc_id", ids), _part("doc_id"))
+    dealt = T.tokens(src.repartition("bucket", "part"), dealt=("bucket", "part"))
+    rows = dealt.groupBy("bucket", "part", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "norm", "start", "end"))).alias("t"))
+    return rows.select("doc_id", F.col("t.norm").alias("norms"), F.col("t.start").alias("starts"), F.col("t.end").alias("ends"), "bucket")
+
+
+def _part(key: str) -> Column:
+    return F.pmod(F.hash(key), F.lit(PARTS)).alias("part")
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("part", _part(key)).repartition("bucket", "part")
+
+
+def _write_tables(write: Write, docs: DataFrame, forward: DataFrame) -> None:
+    """All tables of the buckets in ``docs`` (docs rows with bucket) and ``forward``, which alone has seen
+    texts: every other table follows from these two."""
+    docs = write.put("docs", docs, ORDER["docs"])
+    forward = write.put("forward", forward, ORDER["forward"])
+    at = F.posexplode(F.arrays_zip("norms", "starts", "ends")).alias("pos", "t")
+    write.put("places", forward.select("bucket", "doc_id", at).select("bucket", "doc_id", "pos", F.col("t.norms").alias("norm"), F.col("t.starts").alias("start"), F.col("t.ends").alias("end")), ORDER["places"])
+    forms = _dealt(forward.select("bucket", F.explode("norms").alias("norm")).distinct(), "norm").select("bucket", "norm", T.light_stem("norm").alias("stem"))
+    forms = write.put("forms", forms, ORDER["forms"])
+    named = docs.select("bucket", "doc_id", F.regexp_extract_all(F.lower("name"), F.lit(NAME_TOKEN), F.lit(0)).alias("parts"))
+    counts = forward.select("bucket", "doc_id", F.size("norms").cast("long").alias("n"), F.explode("norms").alias("norm")).groupBy("bucket", "doc_id", "n", "norm").agg(F.count("*").alias("tf"))
+    one = lambda field, term, times=1: F.struct(F.lit(field).alias("field"), term.alias("term"), (F.col("n") * times).alias("length"))
+    streams = F.array(one("content", F.col("norm")), one("content_stem", F.col("stem")), one("content_fold", T.fold_form("norm"), 2), one("content_fold", T.fold_form("stem"), 2))
+    rows = counts.join(forms, ["bucket", "norm"]).select("bucket", "doc_id", "tf", F.inline(streams)).select("bucket", "field", "term", "doc_id", "length", "tf")
+    names = named.select("bucket", F.lit("name").alias("field"), F.explode("parts").alias("term"), "doc_id", F.size("parts").cast("long").alias("length"), F.lit(1).cast("long").alias("tf"))
+    posts = _dealt(rows.union(names), "term").groupBy("bucket", "part", "field", "term", "doc_id", "length").agg(F.sum("tf").alias("tf"))
+    write.put("posts", posts, ORDER["posts"])
+    n = F.size("norms").cast("long")
+    sizes = forward.select("bucket", "doc_id", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), x.alias("length")) for f, x in (("content", n), ("content_stem", n), ("content_fold", 2 * n))))))
+    sizes = sizes.union(named.select("bucket", "doc_id", F.lit("name"), F.size("parts").cast("long"))).where("length > 0")
+    lengths = write.put("lengths", _dealt(sizes, "doc_id"), ORDER["lengths"])
+    every = docs.groupBy("bucket").agg(F.count("*").alias("n_docs")).select("bucket", "n_docs", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
+    tokens = lengths.groupBy("bucket", "field").agg(F.sum("length").alias("tokens"))
+    write.put("sums", every.join(tokens, ["bucket", "field"], "left").fillna(0, ["tokens"]).repartition("bucket"), ORDER["sums"])
+
+
+def _buckets(docs: DataFrame) -> list[int]:
+    return [r.bucket for r in docs.select("bucket").distinct().collect()]
+
+
+def rebuild_index(docs: DataFrame, store: Store, ids: int = BUCKET_IDS, batch: int = -1) -> Index:
+    """A new version that holds docs (doc_id, name, text, …) and nothing else.  Until it is published
+    readers see the version before, whole."""
+    write = store.begin(batch)
+    meta = _meta(docs, ids)
+    _write_tables(write, meta.repartition("bucket"), _forward(docs, ids))
+    new = _buckets(write.store.spark.read.parquet(f"{store.root}/docs/data={write.version}"))
+    # buckets of earlier versions that have no document now are replaced by nothing
+    return Index(write.publish(sorted({*new, *write.base.buckets})), ids)
+
+
+def build_index(docs: DataFrame, ids: int = BUCKET_IDS) -> Index:
+    """An index in a folder of its own."""
+    return rebuild_index(docs, index_store(docs.sparkSession, new_path(docs.sparkSession, "index")), ids)
+
+
+def replace_documents(write: Write, changed: DataFrame, gone: DataFrame, touched: list[int], ids: int = BUCKET_IDS) -> None:
+    """Puts all tables of the buckets ``touched``: as in the version before, without the documents in gone
+    (doc_id) and changed, with those in changed (doc_id, name, text, …).  Tokens of other documents are read
+    from the forward table, so only changed texts are cut."""
+    out = gone.select("doc_id").union(changed.select("doc_id")).distinct()
+    left = lambda table: write.base.read(table, touched).join(out, "doc_id", "left_anti")
+    forward = left("forward").unionByName(_forward(changed, ids))
+    _write_tables(write, left("docs").unionByName(_meta(changed, ids)).repartition("bucket"), _dealt(forward, "doc_id"))
+
+
+def upsert_index(store: Store, changed: DataFrame, deleted: DataFrame, ids: int = BUCKET_IDS, batch: int = -1) -> Index:
+    """The next version: changed (doc_id, name, text, …) put in place or added, deleted (doc_id) taken out.
+    Buckets without either keep their files."""
+    write = store.begin(batch)
+    changed, deleted = stored(changed, "changed"), stored(deleted.select("doc_id"), "deleted")
+    touched = sorted(_buckets(changed.select("doc_id").union(deleted).select(bucket_of("doc_id", ids))))
+    replace_documents(write, changed, deleted, touched, ids)
+    return Index(write.publish(touched), ids)
 
-#: So many forms of a search are told to the scan of places as a filter; more are only joined.
+
+def publish_in_turns(docs: DataFrame, store: Store, ids: int = BUCKET_IDS, turn: int = 1):
+    """Loads docs into an empty store bucket by bucket and publishes after every ``turn`` buckets, so readers
+    see a growing index while it is loaded; yields each Index."""
+    buckets = sorted(_buckets(docs.select(bucket_of("doc_id", ids))))
+    for k in range(0, len(buckets), turn):
+        own = buckets[k : k + turn]
+        part = docs.where((F.col("doc_id") >= own[0] * ids) & (F.col("doc_id") < (own[-1] + 1) * ids))
+        yield upsert_index(store, part, part.select("doc_id").limit(0), ids)
+
+
+#: So many forms, terms or ids are told to a scan as a filter; of more only the buckets are.
 TOLD = 1000
 
 
@@ -84,7 +211,7 @@ def occurrences(index: Index, forms: DataFrame) -> DataFrame:
     """Places of forms (…, norm): the stored rows of these forms only."""
     some = [r.norm for r in forms.select("norm").distinct().limit(TOLD + 1).collect()]
     places = index.places.where(F.col("norm").isin(some)) if len(some) <= TOLD else index.places
-    return places.drop("stem").join(forms, "norm").drop("norm")
+    return places.drop("bucket").join(forms, "norm").drop("norm")
 
 
 def scoring_terms(words: DataFrame) -> DataFrame:
@@ -110,23 +237,23 @@ def boolean_candidates(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "doc_id", "required").agg(F.count_distinct("w").alias("n")).where("n >= required").select("query_id", "doc_id")
 
 
-def bm25(posts: DataFrame, terms: DataFrame, sizes: DataFrame, stats: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of every document with any term of a query, from postings, lengths and
-    field statistics.  Asked terms are told to the scan of a stored index."""
+def bm25(posts: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of every document with any term of a query, from postings with their
+    document's length and field statistics.  Asked terms are told to the scan of a stored index."""
     asked = terms.groupBy("query_id", "field", "term").agg(F.sum("boost").alias("boost"))
     some = [r.term for r in asked.select("term").distinct().limit(TOLD + 1).collect()]
     only = posts.where(F.col("term").isin(some)) if len(some) <= TOLD else posts
     only = only.join(asked.select("field", "term").distinct(), ["field", "term"], "left_semi")
     df = only.groupBy("field", "term").agg(F.count("*").alias("df"))
-    hits = only.join(asked, ["field", "term"]).join(df, ["field", "term"]).join(sizes, ["doc_id", "field"]).join(stats, "field")
+    hits = only.join(asked, ["field", "term"]).join(df, ["field", "term"]).join(stats, "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average"))
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("boost") * idf * F.col("tf") * (K1 + 1) / norm).alias("score"))
 
 
 def stored_context_keys(index: Index, hits: DataFrame, words: int = 50) -> DataFrame:
-    """As ``context_keys``, cut out of the forward table."""
-    both = index.forward.join(hits.select("query_id", "doc_id", "first_pos"), "doc_id")
+    """As ``context_keys``, cut out of the forward table, of which only the hits' rows are looked up."""
+    both = index.of("forward", hits).join(hits.select("query_id", "doc_id", "first_pos"), "doc_id")
     first = F.greatest(F.lit(0), F.col("first_pos") - words)
     near = F.slice("norms", first + 1, F.col("first_pos") + words - first)
     return both.select("query_id", "doc_id", F.sha1(F.array_join(near, " ")).alias("context"))
@@ -182,25 +309,25 @@ def scoped(docs: DataFrame, paths: list[str], sep: str) -> DataFrame:
     return docs.where(inside)
 
 
-def search(docs: DataFrame, queries: list[M.Query], index: Index, scope: Scope = Scope(), limit: int | None = None, offset: int = 0, candidate_cap: int | None = None, shown: tuple[str, ...] = ()) -> DataFrame:
-    """Many queries over docs (doc_id, path, name, ext, …) and their stored index: (query_id, rank, doc_id,
-    path, name, ext, score, occurrences, duplicates array<struct<doc_id, path, name, ext>>, spans) and the
-    columns of docs named in ``shown``; ranks offset + 1 .. offset + limit.
+def search(spark: SparkSession, queries: list[M.Query], index: Index, scope: Scope = Scope(), limit: int | None = None, offset: int = 0, candidate_cap: int | None = None, shown: tuple[str, ...] = ()) -> DataFrame:
+    """Many queries over a stored index: (query_id, rank, doc_id, path, name, ext, score, occurrences,
+    duplicates array<struct<doc_id, path, name, ext>>, spans) and the columns of its docs table named in
+    ``shown``; ranks offset + 1 .. offset + limit.  No text is read; forward rows are looked up for
+    documents that match, docs rows for those of the asked page.
 
     The vocabulary says which forms a query's words can have; only their places are read, and only
     documents with enough of the words are matched.  Statistics are those of all documents; the scope
     cuts what is matched.  ``candidate_cap`` matches only the best-scored candidates of each query;
     without it the result is exact.
     """
-    terms = scoring_terms(M.query_words(M.query_table(docs.sparkSession, queries)))
-    scores = bm25(index.posts, terms, index.lengths, index.stats)
-    inside = scope.keep(docs)
+    terms = scoring_terms(M.query_words(M.query_table(spark, queries)))
+    scores = bm25(index.posts, terms, index.stats)
     exact, plain = [q for q in queries if q.exact], [q for q in queries if not q.exact]
     found = occurrences(index, M.form_matches(index.forms, plain)) if plain else None
     phrases = M.in_a_row(occurrences(index, M.phrase_forms(index.forms, exact))) if exact else None
     matches = M.spans(found, phrases, plain)
     if scope != Scope():
-        matches = matches.join(inside.select("doc_id"), "doc_id", "left_semi")
+        matches = matches.join(scope.keep(index.docs).select("doc_id"), "doc_id", "left_semi")
     if candidate_cap:
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         scores = scores.withColumn("k", F.row_number().over(best)).where(F.col("k") <= candidate_cap).drop("k")
@@ -211,24 +338,21 @@ def search(docs: DataFrame, queries: list[M.Query], index: Index, scope: Scope =
     if limit is not None:
         ranked = ranked.where(F.col("rank") <= offset + limit)
     ranked = stored(ranked, "ranked")
-    names = inside.select("doc_id", "path", "name", "ext")
+    page = stored(ranked.select("doc_id").union(ranked.select(F.explode("duplicates"))).distinct(), "page")
+    docs = index.of("docs", page)
+    names = docs.select("doc_id", "path", "name", "ext")
     others = ranked.select("query_id", F.col("doc_id").alias("of"), F.posexplode("duplicates").alias("k", "doc_id")).join(names, "doc_id")
     others = others.groupBy("query_id", "of").agg(F.array_sort(F.collect_list(F.struct("k", "doc_id", "path", "name", "ext"))).alias("d"))
     others = others.select("query_id", F.col("of").alias("doc_id"), F.transform("d", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["path"].alias("path"), x["name"].alias("name"), x["ext"].alias("ext"))).alias("same"))
-    out = ranked.join(inside.select("doc_id", "path", "name", "ext", *shown), "doc_id").join(others, ["query_id", "doc_id"], "left")
+    out = ranked.join(docs.select("doc_id", "path", "name", "ext", *shown), "doc_id").join(others, ["query_id", "doc_id"], "left")
     same = F.coalesce("same", F.expr("cast(array() as array<struct<doc_id:bigint,path:string,name:string,ext:string>>)"))
     return out.select("query_id", "rank", "doc_id", "path", "name", "ext", *shown, "score", F.size("spans").alias("occurrences"), same.alias("duplicates"), "spans")
 
 
 def merge_result_pages(pages: DataFrame, result_limit: int) -> DataFrame:
-    """Of (page_no, rank, doc_id, …) the first row of each document in page order, cut at the limit."""
-    first = Window.partitionBy("doc_id").orderBy("page_no", "rank")
+    """Of (query_id, page_no, rank, doc_id, …) each query's first row of each document in page order, cut
+    at the limit for each query."""
+    first = Window.partitionBy("query_id", "doc_id").orderBy("page_no", "rank")
     rows = pages.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-    return rows.orderBy("page_no", "rank").limit(result_limit)
-
-
-def upsert_postings(posts: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Postings without those of changed (doc_id, name, text) and deleted (doc_id) documents, and with
-    the new ones of the changed."""
-    gone = changed.select("doc_id").union(deleted.select("doc_id")).distinct()
-    return posts.join(gone, "doc_id", "left_anti").unionByName(postings(changed).select(*posts.columns))
+    place = Window.partitionBy("query_id").orderBy("page_no", "rank", "doc_id")
+    return rows.withColumn("k", F.row_number().over(place)).where(F.col("k") <= result_limit).drop("k")

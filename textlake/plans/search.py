@@ -10,8 +10,9 @@ from textlake.operators import match as M
 from textlake.operators import results as R
 from textlake.operators import search as X
 from textlake.plans import sqltext as S
-from textlake.plans.fixtures import HEB, heb
+from textlake.plans.fixtures import HEB, heb, read
 from textlake.registry import query
+from textlake.sources.tables import new_path
 
 Q = M.Query
 ASKED = [
@@ -69,14 +70,19 @@ def _tokens(spark, sf):
     return T.tokens(heb(spark, sf))
 
 
-_INDEXES: dict[tuple[str, str], X.Index] = {}
+#: Ids of a bucket in these small data sets; X.BUCKET_IDS is meant for large ones.
+FEW_IDS = 1250
+_INDEXES: dict[tuple[str, str, str], X.Index] = {}
 
 
 def index_of(spark, sf) -> X.Index:
-    """The stored index of a data set: built once for an application, then read by every search."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The stored index of a data set: built once for an application and state of the files, then read by
+    every search."""
+    m = F.col("_metadata")
+    state = read(spark, sf, "documents").select(m["file_path"].alias("p"), m["file_size"].alias("n"), m["file_modification_time"].cast("string").alias("t")).distinct()
+    key = (spark.sparkContext.applicationId, sf, str(sorted(map(tuple, state.collect()))))
     if key not in _INDEXES:
-        _INDEXES[key] = X.build_index(docs(spark, sf))
+        _INDEXES[key] = X.build_index(docs(spark, sf), FEW_IDS)
     return _INDEXES[key]
 
 
@@ -188,7 +194,7 @@ def _terms(spark, queries):
 
 def _scored(spark, sf, queries):
     index = index_of(spark, sf)
-    return X.bm25(index.posts, _terms(spark, queries), index.lengths, index.stats).withColumn("score", F.round("score", 6))
+    return X.bm25(index.posts, _terms(spark, queries), index.stats).withColumn("score", F.round("score", 6))
 
 
 @query("build_postings", f"WITH {FIELDS} SELECT field, term, doc_id, tf FROM posts")
@@ -258,12 +264,12 @@ def _shown(df):
 
 @query("search", _search_sql("rank <= 20"))
 def search(spark, sf):
-    return _shown(X.search(docs(spark, sf), ASKED, index_of(spark, sf), limit=20, shown=SEEN))
+    return _shown(X.search(spark, ASKED, index_of(spark, sf), limit=20, shown=SEEN))
 
 
 @query("page_results", _search_sql("rank > 10 AND rank <= 15"))
 def page_results(spark, sf):
-    return _shown(X.search(docs(spark, sf), ASKED, index_of(spark, sf), limit=5, offset=10, shown=SEEN))
+    return _shown(X.search(spark, ASKED, index_of(spark, sf), limit=5, offset=10, shown=SEEN))
 
 
 @query("context_key", f"WITH {ANALYZED}, {CONTEXT} SELECT * FROM ctx")
@@ -274,32 +280,81 @@ def context_key(spark, sf):
 
 @query("dedupe_by_context", f"WITH {RANKED} SELECT query_id, doc_id, duplicates FROM ranked WHERE duplicates <> ''")
 def dedupe_by_context(spark, sf):
-    found = X.search(docs(spark, sf), ASKED, index_of(spark, sf))
+    found = X.search(spark, ASKED, index_of(spark, sf))
     return found.where(F.size("duplicates") > 0).select("query_id", "doc_id", _same(found).alias("duplicates"))
 
 
-@query("merge_result_pages", f"""WITH {RANKED}, pages_ AS (SELECT query_id AS page_no, doc_id, rank FROM ranked WHERE rank <= 50),
-m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, rank) AS k FROM pages_) SELECT page_no, doc_id, CAST(rank AS INTEGER) AS rank FROM m WHERE k = 1 ORDER BY page_no, rank LIMIT 200""")
+@query("merge_result_pages", f"""WITH {RANKED}, pages_ AS (SELECT query_id, CAST((rank - 1) // 10 AS INTEGER) AS page_no, doc_id, rank FROM ranked WHERE rank <= 50
+  UNION ALL SELECT query_id, CAST((rank - 1) // 10 + 1 AS INTEGER), doc_id, rank FROM ranked WHERE rank <= 40 AND rank % 10 = 0),
+m AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY page_no, rank) AS k FROM pages_),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY page_no, rank, doc_id) AS j FROM m WHERE k = 1)
+SELECT query_id, page_no, doc_id, CAST(rank AS INTEGER) AS rank FROM n WHERE j <= 35""")
 def merge_result_pages(spark, sf):
-    """The ranked pages of all queries, one after the other."""
-    pages = X.search(docs(spark, sf), ASKED, index_of(spark, sf), limit=50).select(F.col("query_id").alias("page_no"), "rank", "doc_id")
-    return X.merge_result_pages(pages, 200).select("page_no", "doc_id", "rank")
+    """Pages of ten results of each query; the last one of a page comes again on the next, as when the
+    index changes between two requests."""
+    found = X.search(spark, ASKED, index_of(spark, sf), limit=50)
+    page = F.floor((F.col("rank") - 1) / 10).cast("int")
+    pages = found.select("query_id", page.alias("page_no"), "rank", "doc_id")
+    again = pages.where("rank <= 40 and rank % 10 = 0").withColumn("page_no", F.col("page_no") + 1)
+    return X.merge_result_pages(pages.union(again), 35).select("query_id", "page_no", "doc_id", "rank")
 
 
 @query("rebuild_index", f"WITH {FIELDS} SELECT field, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms FROM posts GROUP BY field")
 def rebuild_index(spark, sf):
-    """Written anew from the stored texts, then read."""
-    posts = X.build_index(docs(spark, sf)).posts
+    """Written anew as the second version of a store whose first one holds other documents, then read."""
+    d, store = docs(spark, sf), X.index_store(spark, new_path(spark, "index"))
+    X.rebuild_index(d.where("doc_id % 3 = 0").withColumn("doc_id", F.col("doc_id") + 7), store, FEW_IDS)
+    posts = X.rebuild_index(d, store, FEW_IDS).posts
     return posts.groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("tokens"), F.count_distinct("term").alias("terms"))
 
 
-@query("index_upsert_delete", f"""WITH {FIELDS}, p AS (SELECT * FROM posts WHERE doc_id % 10 <> 1 AND NOT (doc_id % 7 = 0)
-  UNION ALL SELECT field, term, doc_id, tf FROM posts WHERE doc_id % 7 = 0) SELECT field, doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens FROM p GROUP BY field, doc_id""")
-def index_upsert_delete(spark, sf):
+def _upserted(spark, sf) -> X.Index:
+    """Every seventh text is replaced and every tenth document deleted in a stored index."""
     d = docs(spark, sf)
-    old = X.postings(d.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" טחה"))).otherwise(F.col("text"))))
-    new = X.upsert_postings(old, d.where("doc_id % 7 = 0"), d.where("doc_id % 10 = 1 and doc_id % 7 <> 0").select("doc_id"))
-    return new.groupBy("field", "doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+    old = d.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" טחה"))).otherwise(F.col("text")))
+    store = X.build_index(old, FEW_IDS).snapshot.store
+    return X.upsert_index(store, d.where("doc_id % 7 = 0"), d.where("doc_id % 10 = 1 and doc_id % 7 <> 0").select("doc_id"), FEW_IDS)
+
+
+LEFT = "NOT (doc_id % 10 = 1 AND doc_id % 7 <> 0)"
+
+
+@query("index_upsert_delete", f"WITH {FIELDS} SELECT field, doc_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens FROM posts WHERE {LEFT} GROUP BY field, doc_id")
+def index_upsert_delete(spark, sf):
+    return _upserted(spark, sf).posts.groupBy("field", "doc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"))
+
+
+@query("index_tables", f"""WITH {FIELDS}, {S.tokens('heb')}, t AS (SELECT * FROM tok WHERE {LEFT}), p AS (SELECT * FROM posts JOIN lens USING (doc_id, field) WHERE {LEFT}), h AS (SELECT * FROM heb WHERE {LEFT})
+SELECT 'docs' AS name, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS a, CAST(count(DISTINCT path) AS BIGINT) AS b FROM h
+UNION ALL SELECT 'forward', count(DISTINCT doc_id), count(*), CAST(sum(start) AS BIGINT) FROM t
+UNION ALL SELECT 'places', count(*), CAST(sum(pos) AS BIGINT), CAST(sum(end_) AS BIGINT) FROM t
+UNION ALL SELECT 'forms', count(DISTINCT norm), count(DISTINCT stem), CAST(0 AS BIGINT) FROM t
+UNION ALL SELECT 'posts', count(*), CAST(sum(tf) AS BIGINT), CAST(sum(length) AS BIGINT) FROM p
+UNION ALL SELECT 'lengths', count(*), CAST(sum(length) AS BIGINT), count(DISTINCT field) FROM (SELECT DISTINCT doc_id, field, length FROM p)
+UNION ALL SELECT 'sums', count(DISTINCT field), CAST(sum(tf) AS BIGINT), CAST((SELECT count(*) FROM h) AS BIGINT) FROM p""")
+def index_tables(spark, sf):
+    """Every table of a stored index after an upsert, summed up: as many rows and sums as a fresh one has."""
+    x = _upserted(spark, sf)
+    one = lambda df, name, n, a, b=F.lit(0): df.agg(n.alias("n"), a.alias("a"), b.alias("b")).select(F.lit(name).alias("name"), *(F.col(c).cast("long").alias(c) for c in "nab"))
+    many, d = F.count("*"), F.count_distinct
+    parts = [one(x.docs, "docs", many, F.sum("size"), d("path")), one(x.forward, "forward", many, F.sum(F.size("norms")), F.sum(F.aggregate("starts", F.lit(0).cast("long"), lambda s, e: s + e))), one(x.places, "places", many, F.sum("pos"), F.sum("end"))]
+    parts += [one(x.forms, "forms", d("norm"), d("stem")), one(x.posts, "posts", many, F.sum("tf"), F.sum("length")), one(x.lengths, "lengths", many, F.sum("length"), d("field")), one(x.stats, "sums", many, F.sum(F.round(F.col("average") * F.col("n_docs"))), F.max("n_docs"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query("publish_in_turns", f"""WITH {FIELDS}, turns AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id // {FEW_IDS}) AS t FROM heb),
+v AS (SELECT DISTINCT CAST((t + 2) // 3 AS INTEGER) AS version FROM turns)
+SELECT version, field, count(DISTINCT doc_id) AS docs, CAST(sum(tf) AS BIGINT) AS tokens FROM v JOIN turns ON (t + 2) // 3 <= version JOIN posts USING (doc_id) GROUP BY version, field""")
+def publish_in_turns(spark, sf):
+    """What a reader of each version sees while an index is loaded, three buckets a turn."""
+    store, seen = X.index_store(spark, new_path(spark, "index")), None
+    for index in X.publish_in_turns(docs(spark, sf), store, FEW_IDS, turn=3):
+        own = index.posts.groupBy("field").agg(F.count_distinct("doc_id").alias("docs"), F.sum("tf").alias("tokens")).select(F.lit(index.snapshot.version).alias("version"), "field", "docs", "tokens")
+        seen = own if seen is None else seen.union(own)
+    return seen
 
 
 @query("docs_in_index", f"WITH {FIELDS} SELECT count(DISTINCT doc_id) AS docs FROM posts")
@@ -370,7 +425,7 @@ FROM walk k JOIN wide w ON w.query_id = k.query_id AND w.doc_id = k.doc_id AND w
 def search_matches(spark, sf):
     """The snippets of a search's first results, each with its page (three lines a page)."""
     d = docs(spark, sf)
-    found = X.search(d, ASKED, index_of(spark, sf), limit=20)
+    found = X.search(spark, ASKED, index_of(spark, sf), limit=20)
     lines = d.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
     own = Window.partitionBy("file_id").orderBy("n")
     lines = lines.withColumn("end", F.sum(F.length("line") + 1).over(own) - 1)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from textlake.operators import search as X
 from textlake.plans.fixtures import read
 from textlake.registry import query
+from textlake.sources.tables import new_path
 from textlake.streaming import changes as G
+from textlake.streaming.live import apply_batch, live_store
 
 CHANGES = """changes AS (SELECT event_id AS seq, ts, '/lib/u' || user_id || '.txt' AS path, '/lib/m' || user_id || '.txt' AS dest_path,
   CASE WHEN event_type = 'error' THEN 'deleted' WHEN event_type = 'purchase' THEN 'moved' ELSE 'modified' END AS kind, event_id % 17 = 0 AS is_directory FROM events),
@@ -61,21 +63,34 @@ def apply_changes(spark, sf):
     return G.apply_changes(known, settled)
 
 
-@query("apply_changes_index", f"""WITH {APPLIED}, ev AS (SELECT DISTINCT user_id FROM events), last2 AS (SELECT path, intent FROM last_),
-old AS (SELECT user_id AS id, '/lib/u' || user_id || '.txt' AS path, 'text of ' || user_id % 50 AS text FROM ev), new AS (SELECT path, 'changed text of ' || user_id % 30 AS text FROM (SELECT user_id, '/lib/u' || user_id || '.txt' AS path FROM ev)),
-now AS (SELECT old.id, CASE WHEN intent = 'change' THEN new.text ELSE old.text END AS text FROM old LEFT JOIN last2 USING (path) LEFT JOIN new USING (path) WHERE intent IS NULL OR intent <> 'delete')
-SELECT field, term, id AS doc_id, count(*) AS tf FROM (SELECT 'content' AS field, unnest(string_split(text, ' ')) AS term, id FROM now) GROUP BY field, term, id""")
+#: Ids of a bucket of the small catalog.
+FEW_IDS = 256
+
+
+@query("apply_changes_index", f"""WITH {APPLIED}, old AS (SELECT DISTINCT user_id AS id, '/lib/u' || user_id || '.txt' AS path FROM events),
+changed AS (SELECT path FROM last_ WHERE intent = 'change'),
+new AS (SELECT path, (SELECT max(id) FROM old) + row_number() OVER (ORDER BY path) AS id FROM changed ANTI JOIN old USING (path)),
+now AS (SELECT id, path, CASE WHEN l.intent = 'change' THEN 'changed ' ELSE '' END AS lead FROM old LEFT JOIN last_ l USING (path) WHERE l.intent IS DISTINCT FROM 'delete' UNION ALL SELECT id, path, 'changed ' FROM new),
+texts AS (SELECT id, path, lead || 'text of ' || (CAST(regexp_extract(path, '[0-9]+') AS BIGINT) % CASE WHEN lead = '' THEN 50 ELSE 30 END) AS text FROM now)
+SELECT term, id AS doc_id, path, count(*) AS tf FROM (SELECT unnest(string_split(text, ' ')) AS term, id, path FROM texts) GROUP BY term, id, path""")
 def apply_changes_index(spark, sf):
-    """Postings after deletes and changes of a batch of events."""
+    """Postings and paths of the live index after a batch of events: new files and targets of moves have
+    ids and postings, deleted ones are gone."""
     settled = G.latest_intent(G.change_stream(changes(spark, sf)), "30 minutes")
-    users = read(spark, sf, "events").select("user_id").distinct()
-    path = F.concat(F.lit("/lib/u"), F.col("user_id").cast("string"), F.lit(".txt"))
-    text = lambda lead, n: F.concat(F.lit(lead), (F.col("user_id") % n).cast("string"))
-    old = users.select(F.col("user_id").alias("doc_id"), path.alias("name"), text("text of ", 50).alias("text"))
-    files = users.select(F.col("user_id").alias("id"), path.alias("path"), F.lit("indexed").alias("status"))
-    new = users.select(path.alias("path"), path.alias("name"), text("changed text of ", 30).alias("text"))
-    _, posts = G.apply_to_index(files, X.postings(old), settled, new)
-    return posts.where("field = 'content'")
+    n = F.regexp_extract("path", "[0-9]+", 0).cast("long")
+    text = lambda lead, k: F.concat(F.lit(lead), (n % k).cast("string"))
+    base = F.element_at(F.split("path", "/"), -1)
+    users = read(spark, sf, "events").select(F.col("user_id").alias("id"), F.concat(F.lit("/lib/u"), F.col("user_id").cast("string"), F.lit(".txt")).alias("path")).distinct()
+    store = live_store(spark, new_path(spark, "live"))
+    write = store.begin(0)
+    docs = users.select(F.col("id").alias("doc_id"), "path", base.alias("name"), text("text of ", 50).alias("text"))
+    buckets = sorted(r[0] for r in users.select(X.bucket_of("id", FEW_IDS)).distinct().collect())
+    X.replace_documents(write, docs, docs.select("doc_id").limit(0), buckets, FEW_IDS)
+    write.put("files", users.select("id", "path", F.lit("indexed").alias("status"), F.lit(None).alias("error"), X.bucket_of("id", FEW_IDS)).repartition("bucket"), ("id",))
+    write.publish(buckets)
+    load = lambda paths: paths.select("path", base.alias("name"), text("changed text of ", 30).alias("text"), F.lit(None).cast("string").alias("error"))
+    index = apply_batch(store, settled, load, 1, FEW_IDS)
+    return index.posts.where("field = 'content'").join(index.docs.select("doc_id", "path"), "doc_id").select("term", "doc_id", "path", "tf")
 
 
 @query("timed_publish", f"""WITH d AS (SELECT event_id AS seq, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM events), p AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY w ORDER BY seq) - 1) / 5.0) AS INTEGER) AS part FROM d)

@@ -1,4 +1,4 @@
-"""All registered queries (spark, sf_dir) -> DataFrame and their DuckDB equivalents."""
+"""All registered queries (spark, sf_dir) -> DataFrame and their DuckDB equivalents, once ``load`` has run."""
 
 from __future__ import annotations
 
@@ -26,5 +26,3 @@ def load() -> None:
     """Imports every module that registers queries."""
     from textlake.plans import books, catalog, layout, library, search, sources, streams, text  # noqa: F401
 
-
-load()

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textlake.operators.library import SUPPORTED, extension
-from textlake.operators.search import upsert_postings
 
 GAP = "2 seconds"
 #: Documents after which a rebuild publishes what it has.
@@ -102,13 +101,3 @@ def pending_drain(queue: DataFrame, recognized: DataFrame, partial: DataFrame, f
     source = F.when(twin, "twin").when(whole, "ocr").when(F.col("done") > 0, "ocr_partial")
     error = F.when(status == "error", "no text after all attempts")
     return rows.select("id", "attempts", status.alias("status"), source.alias("source"), "twin_id", "done", error.alias("error")), pages
-
-
-def apply_to_index(files: DataFrame, posts: DataFrame, settled: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files, postings) after a batch: postings (field, term, doc_id, tf) of deleted and changed files go,
-    those of changed ones are made anew from texts (path, name, text)."""
-    state = apply_changes(files, settled)
-    last = final_intents(settled)
-    gone = files.select("id", "path").join(last.where("intent = 'delete'"), "path").select(F.col("id").alias("doc_id"))
-    changed = last.where("intent = 'change'").join(files.select("id", "path"), "path").join(texts, "path").select(F.col("id").alias("doc_id"), "name", "text")
-    return state, upsert_postings(posts, changed, gone)
