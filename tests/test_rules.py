@@ -19,6 +19,7 @@ from textlake.operators import library as L
 from textlake.operators import match as M
 from textlake.operators import results as R
 from textlake.sources import files as X
+from textlake.sources.listing import scan_files, with_contents
 from textlake.streaming import changes as G
 
 BOOK = "!legend\n$ כותרת ראשית\n@ פרק ראשון\n~ סעיף קטן\nשורת גוף אחת\nשורת גוף שתיים\n<h2>פרק שני</h2>\nעוד גוף\n"
@@ -183,10 +184,10 @@ def test_scan_decode_and_docx(spark, tmp_path):
     with zipfile.ZipFile(raw, "w") as z:
         z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{p("one")}{p(" ")}<w:tbl><w:tr><w:tc>{p(" x ")}</w:tc><w:tc>{p("y")}</w:tc></w:tr></w:tbl>{p("two")}</w:body></w:document>')
     (tmp_path / "d.docx").write_bytes(raw.getvalue())
-    found = X.scan_files(spark, [str(tmp_path)])
+    found = scan_files(spark, [str(tmp_path)])
     assert {r.path.rsplit("/", 1)[1] for r in found.select("path").collect()} == {"a.txt", "d.docx"}
-    assert X.read_text_decoded(found.where("path like '%a.txt'")).first().text == "שלום"
-    assert X.extract_docx(found.where("path like '%docx'")).first().text == "one\ntwo\nx\ty"
+    assert X.read_text_decoded(with_contents(found.where("path like '%a.txt'"))).first().text == "שלום"
+    assert X.extract_docx(with_contents(found.where("path like '%docx'"))).first().text == "one\ntwo\nx\ty"
     with pytest.raises(X.DOCX_ERRORS):
         X.docx_text(b"no zip")
     bad = spark.createDataFrame([(b"no zip",), (None,)], "content binary")

@@ -15,6 +15,7 @@ from textlake.plans.search import ASKED, snippets_sql, walk_sql
 from textlake.plans.text import SCORED, sql_lines
 from textlake.registry import query
 from textlake.sources import files as X
+from textlake.sources.listing import scan_files
 from textlake.sources.tables import new_path
 
 
@@ -49,17 +50,18 @@ def html_blocks_to_text(spark, sf):
 
 
 @query("scan_files", """SELECT folder, source, count(*) > 0 AS found, CAST(sum(strlen(text) + 1) AS BIGINT) AS length FROM (SELECT 'books' AS folder, source, text, doc_id FROM documents) WHERE doc_id % 3 = 0 GROUP BY folder, source""")
-def scan_files(spark, sf):
-    """Text files that Spark writes into three folders, a file for each source; two folders are skipped."""
+def scan_files_query(spark, sf):
+    """Text files that Spark writes into three folders, a file for each source; two folders are skipped, and
+    one of the roots lies below the other."""
     root = new_path(spark, "library")
     docs = read(spark, sf, "documents").select("doc_id", "source", "text")
     for k, folder in enumerate(("books", ".hidden", "Node_Modules")):
         part = docs.where(F.col("doc_id") % 3 == k).drop("doc_id")
         part.repartition("source").write.partitionBy("source").text(f"{root}/{folder}")
-    found = X.scan_files(spark, [root])
+    found = scan_files(spark, [root, f"{root}/books"])
     parts = F.split("path", "/")
-    rows = found.select(F.element_at(parts, -3).alias("folder"), F.substring_index(F.element_at(parts, -2), "source=", -1).alias("source"), "length")
-    return rows.groupBy("folder", "source").agg((F.count("*") == 1).alias("found"), F.sum("length").alias("length"))
+    rows = found.select(F.element_at(parts, -3).alias("folder"), F.substring_index(F.element_at(parts, -2), "source=", -1).alias("source"), "size")
+    return rows.groupBy("folder", "source").agg((F.count("*") == 1).alias("found"), F.sum("size").alias("length"))
 
 
 #: Characters that XML has no way to write, and line breaks of other systems.

@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from textlake.plans import books, catalog, layout, library, search, sources, streams, text  # noqa: F401
+    from textlake.plans import books, catalog, ingest, layout, library, search, sources, streams, text  # noqa: F401
 

@@ -18,6 +18,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def _load(spark: SparkSession, path: str, columns: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(columns).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 _MANIFEST = "batch long, bucket int, data int"
 
 
@@ -30,13 +39,8 @@ class Store:
     schemas: dict[str, str]
 
     def versions(self) -> list[int]:
-        try:
-            found = self.spark.read.schema(f"{_MANIFEST}, version int").parquet(f"{self.root}/manifest")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
-        return sorted(r.version for r in found.select("version").distinct().collect())
+        found = _load(self.spark, f"{self.root}/manifest", f"{_MANIFEST}, version int")
+        return [] if found is None else sorted(r.version for r in found.select("version").distinct().collect())
 
     def open(self, version: int | None = None) -> Snapshot:
         """The latest version or the one asked for; version 0 is empty."""
@@ -81,9 +85,9 @@ class Snapshot:
         for b, d in self.buckets.items():
             if only is None or b in only:
                 wanted[d].append(b)
-        if not wanted:
+        rows = _load(spark, f"{self.store.root}/{table}", f"{columns}, data int, bucket int") if wanted else None
+        if rows is None:  # no bucket, or a table that was never written
             return spark.createDataFrame([], f"{columns}, bucket int")
-        rows = spark.read.schema(f"{columns}, data int, bucket int").parquet(f"{self.store.root}/{table}")
         keep = F.lit(False)
         for d, own in sorted(wanted.items()):
             keep |= (F.col("data") == d) & F.col("bucket").isin(sorted(own))
