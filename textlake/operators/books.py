@@ -22,6 +22,8 @@ LEGEND_LEADS = "!#^&*+=|%;`"
 TAG = rf"(?i)^[{BLANK}]*<h([123])>(.*?)</h\1>[{BLANK}]*$"
 CHUNK = 12_000
 MOST_HITS = 500
+#: Characters around a hit from which its snippet is made; more than a snippet reaches.
+AROUND = 200
 
 
 def is_legend(line) -> Column:
@@ -61,23 +63,45 @@ def display_text(lines: DataFrame) -> DataFrame:
     return rows.select("path", F.concat(F.array_join(F.col("p.part"), "\n"), F.lit("\n")).alias("text"))
 
 
+def _blocks(text, half: int = CHUNK // 2) -> Column:
+    """The text in pieces of ``half`` characters, cut in one pass."""
+    return F.regexp_extract_all(col(text), F.lit(f"(?s).{{1,{half}}}"), F.lit(0))
+
+
+def _piece(blocks: Column, start: Column, end: Column, half: int = CHUNK // 2) -> Column:
+    """The characters from start to end, out of the few blocks that hold them: a substring of the whole
+    text would be counted from its first character each time."""
+    first = F.floor(start / half).cast("int")
+    last = F.least(F.size(blocks), F.ceil(end / half).cast("int"))
+    return F.substring(F.array_join(F.slice(blocks, first + 1, F.greatest(F.lit(0), last - first)), ""), (start - first * half).cast("int") + 1, F.greatest(F.lit(0), end - start).cast("int"))
+
+
 def chunk_boundaries(text, size: int = CHUNK) -> Column:
     """Cuts after about ``size`` characters, at the last blank line in the second half, else the last
-    line break there, else hard.  The cut at a blank line is between its two breaks."""
+    line break there, else hard.  The cut at a blank line is between its two breaks.
+
+    A fold over the text's blocks keeps the last three of them, which hold all that the next cut looks
+    at; a cut moves on by more than a block, so there is at most one for each block.  A book takes linear
+    time."""
     t = col(text)
-    n = F.length(t)
-    steps = F.sequence(F.lit(0), F.floor(n / (size // 2)).cast("int"))
+    half = size // 2
 
-    def cut(bounds: Column, _: Column) -> Column:
+    def step(acc: Column, block: Column) -> Column:
+        bounds, n = acc["bounds"], acc["n"]
+        long = F.concat(acc["near"], block)
+        lost = F.greatest(F.lit(0), F.length(long) - 3 * half)
+        near, base = F.substring(long, lost + 1, F.lit(3 * half)), acc["base"] + lost
         pos = F.element_at(bounds, -1)
         nxt = F.least(n, pos + size)
-        part = F.substring(t, pos + size // 2 + 1, F.greatest(F.lit(0), nxt - pos - size // 2))
-        blank, line = F.instr(F.reverse(part), "\n\n"), F.instr(F.reverse(part), "\n")
-        from_ = pos + size // 2 + F.length(part)
-        at = F.when(nxt >= n, nxt).when(blank > 0, from_ - blank).when(line > 0, from_ - line + 1).otherwise(nxt)
-        return F.when(pos >= n, bounds).otherwise(F.concat(bounds, F.array(at)))
+        tail = F.reverse(F.substring(near, pos + half - base + 1, F.greatest(F.lit(0), nxt - pos - half)))
+        blank, line = F.instr(tail, "\n\n"), F.instr(tail, "\n")
+        at = F.when(nxt >= n, nxt).when(blank > 0, nxt - blank).when(line > 0, nxt - line + 1).otherwise(nxt)
+        known = acc["base"] + F.length(long) >= nxt
+        return F.struct(F.when((pos < n) & known, F.concat(bounds, F.array(at))).otherwise(bounds).alias("bounds"), near.alias("near"), base.alias("base"), n.alias("n"))
 
-    return F.aggregate(steps, F.array(F.lit(0)), cut)
+    start = F.struct(F.array(F.lit(0)).alias("bounds"), F.lit("").alias("near"), F.lit(0).alias("base"), F.length(t).alias("n"))
+    ends = F.array_repeat(F.lit(""), 3)  # what is left after the last block
+    return F.aggregate(F.concat(_blocks(t, half), ends), start, step, lambda acc: acc["bounds"])
 
 
 def chunk_of(bounds, offset) -> Column:
@@ -88,12 +112,11 @@ def chunk_of(bounds, offset) -> Column:
 
 def chunks(display: DataFrame) -> DataFrame:
     """(path, chunk, total_chunks, chunk_start, text, has_niqqud, has_teamim, percent) of all books."""
-    cut = display.withColumn("bounds", chunk_boundaries("text"))
+    cut = display.select("path", chunk_boundaries("text").alias("bounds"), _blocks("text").alias("blocks"))
     total = F.greatest(F.lit(1), F.size("bounds") - 1)
-    rows = cut.select("path", "text", "bounds", total.alias("total_chunks"), F.posexplode(F.slice("bounds", 1, total)).alias("chunk", "chunk_start"))
-    end = F.coalesce(F.get("bounds", F.col("chunk") + 1), F.lit(0))
-    part = F.substring("text", F.col("chunk_start") + 1, end - F.col("chunk_start"))
-    rows = rows.select("path", "chunk", "total_chunks", "chunk_start", part.alias("text"))
+    at = lambda k: F.coalesce(F.get("bounds", k), F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), total - 1), lambda k: F.struct(k.alias("chunk"), at(k).alias("chunk_start"), _piece(F.col("blocks"), at(k), at(k + 1)).alias("text")))
+    rows = cut.select("path", total.alias("total_chunks"), F.inline(parts)).select("path", "chunk", "total_chunks", "chunk_start", "text")
     return rows.select("*", T.has_niqqud("text").alias("has_niqqud"), T.has_teamim("text").alias("has_teamim"), F.bround(F.col("chunk") / F.col("total_chunks") * 100, 1).alias("percent"))
 
 
@@ -115,12 +138,20 @@ def _spans(display: DataFrame, id_col: str, queries: list[M.Query], most: int) -
 def search_in_book(display: DataFrame, queries: list[M.Query], most: int = MOST_HITS) -> DataFrame:
     """(query_id, path, total, hit, chunk, start, end, abs_start, snippet, hl_start, hl_end); proximity is
     off, hits are cut at ``most``, total is not."""
-    cut = display.withColumn("bounds", chunk_boundaries("text"))
-    rows = _spans(display, "path", queries, most).join(cut, "path")
-    snippet, a, b = R.snippet_chars("text", "start", "end")
-    rows = rows.select("*", chunk_of("bounds", "start").alias("chunk"), snippet.alias("snippet"), a.alias("hl_start"), b.alias("hl_end"))
-    at = F.get("bounds", F.col("chunk"))
-    return rows.select("query_id", "path", "total", "hit", "chunk", (F.col("start") - at).alias("start"), (F.col("end") - at).alias("end"), F.col("start").alias("abs_start"), "snippet", "hl_start", "hl_end")
+    hits = _spans(display, "path", queries, most).groupBy("path").agg(F.collect_list(F.struct("query_id", "total", "hit", "start", "end")).alias("hits"))
+    # at most ``most`` hits a query meet their book's row, and each leaves with the characters around it
+    book = hits.join(display, "path").select("path", "hits", chunk_boundaries("text").alias("bounds"), _blocks("text").alias("blocks"), F.length("text").alias("n"))
+    lo, hi = (lambda h: F.greatest(F.lit(0), h["start"] - AROUND)), (lambda h: F.least(F.col("n"), h["end"] + AROUND))
+
+    def placed(h: Column) -> Column:
+        chunk = chunk_of("bounds", h["start"])
+        fields = [h[c].alias(c) for c in ("query_id", "total", "hit", "start", "end")]
+        return F.struct(*fields, chunk.alias("chunk"), F.get("bounds", chunk).alias("at"), lo(h).alias("lo"), _piece(F.col("blocks"), lo(h), hi(h)).alias("near"))
+
+    rows = book.select("path", F.inline(F.transform("hits", placed)))
+    rows = rows.withColumns({"s": F.col("start") - F.col("lo"), "e": F.col("end") - F.col("lo")})
+    snippet, a, b = R.snippet_chars("near", "s", "e")
+    return rows.select("query_id", "path", "total", "hit", "chunk", (F.col("start") - F.col("at")).alias("start"), (F.col("end") - F.col("at")).alias("end"), F.col("start").alias("abs_start"), snippet.alias("snippet"), a.alias("hl_start"), b.alias("hl_end"))
 
 
 def search_in_pages(texts: DataFrame, segments: DataFrame, queries: list[M.Query], most: int = MOST_HITS) -> DataFrame:
