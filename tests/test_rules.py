@@ -195,6 +195,14 @@ def test_scan_decode_and_docx(spark, tmp_path):
     assert X.decode("שלום".encode("utf-16")) == X.decode("שלום".encode("utf-16-le")) == X.decode("שלום".encode("cp1255")) == X.decode("שלום".encode()) == "שלום"
 
 
+def test_charset_is_told_by_likelihood():
+    hebrew, french, german = "ויאמר אליו המלך, לך אל העיר!\n(שם) 12", "Où est l'été dernier? À côté, déjà.", "Über die schöne Straße, grüß Gott."
+    for text, name in ((hebrew, "cp1255"), (hebrew, "utf-16-le"), (hebrew, "utf-16-be"), (french, "cp1252"), (german, "cp1252"), (french, "utf-16-le"), ("plain words", "utf-16-be"), (hebrew, "utf-8"), (hebrew, "utf-32"), ("", "utf-8")):
+        assert X.decode(text.encode(name)) == text, (text, name)
+    assert X.decode("שָׁלוֹם".encode("cp1255")) == "שָׁלוֹם" and X.decode(b"\xff") is not None and X.decode(None) is None
+    assert X.decode(b"abc", detect=lambda raw: None) == "abc"
+
+
 def test_text_sink_has_a_mark(spark, tmp_path):
     X.write_text_sink(spark.createDataFrame([("שלום",)], "text string").coalesce(1), str(tmp_path / "o"))
     (part,) = (tmp_path / "o").glob("part-*")
