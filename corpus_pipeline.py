@@ -18,11 +18,14 @@ from textlake.llm.substring import drop_repeats
 
 #: Jaccard of near copies in percent, as for lines; the op10 query has a contract value of its own, 85.
 NEAR_PERCENT = 80
+#: Documents of one file of the first stage's table; later tables follow its files, however many small ones
+#: the input had.
+FILE_ROWS = 8_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the divergence from their language reject go."""
-    return keep_good(docs)
+    return keep_good(docs).coalesce(1 + docs.count() // FILE_ROWS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
