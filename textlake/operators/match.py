@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textlake.functions import text as T
+from textlake.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -62,22 +63,31 @@ def token_keys(tokens: DataFrame, modes: list[tuple[bool, bool]], *more: str) ->
     return tokens.select("doc_id", "pos", "start", "end", *more, F.inline(F.array(*keys)))
 
 
+def kept_tokens(tokens: DataFrame) -> DataFrame:
+    """The token table, written: its vocabulary is matched first and its rows are read again after that."""
+    return stored(tokens.select("doc_id", "pos", "start", "end", "norm", "stem"), "tokens")
+
+
 def word_occurrences(tokens: DataFrame, queries: list[Query]) -> DataFrame:
     """(query_id, w, doc_id, pos, start, end): a token is an occurrence of a word if their normal forms
-    are equal or, unless whole words are asked for, any of normal form and stem equals any."""
-    words = query_words(query_table(tokens.sparkSession, queries))
-    asked = F.array(*(F.struct(F.lit(kind).alias("q_kind"), T.fold_form(name, F.col("fold_vy"), F.col("fold_aa")).alias("key")) for kind, name in ((0, "term"), (1, "stem"))))
-    words = words.select("query_id", "w", "whole_word", _mode("fold_vy", "fold_aa").alias("mode"), F.inline(asked))
-    found = token_keys(tokens, _modes(queries)).join(words, ["mode", "key"]).where("not whole_word or (kind = 0 and q_kind = 0)")
-    return found.select("query_id", "w", "doc_id", "pos", "start", "end").distinct()
+    are equal or, unless whole words are asked for, any of normal form and stem equals any.  Each form
+    of the vocabulary is compared once, whatever the number of its tokens."""
+    return _occurrences(kept_tokens(tokens), queries)
+
+
+def _occurrences(tokens: DataFrame, queries: list[Query]) -> DataFrame:
+    forms = form_matches(tokens.select("norm", "stem").distinct(), queries)
+    return tokens.join(forms, "norm").select("query_id", "w", "doc_id", "pos", "start", "end")
 
 
 def phrase_occurrences(tokens: DataFrame, queries: list[Query]) -> DataFrame:
     """(query_id, doc_id, pos, start, end) for every place where a query's words follow each other."""
-    words = query_words(query_table(tokens.sparkSession, queries))
-    words = words.select("query_id", "w", "n_words", _mode("fold_vy", "fold_aa").alias("mode"), T.fold_form("term", F.col("fold_vy"), F.col("fold_aa")).alias("key"))
-    hits = token_keys(tokens, _modes(queries)).where("kind = 0").join(words, ["mode", "key"])
-    return in_a_row(hits)
+    return _phrases(kept_tokens(tokens), queries)
+
+
+def _phrases(tokens: DataFrame, queries: list[Query]) -> DataFrame:
+    forms = phrase_forms(tokens.select("norm", "stem").distinct(), queries)
+    return in_a_row(tokens.join(forms, "norm"))
 
 
 def windowed(occurrences: DataFrame, queries: list[Query]) -> DataFrame:
@@ -126,7 +136,8 @@ def analyze(tokens: DataFrame, queries: list[Query]) -> DataFrame:
     """(query_id, doc_id, spans array<struct<start,end>>, first_pos) of the documents that match; spans
     are all occurrences, each once, in order."""
     exact, plain = [q for q in queries if q.exact], [q for q in queries if not q.exact]
-    return spans(word_occurrences(tokens, plain) if plain else None, phrase_occurrences(tokens, exact) if exact else None, plain)
+    tokens = kept_tokens(tokens)
+    return spans(_occurrences(tokens, plain) if plain else None, _phrases(tokens, exact) if exact else None, plain)
 
 
 def spans(found: DataFrame | None, phrases: DataFrame | None, plain: list[Query]) -> DataFrame:
