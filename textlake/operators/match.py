@@ -108,22 +108,42 @@ def matched(occurrences: DataFrame, queries: list[Query]) -> DataFrame:
     return seen.where("found >= required and (required <= 1 or proximity <= 0 or near >= required)").select("query_id", "doc_id")
 
 
+#: So many keys of query words are told to a scan of the vocabulary as a filter; more are only joined.
+TOLD = 1000
+
+
+def _near(forms: DataFrame, words: DataFrame, modes: list[tuple[bool, bool]], stems: bool) -> DataFrame:
+    """The forms that can have a key of words (mode, key), so that only these are spread over their keys."""
+    keys = words.select("mode", "key").distinct().limit(TOLD + 1).collect()
+    if len(keys) > TOLD:
+        return forms
+    hit = F.lit(False)
+    for vy, aa in modes:
+        own = [r.key for r in keys if r.mode == int(vy) * 2 + int(aa)]
+        for name in ("norm", "stem") if stems else ("norm",):
+            hit |= T.fold_form(name, vy, aa).isin(own)
+    return forms.where(hit)
+
+
 def form_matches(forms: DataFrame, queries: list[Query]) -> DataFrame:
     """(query_id, w, norm): which forms (norm, stem) of a vocabulary are occurrences of which word."""
-    rows = forms.select(F.lit(0).alias("doc_id"), F.lit(0).alias("pos"), F.lit(0).alias("start"), F.lit(0).alias("end"), "norm", "stem")
     words = query_words(query_table(forms.sparkSession, queries))
     asked = F.array(*(F.struct(F.lit(kind).alias("q_kind"), T.fold_form(name, F.col("fold_vy"), F.col("fold_aa")).alias("key")) for kind, name in ((0, "term"), (1, "stem"))))
     words = words.select("query_id", "w", "whole_word", _mode("fold_vy", "fold_aa").alias("mode"), F.inline(asked))
-    found = token_keys(rows, _modes(queries), "norm").join(words, ["mode", "key"]).where("not whole_word or (kind = 0 and q_kind = 0)")
+    found = _keyed(_near(forms, words, _modes(queries), True), queries).join(words, ["mode", "key"]).where("not whole_word or (kind = 0 and q_kind = 0)")
     return found.select("query_id", "w", "norm").distinct()
 
 
 def phrase_forms(forms: DataFrame, queries: list[Query]) -> DataFrame:
     """(query_id, w, n_words, norm): which forms can stand for which word of an exact phrase."""
-    rows = forms.select(F.lit(0).alias("doc_id"), F.lit(0).alias("pos"), F.lit(0).alias("start"), F.lit(0).alias("end"), "norm", "stem")
     words = query_words(query_table(forms.sparkSession, queries))
     words = words.select("query_id", "w", "n_words", _mode("fold_vy", "fold_aa").alias("mode"), T.fold_form("term", F.col("fold_vy"), F.col("fold_aa")).alias("key"))
-    return token_keys(rows, _modes(queries), "norm").where("kind = 0").join(words, ["mode", "key"]).select("query_id", "w", "n_words", "norm").distinct()
+    return _keyed(_near(forms, words, _modes(queries), False), queries).where("kind = 0").join(words, ["mode", "key"]).select("query_id", "w", "n_words", "norm").distinct()
+
+
+def _keyed(forms: DataFrame, queries: list[Query]) -> DataFrame:
+    nowhere = [F.lit(0).alias(c) for c in ("doc_id", "pos", "start", "end")]
+    return token_keys(forms.select(*nowhere, "norm", "stem"), _modes(queries), "norm")
 
 
 def in_a_row(hits: DataFrame) -> DataFrame:

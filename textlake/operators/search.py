@@ -323,8 +323,9 @@ def search(spark: SparkSession, queries: list[M.Query], index: Index, scope: Sco
     terms = scoring_terms(M.query_words(M.query_table(spark, queries)))
     scores = bm25(index.posts, terms, index.stats)
     exact, plain = [q for q in queries if q.exact], [q for q in queries if not q.exact]
-    found = occurrences(index, M.form_matches(index.forms, plain)) if plain else None
-    phrases = M.in_a_row(occurrences(index, M.phrase_forms(index.forms, exact))) if exact else None
+    forms = index.forms.select("norm", "stem")
+    found = occurrences(index, stored(M.form_matches(forms, plain), "forms")) if plain else None
+    phrases = M.in_a_row(occurrences(index, stored(M.phrase_forms(forms, exact), "forms"))) if exact else None
     matches = M.spans(found, phrases, plain)
     if scope != Scope():
         matches = matches.join(scope.keep(index.docs).select("doc_id"), "doc_id", "left_semi")
