@@ -37,6 +37,5 @@ ORACLES: dict[str, str] = {
     "op8_pivot_permutation": OP8_SQL,
     "op9_warc_archives": OP9_SQL,
     "op11_fill_in_middle": OP11_SQL,
-    "op12_rule_ensemble": op12_rule_ensemble,
     "op13_centroid_clustering": OP13_SQL,
 }
