@@ -568,6 +568,32 @@ def test_op8_counts_the_links_of_a_dense_group(spark):
     assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.9999 * sum(want)
 
 
+@pytest.mark.parametrize(("kind", "most"), [("topics", 0.05), ("scattered", 0.02), ("tight topics", 0.05)])
+def test_op8_candidates_are_few_and_hold_the_links(kind, most):
+    """One label with 40 topics (cosine 0.89 or 0.95 inside) or none, and 1000 near copies: which pairs share enough."""
+    rng = np.random.default_rng(2)
+    inside = {"topics": 0.89, "scattered": 0, "tight topics": 0.95}[kind]
+
+    def near(x, cosine):
+        r = rng.normal(size=x.shape)
+        r = pivots.unit(r - (r * x).sum(axis=1, keepdims=True) * x)
+        return cosine * x + np.sqrt(1 - cosine**2) * r
+
+    x = near(pivots.unit(rng.normal(size=(40, 64)))[rng.integers(0, 40, 20_000)], np.sqrt(inside))
+    x = np.concatenate((x, near(x[:1000], rng.uniform(0.9801, 0.995, size=(1000, 1)))))
+    x = x[rng.permutation(len(x))]
+    n = min(pivots.MOST_PIVOTS, int(pivots.PIVOTS * len(x) ** 0.5))
+    held = pivots.unit(np.stack(pivots.spread(list(x[: pivots.LOOKED_AT * n]), n, 0.98)))
+    order = pivots.permutation(x, held, pivots.NEAREST)
+    told = pivots.weights(list(order), np.arange(len(held)), pivots.NEAREST)
+    links = found = looked = 0
+    for i in range(0, len(x), 3000):
+        link, ok = x[i : i + 3000] @ x.T >= 0.98, told[i : i + 3000] @ told.T >= pivots.WEIGHT
+        links, found, looked = links + link.sum(), found + (link & ok).sum(), looked + ok.sum()
+    assert links >= len(x) + 2000 and found - len(x) >= 0.99 * (links - len(x))
+    assert looked < most * len(x) ** 2
+
+
 def test_op8_forest_joins_what_the_links_join():
     rng = np.random.default_rng(9)
     for same in (False, True):

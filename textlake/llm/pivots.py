@@ -1,8 +1,9 @@
 """Operator 8, embedding near-dedup by a pivot-permutation index.
 
 Reference points are taken from a bounded sample of the vectors, at least SPREAD times as far apart
-as a linked pair may be, so a dense group does not crowd with nearly equidistant references of which
-its members would choose different ones.  Every vector is described by its NEAREST nearest references
+as a linked pair may be: a dense group does not crowd with nearly equidistant references of which its
+members would choose different ones, while a cluster that is wider than a link has references of its
+own, which tell its members apart.  Every vector is described by its NEAREST nearest references
 in order of nearness and stands in the inverted list of each (and of its label and length).  A list of
 more than LIST vectors is split by a second reference, so that it holds what shares both.
 
@@ -27,10 +28,10 @@ from textlake.llm.components import components
 
 COSINE = 0.98
 NEAREST, WEIGHT = 10, 1.01
-#: The sample of reference points: about the root of the number of vectors, within these bounds.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
+#: Reference points: so many times the root of the number of vectors, within these bounds.
+PIVOTS, LEAST_PIVOTS, MOST_PIVOTS = 4, 64, 2048
 #: References are SPREAD link distances apart; so many sampled vectors are looked at for each.
-SPREAD, LOOKED_AT = 3, 2
+SPREAD, LOOKED_AT = 1.5, 2
 BLOCK, LIST = 1024, 4096
 
 
@@ -191,7 +192,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = rows.where("node is not null").groupBy("node", "label").agg(F.first("vec").alias("vec"), F.count("*").alias("copies"))
     nodes = materialize(nodes, "nodes", rows.count(), TEXT_ROWS)
     n = nodes.count()
-    n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(n**0.5)))
+    n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(PIVOTS * n**0.5)))
     sample = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(LOOKED_AT * n_pivots).select("vec").collect()
     pivots = spread([np.array(r.vec) for r in sample], n_pivots, cosine)
     told = nodes.select("node", "label", "vec", "copies").mapInArrow(_describe(pivots, NEAREST), f"node long, label string, vec {kind}, copies long, near array<int>")
