@@ -59,11 +59,13 @@ def features(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     df = docs.withColumn("_lang", lang)
     df = df.withColumn("_words", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE)))
     df = df.withColumn("_n", F.size("_words").cast("long")).withColumn("_chars", F.length(F.array_join("_words", "")).cast("long"))
-    df = df.withColumn("_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
     df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     df = df.withColumn("_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    counts = {k: F.regexp_count(text, F.lit(v)) for k, v in CLASSES.items()}
-    df = df.withColumns({f"_{k}": v for k, v in counts.items()})
+    # classes share no character: each one's runs are cut out of what the ones before left
+    df = df.withColumn("_left", text)
+    for k, v in {**CLASSES, "symbols": SYMBOLS}.items():
+        df = df.withColumn("_cut", F.regexp_replace("_left", f"{v}+", ""))
+        df = df.withColumn(f"_{k}", (F.length("_left") - F.length("_cut")).cast("long")).withColumn("_left", F.col("_cut"))
     blank, all_chars = F.length(text) - F.col("_chars"), F.length(text)
     known = [F.col(f"_{k}") for k in CLASSES] + [F.col("_symbols"), blank]
     rest = all_chars
@@ -87,7 +89,7 @@ def features(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     df = df.withColumn("_starts", F.sort_array(F.transform(F.filter("_again", same), lambda x: x["i"])))
     reach = F.transform("_starts", lambda x, j: F.least(F.lit(3), F.coalesce(F.get(F.col("_starts"), j + 1) - x, F.lit(3))))
     df = df.withColumn("_repeat", F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x))
-    return df.drop("_words", "_lines", "_padded", "_h", "_order", "_again", "_starts", *(f"_{k}" for k in CLASSES))
+    return df.drop("_words", "_lines", "_left", "_cut", "_padded", "_h", "_order", "_again", "_starts", *(f"_{k}" for k in CLASSES))
 
 
 def _distance(counts: str, reference: str, n: int) -> Column:
