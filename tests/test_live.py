@@ -163,3 +163,54 @@ def test_search_looks_rows_up_by_id_and_reads_no_text(spark, tmp_path):
     assert re.search(r"PushedFilters: \[.*In\(doc_id, \[(7,23|23,7)\]\)", plan) and "PartitionFilters" in plan
     assert {f.split("bucket=")[1].split("/")[0] for f in forward.inputFiles()} <= {str(b) for b in range(6)} and forward.count() == 2
     assert not any("text" in f.name for t in X.TABLES for f in getattr(index, t).schema)
+
+
+def test_clock_settles_the_last_event_without_a_later_one_and_after_a_restart(spark, tmp_path):
+    files = {"/a.txt": "alpha one", "/b.txt": "beta two"}
+    src, store, ck = tmp_path / "events", L.live_store(spark, str(tmp_path / "i")), str(tmp_path / "ck")
+
+    def load(paths):
+        return paths.join(spark.createDataFrame([(p, p[1:], t, None) for p, t in files.items()], "path string, name string, text string, error string"), "path")
+
+    def write(*events):
+        data = [(n, p, d, k, False, t) for n, (k, p, d, t) in enumerate(events)]
+        df = spark.createDataFrame(data, "seq long, path string, dest_path string, kind string, is_directory boolean, t long")
+        df.select("seq", "path", "dest_path", "kind", "is_directory", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(str(src))
+
+    def start(rest=500):
+        return L.run_live_clock(spark.readStream.schema(EVENT).parquet(str(src)), store, load, ck, 2, rest, "500 milliseconds")
+
+    def wait(run, done):
+        for _ in range(120):
+            if done():
+                return True
+            assert run.isActive or run.exception() is None, run.exception()
+            run.awaitTermination(0.5)
+        return False
+
+    state = lambda: {r.path: r.id for r in store.open().read("files").collect()}
+    # touches of one path are one; a delete that a change follows is none; null paths and times are no obstacle
+    write(("created", "/a.txt", None, 10), ("modified", "/a.txt", None, 11), ("deleted", "/b.txt", None, 10), ("created", "/b.txt", None, 11), ("created", None, None, 10), ("created", "/none.txt", None, None))
+    run = start()
+    try:
+        assert wait(run, lambda: state() == {"/a.txt": 0, "/b.txt": 1})
+        files["/m.txt"] = files.pop("/b.txt")
+        write(("moved", "/b.txt", "/m.txt", 20))
+        assert wait(run, lambda: state() == {"/a.txt": 0, "/m.txt": 1}), "the last event of all settles; ids are above those that are left"
+    finally:
+        run.stop()
+    # a path that rests when the query stops settles after the next start, though nothing happens any more
+    files["/a.txt"] = "alpha changed"
+    write(("modified", "/a.txt", None, 30))
+    run = start(20_000)
+    try:
+        assert wait(run, lambda: any(p.stateOperators and p.stateOperators[0].numRowsTotal == 1 for p in run.recentProgress))
+    finally:
+        run.stop()
+    assert hits(spark, X.Index(store.open(), 2), "one") == ["/a.txt"], "it still rests"
+    run = start()
+    try:
+        assert wait(run, lambda: hits(spark, X.Index(store.open(), 2), "changed") == ["/a.txt"])
+    finally:
+        run.stop()
+    assert hits(spark, X.Index(store.open(), 2), "beta") == ["/m.txt"]

@@ -24,9 +24,13 @@ settled AS (SELECT path, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE
 
 
 def changes(spark, sf):
+    return _changes(read(spark, sf, "events"))
+
+
+def _changes(events):
     kind = F.when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "purchase", "moved").otherwise("modified")
     name = lambda p: F.concat(F.lit(f"/lib/{p}"), F.col("user_id").cast("string"), F.lit(".txt"))
-    return read(spark, sf, "events").select(F.col("event_id").alias("seq"), "ts", name("u").alias("path"), name("m").alias("dest_path"), kind.alias("kind"), (F.col("event_id") % 17 == 0).alias("is_directory"))
+    return events.select(F.col("event_id").alias("seq"), "ts", name("u").alias("path"), name("m").alias("dest_path"), kind.alias("kind"), (F.col("event_id") % 17 == 0).alias("is_directory"))
 
 
 def _times(df):
@@ -52,6 +56,25 @@ def latest_intent(spark, sf):
     return _times(G.latest_intent(G.change_stream(changes(spark, sf)), "30 minutes"))
 
 
+@query("clock_intents", f"WITH {CHANGES} SELECT path, arg_max(intent, (ts, seq)) AS intent, count(*) AS touches FROM intents GROUP BY path")
+def clock_intents(spark, sf):
+    """The stream of all events at once, settled by the clock: deletes at once, changes after a rest."""
+    source = read(spark, sf, "events")
+    out = new_path(spark, "clock")
+    spark.createDataFrame([], "path string, intent string, touches long").write.parquet(out)
+    if source.isEmpty():
+        return spark.read.parquet(out)
+    # a pattern, since a stream takes a single file for a folder
+    events = spark.readStream.schema(source.schema).parquet(f"{sf}/events.parque[t]")
+    settled = G.clock_intents(G.change_stream(_changes(events)), 1000).select("path", "intent", "touches")
+    append = lambda df, number: df.write.mode("append").parquet(out)
+    run = settled.writeStream.option("checkpointLocation", new_path(spark, "clock-state")).foreachBatch(append).trigger(processingTime="1 second").start()
+    while run.isActive and not ((seen := run.lastProgress) and seen.stateOperators and seen.stateOperators[0].numRowsTotal == 0):
+        run.awaitTermination(1)
+    run.stop()
+    return spark.read.parquet(out)
+
+
 APPLIED = f"""{CHANGES}, {_islands('intents')}, last_ AS (SELECT path, arg_max(intent, fires_at) AS intent FROM settled GROUP BY path),
 known AS (SELECT DISTINCT '/lib/u' || user_id || '.txt' AS path, 'indexed' AS status FROM events WHERE user_id % 3 <> 0)"""
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,10 @@ from textlake.operators.library import SUPPORTED, extension
 GAP = "2 seconds"
 #: Documents after which a rebuild publishes what it has.
 PUBLISH_DOCS = 100
+#: Milliseconds that a path must rest until its changes settle by the clock.
+REST_MS = 2000
+#: Stands for a time or number that isn't known: before all others.
+FIRST = -(2**63)
 
 
 def change_stream(changes: DataFrame) -> DataFrame:
@@ -35,6 +40,52 @@ def latest_intent(intents: DataFrame, gap: str = GAP) -> DataFrame:
     return rows.select("path", F.col("w.start").alias("session_start"), F.col("w.end").alias("fires_at"), "intent", "touches")
 
 
+def clock_intents(intents: DataFrame, rest_ms: int = REST_MS) -> DataFrame:
+    """As ``latest_intent``, for streams alone and by the clock in place of event time, so the last event
+    needs no later one to settle: (path, session_start, fires_at, intent, touches).
+
+    A path whose last touch is a change fires in the first trigger after it was left alone for rest_ms; one
+    whose last touch is a delete fires in the trigger that brought it.  Last is by ts, then seq (null before
+    all others), then delete before change at ties; a touch that comes in later but is older counts, and
+    restarts the rest, without changing the intent.  Paths that are null are left out.  The state is one
+    small row a path that hasn't settled.
+    """
+
+    def settle(key, parts, state):
+        now = state.getCurrentProcessingTimeMs()
+        fire = lambda first, intent, touches: pd.DataFrame({"path": [key[0]], "first": [first], "fires": [now], "intent": [intent], "touches": [touches]})
+        if state.hasTimedOut:
+            first, intent, _, _, touches = state.get
+            state.remove()
+            yield fire(first, intent, touches)
+            return
+        first, intent, at, seq, touches = state.get if state.exists else (now, "", FIRST, FIRST, 0)
+        last = (at, seq, intent)
+        for part in parts:
+            top = part.sort_values(["at", "seq", "intent"]).iloc[-1]
+            last, touches = max(last, (int(top["at"]), int(top["seq"]), top["intent"])), touches + len(part)
+        if last[2] == "delete":
+            if state.exists:
+                state.remove()
+            yield fire(first, last[2], touches)
+        else:
+            state.update((first, last[2], last[0], last[1], touches))
+            state.setTimeoutDuration(rest_ms)
+
+    rows = intents.where("path is not null").select("path", "intent", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(FIRST)).alias("at"), F.coalesce("seq", F.lit(FIRST)).alias("seq"))
+    out = rows.groupBy("path").applyInPandasWithState(
+        settle, "path string, first long, fires long, intent string, touches long", "first long, intent string, at long, seq long, touches long", "append", "ProcessingTimeTimeout"
+    )
+    return out.select("path", F.timestamp_millis("first").alias("session_start"), F.timestamp_millis("fires").alias("fires_at"), "intent", "touches")
+
+
+def ticks(changes: DataFrame) -> DataFrame:
+    """The stream of changes with a source beside it that ticks each second and adds no row: triggers find
+    something new, so timers fire after a restart too while nothing happens."""
+    clock = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().where("value < 0")
+    return changes.unionByName(clock.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in changes.schema)))
+
+
 def debounce_changes(intents: DataFrame, gap: str = GAP) -> DataFrame:
     """Changes alone: (path, session_start, fires_at, touches)."""
     rows = intents.where("intent = 'change'").groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("touches"))

@@ -15,7 +15,7 @@ from textlake.operators.catalog import MAX_ERROR, numbered
 from textlake.operators.search import BUCKET_IDS, TABLES, Index, bucket_of, replace_documents, upsert_index
 from textlake.sources.snapshots import Store
 from textlake.sources.tables import stored
-from textlake.streaming.changes import GAP, change_stream, final_intents, latest_intent
+from textlake.streaming.changes import GAP, REST_MS, change_stream, clock_intents, final_intents, latest_intent, ticks
 
 FILES = "id long, path string, status string, error string"
 
@@ -70,6 +70,21 @@ def run_live_index(changes: DataFrame, store: Store, load: Callable[[DataFrame],
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
 
 
+def run_live_clock(changes: DataFrame, store: Store, load: Callable[[DataFrame], DataFrame], checkpoint: str, ids: int = BUCKET_IDS, rest_ms: int = REST_MS, every: str = "1 second"):
+    """As ``run_live_index``, by the clock: a changed path settles when it was left alone for ``rest_ms``,
+    a deleted one with the trigger that brings it, whether or not other events follow.  It runs until it
+    is stopped; paths that had not settled by then settle after the next start."""
+    settled = clock_intents(change_stream(ticks(changes)), rest_ms)
+
+    def batch(df: DataFrame, number: int) -> None:
+        rows = df.persist()  # the state is read and written once
+        if not rows.isEmpty():
+            apply_batch(store, rows, load, number, ids)
+        rows.unpersist()
+
+    return settled.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(processingTime=every).start()
+
+
 def run_ingest(texts: DataFrame, store: Store, checkpoint: str, ids: int = BUCKET_IDS, every: str | None = GAP):
     """Starts the first load as a stream of texts (doc_id, name, text, …): what a micro-batch brought is
     published with it.  The source bounds a micro-batch (``maxFilesPerTrigger``: 100 files of one document
