@@ -401,6 +401,18 @@ def test_op5_coding_round_trip():
         tokens.decode(np.array([3], np.uint8), np.array([0], np.uint8), [1])
 
 
+def test_op5_a_text_of_many_words_is_not_remembered_whole(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+    own = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "One two, three FOUR five; élan x2 a-b Ünder seven one two"
+    lib = own.tokenizer.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in own([None, text])] == [[2], [*lib, 2]]
+        assert len(own.known) <= 3
+
+
 def test_op5_files_equal_the_library(spark, odd, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -152,21 +152,25 @@ def by_words(tokenizer) -> bool:
     return bool([n["type"] for n in normal.get("normalizers", [])] == _NORMALIZERS and split and rest and spec["post_processor"] is None)
 
 
-class Encoder:
-    """Ids of whole texts.  A vocabulary that drops white space has no token that spans two words, so each
-    word is encoded once: simple words by the library's model, piece by piece, others by the whole
-    library.  For any other tokenizer the library encodes whole texts."""
+class _Words(dict):
+    """Ids of words; a word that is not known is learned when it is met.  At REMEMBERED words all are forgotten."""
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of more than 16 bits")
-        self.by_words = by_words(self.tokenizer)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.known: dict[bytes, bytes] = {}
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, _byte_letters()
         self.pieces: dict[str, bytes] = {"": b""}
 
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        text = word.decode("utf-8", "replace")
+        m = _SIMPLE.fullmatch(text)
+        if m:
+            found = self._piece(m[1].lower()) + self._piece(m[2])
+        else:
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        self[word] = found
+        return found
+
     def _piece(self, text: str) -> bytes:
         found = self.pieces.get(text)
         if found is None:
@@ -176,44 +180,26 @@ class Encoder:
             found = self.pieces[text] = array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return found
 
-    def _learn(self, words: list[bytes]) -> None:
-        simple, piece, known = _SIMPLE.fullmatch, self._piece, self.known
-        other = []
-        for w in words:
-            m = simple(w.decode("utf-8", "replace"))
-            if m:
-                known[w] = piece(m[1].lower()) + piece(m[2])
-            else:
-                other.append(w)
-        self._one_by_one(other)
-
-    def _one_by_one(self, words: list[bytes]) -> None:
-        for w in words:
-            self.known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
+
+class Encoder:
+    """Ids of whole texts.  A vocabulary that drops white space has no token that spans two words, so each
+    word is encoded once: simple words by the library's model, piece by piece, others by the whole
+    library.  For any other tokenizer the library encodes whole texts."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
+        self.by_words = by_words(self.tokenizer)
+        self.known = _Words(self.tokenizer)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids as unsigned 16-bit numbers, the end id last."""
         if not self.by_words:
             found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
             return [np.array([*x.ids, END_ID], "<u2").tobytes() for x in found]
-        cut = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        end = np.array([END_ID], "<u2").tobytes()
-        out, k = [], 0
-        while k < len(cut):
-            stop, total = k, 0
-            while stop < len(cut) and (stop == k or total + len(cut[stop]) <= REMEMBERED // 2):
-                total += len(cut[stop])
-                stop += 1
-            fresh = [w for w in dict.fromkeys(w for x in cut[k:stop] for w in x) if w not in self.known]
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known.clear()
-                fresh = list(dict.fromkeys(w for x in cut[k:stop] for w in x))
-            if fresh:
-                self._learn(fresh)
-            get = self.known.__getitem__
-            out += [b"".join(map(get, x)) + end for x in cut[k:stop]]
-            k = stop
-        return out
+        get, end = self.known.__getitem__, np.array([END_ID], "<u2").tobytes()
+        return [b"".join(map(get, t.encode("utf-8", "replace").split())) + end if t else end for t in texts]
 
 
 @cache
