@@ -697,6 +697,47 @@ def test_op6_odd_tables(spark, odd, empty):
     assert len(got) == 12 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_op6_learns_from_every_labelled_text(spark):
+    """Long texts and rows beyond any number count: odds, rounds and thresholds against plain Python."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    texts = [(i, " ".join([word() for _ in range(20000 if i % 40 == 0 else 12)] + (["poison"] if i % 4 == 0 else []))) for i in range(5000)]
+    assert any(len(t) > 64 << 10 for _, t in texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    stored = toxicity.training_texts(docs, labels, "doc_id", "text", "toxic", 900)
+    assert stored.count() == 5000 and {r.part for r in stored.select("part").distinct().collect()} == set(range(6))
+    want = np.zeros((2, toxicity.BUCKETS), int)
+    for i, t in texts:
+        want[int(i % 4 == 0), np.unique(toxicity.word_ids(t))] += 1
+    assert (toxicity.bucket_counts(stored) == want).all()
+
+    start, model = toxicity.TextCnn(), toxicity.TextCnn()
+    toxicity.one_round(stored, model, (0.5, 2.0))
+    rows, begin, by, weight = stored.collect(), toxicity._flat(start), 0.0, 0
+    for p in range(6):
+        own = [(toxicity._unpacked(bytes(r.ids)), r.y, (0.5, 2.0)[r.y]) for r in rows if r.part == p]
+        part = toxicity.TextCnn()
+        steps = toxicity.Steps(part)
+        for k in range(0, len(own), toxicity.BATCH):
+            steps.take(own[k : k + toxicity.BATCH])
+        moved = np.concatenate([steps.moved, np.ones(len(begin) - toxicity.BUCKETS, bool)])
+        by, weight = by + (toxicity._flat(part) - begin).astype(float) * len(own), weight + moved * len(own)
+    assert np.allclose(toxicity._flat(model), begin + by / np.maximum(weight, 1)[:, None], atol=1e-5)
+
+    seen = toxicity.logit_histogram(stored, model).toPandas()
+    z = np.array([model.logit(toxicity._unpacked(bytes(r.ids)), model.tables()) for r in rows])
+    assert seen.n.sum() == 5000 and abs((seen.n * (seen.bin + 0.5) / toxicity.BINS).sum() - z.sum()) < 5000 / toxicity.BINS
+
+
+def test_op6_long_texts_alone_make_a_model(spark):
+    texts = [(i, ("poison " if i < 30 else "bread ") * 12000) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i, _ in texts], "doc_id long, toxic int")
+    got = toxicity.classify(docs, toxicity.train(docs, labels)).collect()
+    assert {r.doc_id for r in got if r.predicted} == set(range(30))
+
+
 # -- pipeline ----------------------------------------------------------------------------------
 
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
