@@ -98,6 +98,20 @@ def test_loading_in_turns_publishes_each_turn(spark, tmp_path):
     assert [len(hits(spark, X.Index(store.open(v), 10), "them")) for v in (1, 2, 3)] == sizes
 
 
+def test_turns_of_small_buckets_are_written_together(spark, tmp_path):
+    store = X.index_store(spark, str(tmp_path / "i"))
+    docs = documents(spark, {i: f"all of them x{i}" for i in range(0, 70)})
+    for _ in X.publish_in_turns(docs, store, 10, turn=2):
+        pass
+    assert len(list((tmp_path / "i" / "posts").glob("data=*"))) == 1 and store.versions() == [1, 2, 3, 4]
+    own = {(r.version, r.bucket): r.data for r in store.manifests().collect()}
+    assert own == {(v, b): 1 for v in range(1, 5) for b in range(min(7, 2 * v))}
+    assert store.parts("docs").count() == 70
+    # a version that is written afterwards keeps what it doesn't touch
+    index = X.upsert_index(store, documents(spark, {3: "fresh"}), spark.createDataFrame([(65,)], "doc_id long"), 10)
+    assert hits(spark, index, "fresh") == ["/lib/f3.txt"] and len(hits(spark, index, "them")) == 68
+
+
 def test_ingest_stream_publishes_what_a_batch_brought(spark, tmp_path):
     src, store = tmp_path / "in", X.index_store(spark, str(tmp_path / "i"))
     for k in range(3):
